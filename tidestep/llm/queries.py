@@ -26,6 +26,15 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidestep.llm.secret_scan import BASE_RULES, listed, scan_secrets
+
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rule"] < len(BASE_RULES))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["rule"] == k)).cast("long")
+    return found.select("doc_id", *(count(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE_RULES)), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidestep.llm.chat_format import chat_examples, digests
 
@@ -52,7 +61,7 @@ FROM o GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op7_sharding, op10_chat_format)}
+    return {f.__name__: f for f in (op2_token_counts, op7_sharding, op9_secret_scan, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
