@@ -19,6 +19,20 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_limit(token_counts(table(spark, sf_dir, "documents")), 512)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidestep.llm.fingerprints import edited_likeness
+
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidestep.llm.language_id import fold, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, train(docs.filter(fold(docs["doc_id"]) != 2)))
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidestep.llm.sharding import shard_documents
 
@@ -61,7 +75,7 @@ FROM o GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op7_sharding, op9_secret_scan, op10_chat_format)}
+    return {f.__name__: f for f in (op2_token_counts, op3_fingerprints, op4_language_id, op7_sharding, op9_secret_scan, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
