@@ -16,7 +16,9 @@ other than id and text aren't read. Positions are code points, ends exclusive.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import operator
 import re
 from dataclasses import dataclass
 from re import _constants as rc
@@ -54,7 +56,8 @@ RULES = BASE_RULES + MORE_RULES
 
 
 def _trigrams(text: str) -> frozenset[str]:
-    return frozenset(text[i : i + 3] for i in range(len(text) - 2))
+    """As many of a string's trigrams as cover it: each third and the last."""
+    return frozenset(text[i : i + 3] for i in {*range(0, len(text) - 2, 3), len(text) - 3} if i >= 0)
 
 
 def _absorb(conjunctions: set[frozenset[str]]) -> set[frozenset[str]]:
@@ -157,9 +160,8 @@ def scan_texts(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     met = postings.join(F.broadcast(terms), "trigram").groupBy("text_key", "conjunction", "rule_bit", "all_bits").agg(F.bit_or("bit").alias("bits")).filter("bits = all_bits")
     wanted = met.groupBy("text_key").agg(F.bit_or("rule_bit").alias("rules"))
 
-    # verification; a text with fewer of the trigrams than the shortest conjunction has can't be a candidate and isn't sent
-    hits = sum((F.when(lower.contains(t), 1).otherwise(0) for t in named), F.lit(0))
-    able = texts.filter(hits >= min((len(c) for _, c in conjunctions), default=0))
+    # verification; a text that lacks the first or the last trigram of every conjunction can't be a candidate and isn't sent
+    able = texts.filter(functools.reduce(operator.or_, (lower.contains(c[0]) & lower.contains(c[-1]) for _, c in conjunctions), F.lit(False)))
     asked = lambda i: F.col("rules").bitwiseAND(F.lit(1 << i).cast("long")) != 0
     verified = able.join(wanted, "text_key").select("text_key", F.concat(none, *(F.when(asked(i), spans_of(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules) if i not in full)).alias("spans"))
     held = verified.unionByName(first.select("text_key", "spans")).filter(F.size("spans") > 0)
