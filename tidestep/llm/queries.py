@@ -39,6 +39,12 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), words=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidestep.llm.decontaminate import contaminations
+
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidestep.llm.sharding import shard_documents
 
@@ -81,7 +87,7 @@ FROM o GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_fingerprints, op4_language_id, op5_ngram_join, op7_sharding, op9_secret_scan, op10_chat_format)}
+    return {f.__name__: f for f in (op2_token_counts, op3_fingerprints, op4_language_id, op5_ngram_join, op6_decontamination, op7_sharding, op9_secret_scan, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
