@@ -58,6 +58,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidestep.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidestep.llm.secret_scan import BASE_RULES, listed, scan_secrets
 
@@ -93,7 +99,7 @@ FROM o GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_fingerprints, op4_language_id, op5_ngram_join, op6_decontamination, op7_sharding, op9_secret_scan, op10_chat_format)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_fingerprints, op4_language_id, op5_ngram_join, op6_decontamination, op7_sharding, op8_html_text, op9_secret_scan, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
