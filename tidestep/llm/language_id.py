@@ -173,5 +173,5 @@ def kept_by_language(docs: DataFrame, model: Model, least_score: float) -> DataF
 
     at = docs.columns.index("text")
     text = F.coalesce(docs["text"], F.lit(""))
-    whole = docs.withColumn("text", text).withColumn("__letters", text.rlike(r"\p{L}"))
+    whole = docs.withColumns({"text": text, "__letters": text.rlike(r"\p{L}")})
     return whole.mapInArrow(run, docs.schema)
