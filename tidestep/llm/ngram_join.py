@@ -6,14 +6,16 @@ document's class and component, which lose no link between different texts:
 1. One pass hashes each text's set (64 bits a shingle). Documents of equal sets are one class from here on, so copies, be
    they a third of all rows, never meet in pairs. The same pass counts shingles in a fixed number of buckets, a table of
    fixed size that is summed in a streaming reduction and broadcast: the global order of shingles, rare ones first.
-2. Stars: classes that agree in several of a few min-hashes are compared with one leader each, so a group of near copies
-   is connected by as many comparisons as it has members. This finds links early and may miss any.
-3. The product makes the result whole. Of each class only the first shingles by the global order are kept, so many that a
-   linked pair must share one. The incidence is dealt in blocks by shingle; a block multiplies each column with itself,
-   between classes that no star has joined, in tiles of bounded size. It discards pairs by the sizes of their sets and by
-   the positions of the shared shingle; the overlap counts of a pair from all blocks are added up, and the pair is
-   discarded if they and what may follow stay below the overlap that the sizes ask for.
-4. What is left is verified on the whole sets, and components are found by star contraction.
+2. Classes that agree in several of a few min-hashes are put into one cluster, by way of the most central class of each
+   min-hash. A cluster's incidence is multiplied with its transpose in tiles of bounded size, the overlap counts of a tile
+   adding up over blocks of shingles. A tile holds its sets, so pairs that miss the overlap that their sizes ask for are
+   discarded where they arise, and only edges that connect something leave the task: at most one for each class and tile.
+3. The product makes the result whole across clusters. Of each class only the first shingles by the global order are kept,
+   so many that a linked pair must share one. The incidence is dealt in blocks by shingle; a block multiplies each column
+   with itself, between classes of different clusters, in tiles of bounded size. It discards pairs by the sizes of their
+   sets and by the positions of the shared shingle; the overlap counts of a pair from all blocks are added up, and the pair
+   is discarded if they and what may follow stay below the overlap that the sizes ask for. What is left is verified on whole sets.
+4. Components are found by star contraction.
 
 Defined cases: a text that is null, empty or of white space has no shingle and links with nothing, not even with copies
 of itself; repeated rows are linked copies; a null doc_id is passed over when the least doc_id of a component is sought, unless
@@ -36,9 +38,9 @@ from tidestep.llm.shingles import mix, shingle_set
 
 BUCKET_BITS, PARTS = 18, 16
 #: Min-hashes, and how many of them must agree with a leader's.
-MINS, AGREE = 6, 3
-#: Classes that one comparison task reads against one leader, and the side of a tile of the product.
-SALT_ROWS, TILE = 500, 1024
+MINS, AGREE = 8, 3
+#: Classes that one comparison task reads against one leader, the side of a tile, and the shingles that a tile multiplies at once.
+SALT_ROWS, TILE, COLUMNS = 500, 512, 1 << 13
 _MIN_SEEDS = np.random.default_rng(77).integers(1, 1 << 63, MINS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -92,13 +94,100 @@ def summed_counts(profile: DataFrame) -> np.ndarray:
     return np.concatenate([total.get(p, empty) for p in range(PARTS)])
 
 
-def star_pairs(classes: DataFrame) -> DataFrame:
-    """(a: a leader, b: a class that agrees with it in AGREE min-hashes), at most one leader for each b."""
+def clusters_of(classes: DataFrame) -> DataFrame:
+    """(node, component) of the classes that agree in AGREE min-hashes with a leader: of the classes with one value of a min-hash, the one whose values most others share."""
     bands = classes.select("cid", F.posexplode("mins").alias("k", "value"))
-    leads = bands.groupBy("k", "value").agg(F.min("cid").alias("lead"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    met = bands.join(leads, ["k", "value"]).filter("lead < cid").groupBy("lead", "cid").agg(F.count("*").alias("agree")).filter(F.col("agree") >= AGREE)
-    best = met.groupBy("cid").agg(F.max(F.struct("agree", -F.col("lead"))).alias("best"))
-    return best.select((-F.col("best.col2")).alias("a"), F.col("cid").alias("b"))
+    common = bands.groupBy("k", "value").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = cut(bands.join(common, ["k", "value"]))
+    central = shared.groupBy("cid").agg(F.sum("size").alias("weight"))
+    weighed = shared.join(central, "cid")
+    leads = weighed.groupBy("k", "value").agg(F.max(F.struct("weight", (-F.col("cid")).alias("cid"))).alias("best")).select("k", "value", (-F.col("best.cid")).alias("lead"))
+    met = shared.join(leads, ["k", "value"]).filter("lead <> cid").groupBy("lead", "cid").agg(F.count("*").alias("agree")).filter(F.col("agree") >= AGREE)
+    best = met.groupBy("cid").agg(F.max(F.struct(F.col("agree"), (-F.col("lead")).alias("lead"))).alias("best"))
+    return components(best.select((-F.col("best.lead")).alias("a"), F.col("cid").alias("b")))
+
+
+class Forest:
+    """Union-find over a tile's rows."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def tile_edges(x: list[np.ndarray], y: list[np.ndarray] | None, num: int, den: int) -> list[tuple[int, int]]:
+    """Edges (i, j) that connect the linked sets of a tile: of x with itself, or of x (numbered first) with y."""
+    sets = x + (y or [])
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    token = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), size)
+    distinct, column, count = np.unique(token, return_inverse=True, return_counts=True)
+    common = count > 1  # the others add to no overlap
+    number = np.cumsum(common) - 1
+    keep = common[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    n, width = len(x), int(common.sum())
+    overlap = np.zeros((n, len(y) if y else n), dtype=np.float32)
+    for begin in range(0, width, COLUMNS):
+        own = slice(*np.searchsorted(column, [begin, begin + COLUMNS]))
+        block = np.zeros((len(sets), min(COLUMNS, width - begin)), dtype=np.float32)
+        block[row[own], column[own] - begin] = 1
+        overlap += block[:n] @ (block[n:] if y else block).T
+    need = least_overlap(size[:n][:, None], (size[n:] if y else size)[None, :], num, den)
+    ok = overlap >= need
+    if not y:
+        ok &= np.triu(np.ones_like(ok), 1)
+    forest = Forest(len(sets))
+    p, q = np.nonzero(ok)
+    return [(i, j) for i, j in zip(p.tolist(), (q + n if y else q).tolist(), strict=True) if forest.join(i, j)]
+
+
+def cluster_links(texts: DataFrame, classes: DataFrame, clusters: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(a, b): links that connect the classes of each cluster as all its links do.
+
+    A cluster is cut into blocks of about TILE classes, and every pair of blocks is a tile of its own.
+    """
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("m"))
+    dealt = clusters.join(sizes, "component").withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
+    tiles = dealt.select(F.col("node").alias("cid"), "component", "block", F.explode(to).alias("t"))
+    wanted = tiles.select("cid", "component", F.col("t.x").alias("x"), F.col("t.y").alias("y"), (F.col("t.x") != F.col("block")).alias("second")).join(classes.select("cid", "rep_id", "rep_hash"), "cid")
+    met = texts.join(wanted, (texts["text_hash"] == wanted["rep_hash"]) & texts["doc_id"].eqNullSafe(wanted["rep_id"])).select("component", "x", "y", "second", "cid", "text")
+    ordered = met.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "second", "cid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, cids, halves = None, [], ([], [])
+
+        def tile() -> pa.RecordBatch:
+            x, y = halves
+            edges = tile_edges(x, y or None, num, den) if len(cids) > 1 and x and (y or at[1] == at[2]) else []
+            return pa.RecordBatch.from_arrays([pa.array([cids[i] for i, _ in edges], pa.int64()), pa.array([cids[j] for _, j in edges], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            own = (b.column(i).to_pylist() for i in range(5))
+            for component, x, y, second, cid, text in zip(*own, b.column(5), strict=True):
+                if (component, x, y) != at:
+                    if at:
+                        yield tile()
+                    at, cids, halves = (component, x, y), [], ([], [])
+                if not cids or cids[-1] != cid:  # a repeated row of one text comes again
+                    cids.append(cid)
+                    halves[second].append(shingle_set(text.as_buffer().to_pybytes(), words))
+        if at:
+            yield tile()
+
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -133,7 +222,7 @@ def verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
 
 
 def product_of(token: np.ndarray, cid: np.ndarray, comp: np.ndarray, size: np.ndarray, pos: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """The pairs (a, b, size and position of either) of classes of different components in the columns of a block whose rows are sorted by token."""
+    """The pairs (a, b, size and position of either) of classes of different clusters in the columns of a block whose rows are sorted by token."""
     edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     count = np.diff(np.r_[edge, len(token)])
     for begin, m in zip(edge[count > 1].tolist(), count[count > 1].tolist(), strict=True):
@@ -159,8 +248,8 @@ def product_of(token: np.ndarray, cid: np.ndarray, comp: np.ndarray, size: np.nd
                     yield cid[p], cid[q], size[p], size[q], pos[p], pos[q]
 
 
-def product_pairs(texts: DataFrame, classes: DataFrame, joined: DataFrame, counts: np.ndarray, words: int, num: int, den: int) -> DataFrame:
-    """(a, b): the pairs of classes of different components that the product can't discard."""
+def product_pairs(texts: DataFrame, classes: DataFrame, clusters: DataFrame, counts: np.ndarray, words: int, num: int, den: int) -> DataFrame:
+    """(a, b): the pairs of classes of different clusters that the product can't discard."""
     shared = texts.sparkSession.sparkContext.broadcast(counts)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +262,7 @@ def product_pairs(texts: DataFrame, classes: DataFrame, joined: DataFrame, count
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "text_hash", "first"])
 
     made = texts.select("doc_id", "text_hash", "text").mapInArrow(prefixes, "doc_id long, text_hash long, first array<long>").filter("first is not null")
-    placed = classes.select("cid", "n", "rep_id", "rep_hash").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "rep_id", "rep_hash", F.coalesce("component", "cid").alias("comp"))
+    placed = classes.select("cid", "n", "rep_id", "rep_hash").join(clusters.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "rep_id", "rep_hash", F.coalesce("component", "cid").alias("comp"))
     rows = made.join(placed, (made["text_hash"] == placed["rep_hash"]) & made["doc_id"].eqNullSafe(placed["rep_id"]))
     incidence = rows.select("cid", "comp", F.col("n").alias("size"), F.posexplode("first").alias("pos", "token"))
     blocks = incidence.select("token", "cid", "comp", F.col("size").cast("int").alias("size"), "pos").repartition("token").sortWithinPartitions("token")
@@ -217,10 +306,10 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, i
     grouped = filled.groupBy("set_key", "n", "mins").agg(F.min(order).alias("rep"))
     classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), "set_key", "n", "mins", F.col("rep.id").alias("rep_id"), F.col("rep.hash").alias("rep_hash")))
     counts = summed_counts(profile)
-    stars = cut(verified(texts, classes, star_pairs(classes), words, num, den))
-    joined = cut(components(stars))
-    rest = verified(texts, classes, product_pairs(texts, classes, joined, counts, words, num, den), words, num, den)
-    linked = components(stars.unionByName(rest))
+    clusters = cut(clusters_of(classes))
+    within = cut(cluster_links(texts, classes, clusters, words, num, den))
+    across = cut(product_pairs(texts, classes, clusters, counts, words, num, den))
+    linked = components(within.unionByName(verified(texts, classes, across, words, num, den)))
     placed = classes.join(linked.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     heads = placed.groupBy("component").agg(F.min(F.struct(F.col("rep_id").isNull().alias("none"), F.col("rep_id").alias("id"), F.col("rep_hash").alias("hash"))).alias("head"))
     known = placed.join(heads, "component").select("set_key", F.col("head.id").alias("head_id"), F.col("head.hash").alias("head_hash"))
