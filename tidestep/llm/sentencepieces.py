@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a shared-prefix forward pass.
 
-Texts are marked (a blank becomes U+2581, one is put first) and split before each run of marks, where no piece reaches
-across. The distinct marked words of a batch are sorted, which lays them out as the depth-first order of their trie: a
+Texts are marked (a blank becomes U+2581, one is put first) and split before each run of marks and about separators, where
+no piece reaches across: two characters that stand together in no piece never merge. The distinct marked words of a batch are sorted, which lays them out as the depth-first order of their trie: a
 word keeps the forward states of the prefix that it shares with the word before it, and only the rest is computed.
 
 For a unigram model the state of a prefix is its Viterbi score and last piece. The public vocabulary at hand is a BPE
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +33,13 @@ from tidestep.llm.token_counts import batches_of, vocabulary_path
 
 MARK = "▁"
 MOST_CACHED, LONGEST_CACHED = 1 << 19, 48
-_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-
 _loaded: dict[str, PieceModel] = {}
 
 
+def _wordlike(c: str) -> bool:
+    return c.isalpha() or c.isdecimal()
+
+
 class PieceModel:
     """Pieces, scores and marks of a SentencePiece model file."""
 
@@ -65,9 +68,26 @@ class PieceModel:
         for b, i in self.byte_ids.items():
             self.bytes_of[i] = bytes([b])
         self.bytes_of[self.unknown] = " ⁇ ".encode()
+        self.words = self._splitter()
         self._fits: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, bytes] = {}
 
+    def _splitter(self) -> re.Pattern:
+        """A pattern that finds marked words: runs of marks, then characters of one of two kinds between which no piece reaches.
+
+        Separators are characters that are neither letters nor digits and that no piece has beside a character of the other kind.
+        """
+        beside: dict[str, set[str]] = {}
+        for piece in self.ids:
+            for a, b in zip(piece, piece[1:], strict=False):
+                beside.setdefault(a, set()).add(b)
+                beside.setdefault(b, set()).add(a)
+        apart = {c for p in self.ids for c in p if not _wordlike(c) and c != MARK} | {c for c in map(chr, range(128)) if not _wordlike(c)}
+        while odd := {c for c in apart if beside.get(c, set()) - apart - {MARK}}:
+            apart -= odd
+        own = "".join(map(re.escape, sorted(apart)))
+        return re.compile(f"{MARK}*(?:[{own}]+|[^{own}{MARK}]+)|{MARK}+" if own else f"{MARK}*[^{MARK}]+|{MARK}+")
+
     def merged(self, word: str) -> list[str]:
         """Byte-pair encoding by its definition: the pair of the best score, then the leftmost, becomes one piece, until none is left."""
         parts: list[str | None] = list(word)
@@ -104,7 +124,7 @@ class PieceModel:
         return found
 
     def id_bytes(self, pieces: list[str]) -> bytes:
-        """Their ids, little-endian; a character outside the vocabulary as its bytes."""
+        """Their ids as 32-bit integers; a character outside the vocabulary as its bytes."""
         out: list[int] = []
         for p in pieces:
             if (i := self.ids.get(p)) is not None:
@@ -113,7 +133,7 @@ class PieceModel:
                 out += [self.byte_ids[b] for b in p.encode()]
             else:
                 out.append(self.unknown)
-        return np.array(out, dtype="<i4").tobytes()
+        return array("i", out).tobytes()
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """The ids of distinct marked words, by one depth-first pass over their trie."""
@@ -156,13 +176,13 @@ class PieceModel:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        marked = [_WORDS.findall(self.prefix + t.replace(" ", MARK)) if t else [] for t in texts]
+        marked = [self.words.findall(self.prefix + t.replace(" ", MARK)) if t else [] for t in texts]
         cache = self.cache
         if len(cache) > MOST_CACHED:
             cache.clear()
         new = {w for x in marked for w in x if w not in cache}
         cache.update(self.encode_words(list(new)))
-        out = [np.frombuffer(b"".join(map(cache.__getitem__, x)), dtype="<i4") for x in marked]
+        out = [np.frombuffer(b"".join(map(cache.__getitem__, x)), dtype=np.int32) for x in marked]
         for w in new:
             if len(w) > LONGEST_CACHED:
                 del cache[w]
@@ -191,7 +211,7 @@ def encode_texts(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", *, id
                 found = model.encode(texts[own])
                 sizes = np.array([len(x) for x in found], dtype=np.int64)
                 same = [model.decode(x.tolist()) == t.replace(MARK, " ") for x, t in zip(found, texts[own], strict=True)]
-                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(found) if found else np.empty(0, "<i4")))
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0)[own.start : own.stop], pa.array(sizes), ids, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "token_ids", "round_trip"])
 
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
