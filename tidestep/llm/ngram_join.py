@@ -153,74 +153,66 @@ def tile_edges(x: list[np.ndarray], y: list[np.ndarray] | None, num: int, den: i
     return [(i, j) for i, j in zip(p.tolist(), (q + n if y else q).tolist(), strict=True) if forest.join(i, j)]
 
 
-def cluster_links(texts: DataFrame, classes: DataFrame, clusters: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(a, b): links that connect the classes of each cluster as all its links do.
-
-    A cluster is cut into blocks of about TILE classes, and every pair of blocks is a tile of its own.
-    """
+def tiles_of(clusters: DataFrame) -> DataFrame:
+    """(kind 0, part, x, y, second, cid): every cluster in blocks of about TILE classes, and for each pair of blocks x <= y the classes that meet in it."""
     sizes = clusters.groupBy("component").agg(F.count("*").alias("m"))
     dealt = clusters.join(sizes, "component").withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
-    tiles = dealt.select(F.col("node").alias("cid"), "component", "block", F.explode(to).alias("t"))
-    wanted = tiles.select("cid", "component", F.col("t.x").alias("x"), F.col("t.y").alias("y"), (F.col("t.x") != F.col("block")).alias("second")).join(classes.select("cid", "rep_id", "rep_hash"), "cid")
-    met = texts.join(wanted, (texts["text_hash"] == wanted["rep_hash"]) & texts["doc_id"].eqNullSafe(wanted["rep_id"])).select("component", "x", "y", "second", "cid", "text")
-    ordered = met.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "second", "cid")
+    tiles = dealt.select(F.col("node").alias("cid"), F.col("component").alias("part"), "block", F.explode(to).alias("t"))
+    return tiles.select(F.lit(0).alias("kind"), "part", F.col("t.x").alias("x"), F.col("t.y").alias("y"), (F.col("t.x") != F.col("block")).alias("second"), "cid")
+
+
+def portions_of(pairs: DataFrame) -> DataFrame:
+    """(kind 1, part: a, x, y 0, second, cid): the partners of each `a` in portions of about SALT_ROWS, and `a` itself at the head of each portion."""
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
+    members = pairs.join(degree, "a").select(F.lit(1).alias("kind"), F.col("a").alias("part"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("x"), F.lit(0).alias("y"), F.lit(True).alias("second"), F.col("b").alias("cid"))
+    heads = degree.select(F.lit(1).alias("kind"), F.col("a").alias("part"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("x"), F.lit(0).alias("y"), F.lit(False).alias("second"), F.col("a").alias("cid"))
+    return members.unionByName(heads)
+
+
+def links(texts: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(a, b): the links within tiles, thinned to what connects, and those of the pairs in portions. Each text is fetched by one join for all of its places."""
+    placed = wanted.join(classes.select("cid", "rep_id", "rep_hash"), "cid")
+    met = texts.join(placed, (texts["text_hash"] == placed["rep_hash"]) & texts["doc_id"].eqNullSafe(placed["rep_id"])).select("kind", "part", "x", "y", "second", "cid", "text")
+    ordered = met.repartition("kind", "part", "x", "y").sortWithinPartitions("kind", "part", "x", "y", "second", "cid")
+
+    def batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in edges], pa.int64()), pa.array([j for _, j in edges], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, cids, halves = None, [], ([], [])
 
         def tile() -> pa.RecordBatch:
             x, y = halves
-            edges = tile_edges(x, y or None, num, den) if len(cids) > 1 and x and (y or at[1] == at[2]) else []
-            return pa.RecordBatch.from_arrays([pa.array([cids[i] for i, _ in edges], pa.int64()), pa.array([cids[j] for _, j in edges], pa.int64())], ["a", "b"])
+            edges = tile_edges(x, y or None, num, den) if len(cids) > 1 and x and (y or at[2] == at[3]) else []
+            return batch([(cids[i], cids[j]) for i, j in edges])
 
         for b in batches:
-            own = (b.column(i).to_pylist() for i in range(5))
-            for component, x, y, second, cid, text in zip(*own, b.column(5), strict=True):
-                if (component, x, y) != at:
-                    if at:
+            own, linked = (b.column(i).to_pylist() for i in range(6)), []
+            for kind, part, x, y, second, cid, text in zip(*own, b.column(6), strict=True):
+                if (kind, part, x, y) != at:
+                    if at and not at[0]:
                         yield tile()
-                    at, cids, halves = (component, x, y), [], ([], [])
-                if not cids or cids[-1] != cid:  # a repeated row of one text comes again
+                    at, cids, halves = (kind, part, x, y), [], ([], [])
+                if cids and cids[-1] == cid:  # a repeated row of one text
+                    continue
+                s = shingle_set(text.as_buffer().to_pybytes(), words)
+                if kind and second:
+                    cids = [cid]
+                    if halves[0]:
+                        both = len(np.intersect1d(halves[0][0], s, assume_unique=True))
+                        if den * both >= num * (len(halves[0][0]) + len(s) - both):
+                            linked.append((part, cid))
+                else:
                     cids.append(cid)
-                    halves[second].append(shingle_set(text.as_buffer().to_pybytes(), words))
-        if at:
+                    halves[second].append(s)
+            yield batch(linked)
+        if at and not at[0]:
             yield tile()
 
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The (a, b) pairs of classes whose whole sets link.
-
-    The members of an `a` are dealt in portions of about SALT_ROWS; each portion meets the text of `a` once and streams by it.
-    """
-    degree = pairs.groupBy("a").agg(F.count("*").alias("m"))
-    salted = pairs.join(degree, "a").withColumn("salts", F.ceil(F.col("m") / SALT_ROWS).cast("int"))
-    members = salted.select(F.col("b").alias("cid"), F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"))
-    leaders = degree.select(F.col("a").alias("cid"), F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / SALT_ROWS).cast("int") - 1)).alias("salt"), F.lit(False).alias("member"))
-    wanted = members.unionByName(leaders).join(classes.select("cid", "rep_id", "rep_hash"), "cid")
-    met = texts.join(wanted, (texts["text_hash"] == wanted["rep_hash"]) & texts["doc_id"].eqNullSafe(wanted["rep_id"])).select("lead", "salt", "member", "cid", "text")
-    ordered = met.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "member")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, None
-        for b in batches:
-            a, c = [], []
-            for lead, member, cid, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
-                s = shingle_set(text.as_buffer().to_pybytes(), words)
-                if not member:
-                    at, own = lead, s
-                elif lead == at:
-                    both = len(np.intersect1d(own, s, assume_unique=True))
-                    if den * both >= num * (len(own) + len(s) - both):
-                        a.append(lead)
-                        c.append(cid)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
-
-    return ordered.mapInArrow(run, "a long, b long")
-
-
 def product_of(token: np.ndarray, cid: np.ndarray, comp: np.ndarray, size: np.ndarray, pos: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, ...]]:
     """The pairs (a, b, size and position of either) of classes of different clusters in the columns of a block whose rows are sorted by token."""
     edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
@@ -307,9 +299,8 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, i
     classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), "set_key", "n", "mins", F.col("rep.id").alias("rep_id"), F.col("rep.hash").alias("rep_hash")))
     counts = summed_counts(profile)
     clusters = cut(clusters_of(classes))
-    within = cut(cluster_links(texts, classes, clusters, words, num, den))
     across = cut(product_pairs(texts, classes, clusters, counts, words, num, den))
-    linked = components(within.unionByName(verified(texts, classes, across, words, num, den)))
+    linked = components(links(texts, classes, tiles_of(clusters).unionByName(portions_of(across)), words, num, den))
     placed = classes.join(linked.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     heads = placed.groupBy("component").agg(F.min(F.struct(F.col("rep_id").isNull().alias("none"), F.col("rep_id").alias("id"), F.col("rep_hash").alias("hash"))).alias("head"))
     known = placed.join(heads, "component").select("set_key", F.col("head.id").alias("head_id"), F.col("head.hash").alias("head_hash"))
