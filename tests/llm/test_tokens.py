@@ -68,7 +68,7 @@ def test_unigram_states_are_viterbi_scores():
     model = PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
     model.unigram, model.ids = True, {"a": 3, "b": 4, "ab": 5, "abc": 6, "c": 7, "bc": 8}
     model.scores, model.unknown_score = [0, 0, 0, -2.0, -2.5, -3.0, -7.0, -2.0, -3.2], -20.0
-    model.byte_ids, model.longest = {}, 3
+    model.byte_ids, model.tails = {}, {p[k:]: p[k:] in model.ids for p in model.ids for k in range(len(p))}
 
     def splits(w):
         return [[]] if not w else [[w[:k], *r] for k in range(1, len(w) + 1) if w[:k] in model.ids for r in splits(w[k:])]

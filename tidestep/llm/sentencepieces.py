@@ -60,7 +60,8 @@ class PieceModel:
         self.scores = [p.score for p in spec.pieces]
         self.unknown = next(i for i, p in enumerate(spec.pieces) if p.type == kind.UNKNOWN)
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(spec.pieces) if p.type == kind.BYTE}
-        self.longest = max(map(len, self.ids), default=1)
+        #: Every ending of a piece, and whether it is a piece itself.
+        self.tails = {p[k:]: False for p in self.ids for k in range(1, len(p))} | dict.fromkeys(self.ids, True)
         self.unknown_score = min(self.scores) - 10.0
         self.bytes_of = [b""] * len(spec.pieces)
         for piece, i in self.ids.items():
@@ -82,7 +83,8 @@ class PieceModel:
             for a, b in zip(piece, piece[1:], strict=False):
                 beside.setdefault(a, set()).add(b)
                 beside.setdefault(b, set()).add(a)
-        apart = {c for p in self.ids for c in p if not _wordlike(c) and c != MARK} | {c for c in map(chr, range(128)) if not _wordlike(c)}
+        # characters beyond the basic plane would slow the pattern down for every other one
+        apart = {c for p in self.ids for c in p if not _wordlike(c) and c != MARK and c < "\U00010000"} | {c for c in map(chr, range(128)) if not _wordlike(c)}
         while odd := {c for c in apart if beside.get(c, set()) - apart - {MARK}}:
             apart -= odd
         own = "".join(map(re.escape, sorted(apart)))
@@ -141,7 +143,7 @@ class PieceModel:
         last: list[str] = [""]  # the last piece of each prefix's encoding
         score: list[float] = [0.0]
         previous = ""
-        ids, longest, fits = self.ids, self.longest, self.fits
+        tails, ids, fits, known = self.tails, self.ids, self.fits, self._fits
         for word in sorted(words):
             if not self.unigram and word.startswith(MARK * 2):
                 out[word] = self.id_bytes(self.merged(word))
@@ -151,19 +153,24 @@ class PieceModel:
                 shared += 1
             del last[shared + 1 :], score[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                best, best_score = None, -1e300
-                for begin in range(max(0, end - longest), end):
-                    piece = word[begin:end]
-                    number = ids.get(piece)
-                    if number is None and begin < end - 1:
-                        continue
-                    if self.unigram:
-                        value = score[begin] + (self.scores[number] if number is not None else self.unknown_score)
-                        if value > best_score:
-                            best, best_score = piece, value
-                    elif number is None or fits(last[begin], piece):
-                        best = piece
-                        break
+                begin, found = end - 1, []
+                while begin >= 0 and (whole := tails.get(word[begin:end])) is not None:
+                    if whole:
+                        found.append(begin)
+                    begin -= 1
+                best, best_score = word[end - 1 : end], -1e300  # a character outside the vocabulary
+                if self.unigram:
+                    for begin in found:
+                        if (value := score[begin] + self.scores[ids[word[begin:end]]]) > best_score:
+                            best, best_score = word[begin:end], value
+                    if (end - 1 not in found) and (value := score[end - 1] + self.unknown_score) > best_score:
+                        best, best_score = word[end - 1 : end], value
+                else:
+                    for begin in reversed(found):
+                        pair = last[begin], word[begin:end]
+                        if known[pair] if pair in known else fits(*pair):
+                            best = pair[1]
+                            break
                 last.append(best)
                 score.append(best_score)
             pieces, at = [], len(word)
