@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: reading tables, cutting lineage, key columns."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,19 +14,6 @@ def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; only where it is unset (tests) do we set our own."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidestep-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder, so a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(session_of(df))
-    return df.checkpoint(eager=True)
-
-
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone: other columns, also such as clash with an operator's own names, are not read. A null text is empty."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))

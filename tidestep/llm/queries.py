@@ -98,9 +98,47 @@ FROM o GROUP BY conv_id
 """
 
 
+#: Words, distinct shingles, all pairs that share one, and the closure of the links.
+OP5_SQL = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: list_aggregate(w[i:i + 3], 'string_agg', ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
+
+def _either_case(pattern: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in pattern)
+
+
+def op9_sql() -> str:
+    """Every rule's matches with the lengths of what stands between them; positions are sums of lengths."""
+    from tidestep.llm.secret_scan import BASE_RULES, RULES
+
+    parts = []
+    for k, r in enumerate(RULES):
+        p = r.pattern.replace("(?i:password|passwd|secret|token|api_?key)", _either_case("password|passwd|secret|token|api_?key")).replace("'", "''")
+        parts.append(f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {r.group}) AS g, regexp_split_to_array(t, '{p}') AS gap, {r.at_least} AS least FROM d")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(parts)}),
+l AS (SELECT doc_id, k, kind, least, list_transform(m, lambda x: length(x)) AS m, list_transform(g, lambda x: length(x)) AS g, list_transform(gap, lambda x: length(x)) AS gap, unnest(range(1, len(m) + 1)) AS i FROM f WHERE len(m) > 0),
+s AS (SELECT doc_id, k, kind, CAST(list_sum(gap[1:i]) + coalesce(list_sum(m[1:i - 1]), 0) AS BIGINT) AS b, m[i] AS n FROM l WHERE g[i] >= least),
+p AS (SELECT doc_id, k, b, b + n AS e, kind || ':' || b || ':' || (b + n) AS span FROM s)
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (k = {k}) AS n_{r.kind}" for k, r in enumerate(BASE_RULES))},
+  sha256(coalesce(string_agg(span, ',' ORDER BY b, k, e) FILTER (k < {len(BASE_RULES)}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY b, k, e), '') AS spans
+FROM d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_fingerprints, op4_language_id, op5_ngram_join, op6_decontamination, op7_sharding, op8_html_text, op9_secret_scan, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": OP10_SQL}
+    return {"op5_ngram_join": OP5_SQL, "op9_secret_scan": op9_sql(), "op10_chat_format": OP10_SQL}

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidestep.llm.common import cut, session_of, shuffle_parts, texts_of
+from tidestep.llm.common import session_of, shuffle_parts, texts_of
+from tidestep.storage import cut
 
 
 class BinTree:
