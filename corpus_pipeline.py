@@ -13,12 +13,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidestep.llm.common import ensure_checkpoint_dir, table
+from tidestep.llm.common import table
 from tidestep.llm.decontaminate import without_items
 from tidestep.llm.language_id import fold, kept_by_language, train
 from tidestep.llm.ngram_join import ngram_join
 from tidestep.llm.secret_scan import redact
 from tidestep.llm.sentencepieces import encode_texts
+from tidestep.storage import shared_dir
 
 #: A document goes if no language takes up this share of its words.
 LEAST_SHARE = 0.3
@@ -62,9 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written to the shared folder and read again."""
-    ensure_checkpoint_dir(spark)
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    base = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
