@@ -201,3 +201,45 @@ def test_codecs_round_trip(text, vector, i64, u64, flag, f64):
 @pytest.mark.parametrize(("template", "want"), [("f_{step}.x", "f_7.x"), ("{step:06}", "000007"), ("{time}-{other}", "1.5-{other}"), ("open{step", "open{step")])
 def test_path_templates(template, want):
     assert expand(template, 7, 1.5) == want
+
+
+def test_extracted_parameters_and_handles():
+    from tidestep.plans.system import system
+
+    @system(P.A, writes=("y",), extract={"twice": lambda w: 2 * w.get("x")})
+    def own(twice):
+        return twice + 1
+
+    w = World().put("x", 4)
+    assert own.reads == () and own(w) and w.get("y") == 9
+    m = Multi().add_app_with_config("a", Config.parse("[a.k]\nn = 2\n"), lambda app: app.put("n", app.world.get("config").table["k"]["n"]), {"k": {"n": 1, "m": 3}})
+    assert m.at("a").get("n") == 2 and m.at("a").get("config").table["k"] == {"n": 2, "m": 3}
+    m.at("a").put("n", 5)
+    assert m.read("a", "n") == 5
+    with pytest.raises(MissingResource):
+        m.at("b").put("n", 1)
+
+
+def test_stage_enums():
+    from tidestep.plans.ordering import has, stage_at, stage_names
+
+    assert stage_names(P) == ["a", "b", "c"] and stage_at(P, 1) is P.B and stage_at(P, 3) is None
+    with pytest.raises(OrderError):
+        stage_names(Enum("Twice", {"one": 0, "ONE": 1}))
+    assert has([logged([], "a")], "a") and not has([], "a")
+
+
+def test_printed_schedules():
+    s = Scheduler(World()).add(logged([], "b", P.B), logged([], "a").run_if(when.in_stage("relax")))
+    s.organise()
+    assert s.printed() == "[A]\n  a if in_stage(relax)\n[B]\n  b"
+    dot = s.dot(["relax", "flow"])
+    assert '"0:a"' in dot and '"1:a"' not in dot and '"1:b"' in dot
+
+
+def test_byte_frames(spark, tmp_path):
+    from tidestep.sources.dump import FrameFiles
+
+    spark.dataSource.register(FrameFiles)
+    spark.createDataFrame([("a/1.bin", b"x"), ("b.bin", b"yz")], "path string, payload binary").write.format("frames").mode("append").option("path", str(tmp_path)).save()
+    assert (tmp_path / "a/1.bin").read_bytes() == b"x" and (tmp_path / "b.bin").read_bytes() == b"yz"

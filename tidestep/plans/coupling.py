@@ -8,6 +8,7 @@ from typing import Any, Protocol
 
 from tidestep.plans.app import App
 from tidestep.plans.world import MissingResource, World
+from tidestep.sources.config import Config
 
 
 class Physics(Protocol):
@@ -105,6 +106,19 @@ class Mirror:
         return self.world.find(resource)
 
 
+@dataclass(frozen=True)
+class Handle:
+    multi: Multi
+    namespace: str
+
+    def get(self, resource: str) -> Any:
+        return self.multi.expect(self.namespace, resource)
+
+    def put(self, resource: str, value: Any) -> None:
+        if not self.multi.write(self.namespace, resource, value):
+            raise MissingResource(f"no resource {resource!r} in {self.namespace!r}")
+
+
 class Multi:
     """The participants of a parent, in order of their registration."""
 
@@ -122,6 +136,16 @@ class Multi:
         app.world.namespace = name
         return self.add(AppPhysics(name, app))
 
+    def add_app_with_config(self, name: str, config: Config, build: Callable[[App], None], base: dict | None = None) -> Multi:
+        """A sub-application that gets its own slice of the configuration, laid over a base, before it is built."""
+        app = App(namespace=name).put("config", config.for_subapp(name, base))
+        build(app)
+        return self.add_app(name, app)
+
+    def at(self, name: str) -> Handle:
+        """A participant's resources by a handle of fixed namespace; a missing one is an error."""
+        return Handle(self, name)
+
     def participants(self) -> list[str]:
         return list(self._held)
 

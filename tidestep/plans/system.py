@@ -44,6 +44,8 @@ class System:
     after: tuple[str, ...] = ()
     requires: tuple[str, ...] = ()
     conditions: tuple[Condition, ...] = ()
+    #: (parameter, extractor): further parameters, each made from the world by a function of its own.
+    extract: tuple[tuple[str, Callable[[World], Any]], ...] = ()
     local: dict = field(default_factory=dict, compare=False)
 
     def run_if(self, test: Callable[..., bool] | Condition) -> System:
@@ -71,6 +73,7 @@ class System:
         if not self.may_run(world):
             return False
         given = {n: world.get(n) for n in self.reads} | {n: world.find(n) for n in self.optional}
+        given |= {n: make(world) for n, make in self.extract}
         if "local" in inspect.signature(self.function).parameters:
             given["local"] = self.local
         made = self.function(**given)
@@ -82,11 +85,11 @@ class System:
         return True
 
 
-def system(phase: Any = None, *, writes: Iterable[str] = (), optional: Iterable[str] = (), name: str | None = None, **more: Any) -> Callable[[Callable[..., Any]], System]:
-    """Decorator: what the function reads are its parameters, but `local` and the optional ones."""
+def system(phase: Any = None, *, writes: Iterable[str] = (), optional: Iterable[str] = (), name: str | None = None, extract: dict[str, Callable[[World], Any]] | None = None, **more: Any) -> Callable[[Callable[..., Any]], System]:
+    """Decorator: what the function reads are its parameters, but `local`, the optional and the extracted ones."""
 
     def wrap(function: Callable[..., Any]) -> System:
-        own = tuple(p for p in inspect.signature(function).parameters if p != "local" and p not in tuple(optional))
-        return System(name or function.__name__, function, phase, own, tuple(optional), tuple(writes), **{k: tuple(v) for k, v in more.items()})
+        own = tuple(p for p in inspect.signature(function).parameters if p != "local" and p not in (*optional, *(extract or ())))
+        return System(name or function.__name__, function, phase, own, tuple(optional), tuple(writes), extract=tuple((extract or {}).items()), **{k: tuple(v) for k, v in more.items()})
 
     return wrap

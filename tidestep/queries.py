@@ -21,7 +21,7 @@ from tidestep.plans.states import StateMachine, check_stage_advance
 from tidestep.plans.system import System, system
 from tidestep.plans.world import World
 from tidestep.sources.config import Config, leaves
-from tidestep.sources.dump import write_frames
+from tidestep.sources.dump import DumpConfig, DumpPlugin, write_frames
 from tidestep.sources.run import RunPlugin, first_stage_warnings, stage_config, stage_frame, stages_of, validate_stages
 from tidestep.storage import shared_dir
 
@@ -668,6 +668,28 @@ def exec_trace(spark, d):
     return rows(spark, "step long, seq long, phase string, system string", *s.trace)
 
 
+@query("SELECT o_orderkey, o_totalprice AS x, CAST(s AS BIGINT) AS step FROM orders CROSS JOIN (VALUES (0),(2)) t(s)")
+def dump_plugin(spark, d):
+    """An app of four steps that dumps a frame every second step."""
+    import uuid
+
+    folder = f"{shared_dir(spark)}/dumps-{uuid.uuid4().hex}"
+    app = App(spark).put("frame", prices(spark, d)).add_plugins(RunPlugin(Config.parse("[run]\nsteps = 4\n")), DumpPlugin("frame", folder, DumpConfig(2, "step={step}"), Step.A))
+    app.start()
+    return spark.read.parquet(folder).select("o_orderkey", "x", F.col("step").cast("long").alias("step"))
+
+
+@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT),'          step             x'),(CAST(1 AS BIGINT),'             0             —'),(CAST(2 AS BIGINT),'             2      2.500000'),(CAST(3 AS BIGINT),'             4    1.000000e7')) t(i, line)")
+def termout_driver(spark, d):
+    """The driver's log: a header once, a dash for what was never set, the last value until another is set."""
+    out = observe.TermOut(["step", "x"], every=2)
+    for step, x in enumerate((None, 2.5, None, 1e7, None)):
+        if x is not None:
+            out.set("x", x)
+        out.print(step, 0.0)
+    return rows(spark, "i long, line string", *enumerate(out.lines))
+
+
 # --- coupling -----------------------------------------------------------------------------------------------------
 
 
@@ -781,6 +803,20 @@ def stream_on_enter_state(spark, d):
     return drained(entries(step_stream(spark, d), "error"))
 
 
+@query(SQL["apply_transitions"])
+def stream_apply_transitions(spark, d):
+    from tidestep.streaming.machines import drained, step_stream, transitions
+
+    return drained(transitions(step_stream(spark, d), "init", ["signup", "error"]))
+
+
+@query(SQL["stage_advance"])
+def stream_stage_advance(spark, d):
+    from tidestep.streaming.machines import drained, stages, step_stream
+
+    return drained(stages(step_stream(spark, d), "error", 3))
+
+
 @query()
 def stream_windows(spark, d):
     """Tumbling windows behind a watermark: those that it has closed."""

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from tidestep.functions.format import expand
+from tidestep.plans.app import App, Plugin
+from tidestep.plans.conditions import every_n_steps
+from tidestep.plans.system import System
+
 
 @dataclass
 class DumpConfig:
@@ -55,3 +62,26 @@ class FrameFiles(DataSource):
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Writer(self.options["path"])
+
+
+class DumpPlugin(Plugin):
+    """Writes a frame of the world as one table per due step. An error is logged and the run goes on; an interval of 0 registers nothing."""
+
+    name = "dump"
+    is_unique = False
+    default_config = '[dump]\ninterval = 0\npath_template = "frame_{step:06}"\n'
+
+    def __init__(self, resource: str, folder: str, config: DumpConfig, phase: Any = None) -> None:
+        self.resource, self.folder, self.config, self.phase = resource, folder, config, phase
+
+    def build(self, app: App) -> None:
+        if self.config.interval <= 0:
+            return
+
+        def write(clock, **frames) -> None:
+            try:
+                frames[self.resource].write.mode("overwrite").parquet(f"{self.folder}/{expand(self.config.path_template, clock.step, clock.time)}")
+            except Exception:
+                logging.getLogger("tidestep").exception("step %s wasn't dumped", clock.step)
+
+        app.add_systems(System(f"dump_{self.resource}", write, self.phase, ("clock", self.resource)).run_if(every_n_steps(self.config.interval)))

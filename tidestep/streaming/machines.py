@@ -35,6 +35,34 @@ def entries(stream: DataFrame, state: str, key: str = "user_id", column: str = "
     return narrow.groupBy(key).applyInPandasWithState(run, f"{ident} long, {key} long", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
+def transitions(stream: DataFrame, start: str, states: list[str], key: str = "user_id", column: str = "event_type", ident: str = "event_id", order: str = "ts") -> DataFrame:
+    """(ident, state): each row's state before its own pending one, if its column names one of the states, is applied."""
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now = held.get[0] if held.exists else start
+        rows = pd.concat(frames).sort_values([order, ident])
+        pending = rows[column].where(rows[column].isin(states)).ffill()
+        held.update((now if pd.isna(pending.iloc[-1]) else pending.iloc[-1],))
+        yield pd.DataFrame({ident: rows[ident], "state": pending.shift(1).fillna(now)})
+
+    return stream.select(ident, key, column, order).groupBy(key).applyInPandasWithState(run, f"{ident} long, state string", "current string", "append", GroupStateTimeout.NoTimeout)
+
+
+def stages(stream: DataFrame, state: str, most: int, key: str = "user_id", column: str = "event_type", ident: str = "event_id", order: str = "ts") -> DataFrame:
+    """(ident, stage): how often the key has entered the state so far, at most so many."""
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        last, n = held.get if held.exists else ("", 0)
+        rows = pd.concat(frames).sort_values([order, ident])
+        before = rows[column].shift(1)
+        before.iloc[0] = last
+        so_far = n + ((rows[column] == state) & (before != state)).cumsum()
+        held.update((rows[column].iloc[-1], min(int(so_far.iloc[-1]), most)))
+        yield pd.DataFrame({ident: rows[ident], "stage": so_far.clip(upper=most).astype("int64")})
+
+    return stream.select(ident, key, column, order).groupBy(key).applyInPandasWithState(run, f"{ident} long, stage long", "last string, n long", "append", GroupStateTimeout.NoTimeout)
+
+
 def windowed_counts(stream: DataFrame, every: str = "1 day", late: str = "1 hour", time: str = "ts", column: str = "event_type") -> DataFrame:
     """(begin, column, n) by tumbling window, for update or append output; rows later than `late` behind the newest are left out."""
     stamped = stream.withColumn("__at", F.col(time).cast("timestamp")).withWatermark("__at", late)
