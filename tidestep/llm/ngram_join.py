@@ -40,6 +40,8 @@ from tidestep.storage import cut
 BUCKET_BITS, PARTS = 18, 16
 #: Min-hashes, and how many of them must agree with a leader's.
 MINS, AGREE = 8, 3
+#: Parts in which the classes of one min-hash value are dealt, as one value may be that of very many.
+SALTS = 8
 #: Classes that one comparison task reads against one leader, the side of a tile, and the shingles that a tile multiplies at once.
 SALT_ROWS, TILE, COLUMNS = 500, 512, 1 << 13
 _MIN_SEEDS = np.random.default_rng(77).integers(1, 1 << 63, MINS, dtype=np.uint64) | np.uint64(1)
@@ -97,13 +99,14 @@ def summed_counts(profile: DataFrame) -> np.ndarray:
 
 def clusters_of(classes: DataFrame) -> DataFrame:
     """(node, component) of the classes that agree in AGREE min-hashes with a leader: of the classes with one value of a min-hash, the one whose values most others share."""
-    bands = classes.select("cid", F.posexplode("mins").alias("k", "value"))
+    bands = classes.select("cid", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int").alias("salt"), F.posexplode("mins").alias("k", "value"))
+    spread = lambda small: small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     common = bands.groupBy("k", "value").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = cut(bands.join(common, ["k", "value"]))
+    shared = cut(bands.join(spread(common), ["k", "value", "salt"]))
     central = shared.groupBy("cid").agg(F.sum("size").alias("weight"))
     weighed = shared.join(central, "cid")
     leads = weighed.groupBy("k", "value").agg(F.max(F.struct("weight", (-F.col("cid")).alias("cid"))).alias("best")).select("k", "value", (-F.col("best.cid")).alias("lead"))
-    met = shared.join(leads, ["k", "value"]).filter("lead <> cid").groupBy("lead", "cid").agg(F.count("*").alias("agree")).filter(F.col("agree") >= AGREE)
+    met = shared.join(spread(leads), ["k", "value", "salt"]).filter("lead <> cid").groupBy("lead", "cid").agg(F.count("*").alias("agree")).filter(F.col("agree") >= AGREE)
     best = met.groupBy("cid").agg(F.max(F.struct(F.col("agree"), (-F.col("lead")).alias("lead"))).alias("best"))
     return components(best.select((-F.col("best.lead")).alias("a"), F.col("cid").alias("b")))
 
