@@ -125,7 +125,8 @@ def shard_documents(docs: DataFrame, shards: int | None = 16, capacity: int | No
     rows = measured(docs)
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
     ordered = cut(groups.repartitionByRange(shuffle_parts(spark), F.desc("bytes"), F.asc("key")).sortWithinPartitions(F.desc("bytes"), F.asc("key")))
-    classes = sorted(((r[0], r[1]) for r in ordered.groupBy("bytes").count().collect()), reverse=True)
+    histogram = ordered.groupBy("bytes").count().toArrow()
+    classes = sorted(zip(*(histogram.column(c).to_pylist() for c in ("bytes", "count")), strict=True), reverse=True)
     intervals = equal_shards(classes, shards) if shards else best_fit_decreasing(classes, capacity)[0]
     starts = np.array([x[0] for x in intervals], dtype=np.int64)
     bins = np.array([x[1] for x in intervals], dtype=np.int32)
