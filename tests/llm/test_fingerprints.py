@@ -67,3 +67,11 @@ def test_texts_without_words_are_alike(spark):
 def test_main_path_is_native(spark, sf):
     plan = queries()["op3_fingerprints"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_ranges(spark):
+    from tidestep.llm.fingerprints import range_of
+
+    cuts = [3 * i for i in range(200)]
+    got = spark.range(-5, 700).select("id", range_of(F.col("id"), cuts).alias("r"), range_of(F.col("id"), []).alias("none")).collect()
+    assert all(r.r == sum(c <= r.id for c in cuts) and r.none == 0 for r in got)

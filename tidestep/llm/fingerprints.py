@@ -78,6 +78,14 @@ def fingerprints(docs: DataFrame, samples: int = 16, id_col: str = "doc_id", tex
     return found.select("doc_id", packed(samples).alias("signature")).withColumn("fingerprint", text_of(F.col("signature")))
 
 
+def range_of(place: Column, cuts: list[int], width: int = 64) -> Column:
+    """How many of the sorted cuts are at most `place`: first among each width-th cut, then within one stretch."""
+    whole = F.array(*(F.lit(x) for x in cuts)).cast("array<bigint>")
+    coarse = F.array(*(F.lit(x) for x in cuts[width - 1 :: width])).cast("array<bigint>")
+    passed = F.size(F.filter(coarse, lambda x: x <= place)) * width
+    return passed + F.size(F.filter(F.slice(whole, passed + 1, F.lit(width)), lambda x: x <= place))
+
+
 def edited_likeness(docs: DataFrame, samples: int = 16) -> DataFrame:
     """Each document's fingerprint against those of its edited text (its latter half replaced by the start of the next document) and of the next document.
 
@@ -89,12 +97,13 @@ def edited_likeness(docs: DataFrame, samples: int = 16) -> DataFrame:
     rows = texts_of(docs).withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63))))
     parts = shuffle_parts(spark)
     cuts = rows.agg(F.percentile_approx("place", F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(10_000))).first()[0] if parts > 1 else None
-    cuts = F.array(*(F.lit(x) for x in sorted(set(cuts or ())))).cast("array<bigint>")
-    located = rows.withColumn("range", F.size(F.filter(cuts, lambda x: x <= F.col("place"))))
+    located = rows.withColumn("range", range_of(F.col("place"), sorted(set(cuts or ()))))
     firsts = sorted(tuple(r) for r in located.groupBy("range").agg(F.min("place")).collect())
-    before = {place: firsts[i - 1][0] for i, (_, place) in enumerate(firsts)}
-    ghost_of = F.create_map(*(F.lit(x) for place, r in before.items() for x in (place, r))) if before else F.create_map().cast("map<bigint,int>")
-    target = ghost_of[F.col("place")]
+    heads, befores = [None] * (firsts[-1][0] + 1 if firsts else 1), [None] * (firsts[-1][0] + 1 if firsts else 1)
+    for i, (r, place) in enumerate(firsts):
+        heads[r], befores[r] = place, firsts[i - 1][0]
+    at = lambda values, kind: F.array(*(F.lit(x) for x in values)).cast(f"array<{kind}>")[F.col("range")]
+    target = F.when(F.col("place") == at(heads, "bigint"), at(befores, "int"))
     dealt = located.select("doc_id", "place", "text", F.explode(F.when(target.isNotNull(), F.array(F.struct(F.col("range"), F.lit(False).alias("ghost")), F.struct(target.alias("range"), F.lit(True).alias("ghost")))).otherwise(F.array(F.struct(F.col("range"), F.lit(False).alias("ghost"))))).alias("to"))
     dealt = dealt.select("doc_id", "place", "text", F.col("to.range").alias("range"), F.col("to.ghost").alias("ghost"))
     w = Window.partitionBy("range").orderBy("ghost", "place", "text")
