@@ -16,14 +16,15 @@ def global_steps(df: DataFrame, *order: str, name: str = "step") -> DataFrame:
     """
     sorted_ = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
     counts = dict(sorted_.groupBy(F.spark_partition_id().alias("p")).count().collect())
-    offsets, at = {}, 0
-    for p in sorted(counts):
-        offsets[p], at = at, at + counts[p]
+    offsets, at = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        offsets.append(at)
+        at += counts.get(p, 0)
     if not offsets:
         return sorted_.withColumn(name, F.lit(0).cast("long"))
-    table = F.create_map(*(F.lit(x).cast("long") for p, n in offsets.items() for x in (p, n)))
+    table = F.array(*(F.lit(x) for x in offsets)).cast("array<bigint>")
     inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return sorted_.withColumn(name, table[F.spark_partition_id().cast("long")] + inside)
+    return sorted_.withColumn(name, table[F.spark_partition_id()] + inside)
 
 
 def per_key(key: str | list[str], *order: str) -> Window:
@@ -58,4 +59,4 @@ def stop_after(df: DataFrame, n: int, *order: str) -> DataFrame:
 
 def in_stage_steps(df: DataFrame, stages: DataFrame, step: str = "step") -> DataFrame:
     """Joins each step to the stage that occupies it; the stage table is a run's configuration, of a few rows."""
-    return df.join(F.broadcast(stages), (F.col(step) >= F.col("lo")) & (F.col(step) < F.col("lo") + F.col("occupied")))
+    return df.join(stages, (F.col(step) >= F.col("lo")) & (F.col(step) < F.col("lo") + F.col("occupied")))
