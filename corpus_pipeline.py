@@ -35,10 +35,13 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     The chosen rows are known by id and text; of exact repetitions of such a row one stays.
     """
-    marked = ngram_join(docs, words=5, num=80, den=100).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    own = docs.withColumn("__row_hash", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    kept = own.join(marked, own["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__row_hash") == F.col("__hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__row_hash"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    keys = ["__id", "__null", "__hash"]
+    keyed = lambda df, text_hash: df.withColumns(dict(zip(keys, (F.coalesce(df["doc_id"], F.lit(0)), df["doc_id"].isNull(), text_hash), strict=True)))
+    marked = ngram_join(docs, words=5, num=80, den=100).filter("kept")
+    marked = keyed(marked, marked["text_hash"]).select(*keys).distinct()
+    own = keyed(docs, F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
+    # one shuffle by these keys serves the join and the removal of repetitions
+    return own.join(marked, keys, "left_semi").dropDuplicates(keys).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
