@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidestep.llm.common import sliced
+
 #: The template's marks.
 START, END, ASSISTANT = "<|im_start|>", "<|im_end|>", "assistant"
 SCHEMA = "conv_id long, example long, n_turns long, formatted string, loss_start long, loss_end long, closing boolean"
@@ -85,7 +87,7 @@ def chat_examples(turns: DataFrame) -> DataFrame:
     """One row per example (loss_start, loss_end: code points of the trainable part); examples of a conversation follow one another in their task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        rows = (row for b in sliced(batches) for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
         yield from batched(examples_of(rows), OUT, 3)
 
     text = lambda c: F.coalesce(turns[c].cast("string"), F.lit(""))
@@ -122,7 +124,7 @@ def digests(examples: DataFrame) -> DataFrame:
     """A row per conversation, read back from chat_examples' output in the order in which it makes it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))
+        rows = (row for b in sliced(batches) for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))
         yield from batched(digests_of(rows), DIGEST_OUT, None)
 
     return examples.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, DIGEST)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,3 +24,11 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sliced(batches: Iterable[pa.RecordBatch], slice_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about slice_bytes, so that only so much text is held as Python objects at a time."""
+    for b in batches:
+        rows = max(1, b.num_rows * slice_bytes // max(b.nbytes, 1))
+        for begin in range(0, b.num_rows, rows):
+            yield b.slice(begin, rows)

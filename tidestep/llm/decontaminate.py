@@ -25,7 +25,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidestep.llm.common import texts_of
+from tidestep.llm.common import sliced, texts_of
 
 _BETWEEN = re.compile(r"[\W_]+")
 
@@ -174,7 +174,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, error_rate)
-            for b in batches:
+            for b in sliced(batches):
                 out: list[list] = [[], [], [], []]
                 for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     for number, distance in matcher.match(text).items():
@@ -201,7 +201,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.1
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, error_rate)
-            for b in batches:
+            for b in sliced(batches):
                 yield b.filter(pa.array([not (t and matcher.match(t)) for t in b.column(at).to_pylist()], pa.bool_()))
 
         return rows.mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidestep.llm.common import texts_of
+from tidestep.llm.common import sliced, texts_of
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.05
@@ -121,7 +121,7 @@ def train(docs: DataFrame, max_rows: int = 50_000) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in sliced(batches):
             texts, langs = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), dtype=object)
             for lang in set(langs):
                 own = [texts[i] for i in np.flatnonzero(langs == lang)]
@@ -147,7 +147,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array([*model.languages, UNKNOWN], dtype=object)
-        for b in batches:
+        for b in sliced(batches):
             best, score = predicted(model, b.column(1).to_pylist(), b.column(2).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[best], pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -167,7 +167,7 @@ def kept_by_language(docs: DataFrame, model: Model, least_score: float) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             best, score = predicted(shared.value, b.column(at).to_pylist(), b.column(b.num_columns - 1).to_numpy(zero_copy_only=False))
             yield b.filter(pa.array((best >= 0) & (score >= least_score))).select(list(range(b.num_columns - 1)))
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidestep.llm.common import texts_of
+from tidestep.llm.common import sliced, texts_of
 from tidestep.llm.components import components
 from tidestep.llm.shingles import mix, shingle_set
 from tidestep.storage import cut
@@ -64,7 +64,7 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
         counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
         names = ["doc_id", "text_hash", "n", "set_key", "mins", "part", "counts"]
         none = lambda m, t: pa.nulls(m, t)
-        for b in batches:
+        for b in sliced(batches):
             sizes, keys, mins = [], [], []
             for text in b.column(2):
                 s = shingle_set(text.as_buffer().to_pybytes(), words)
@@ -85,7 +85,7 @@ def summed_counts(profile: DataFrame) -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        for b in batches:
+        for b in sliced(batches):
             for part, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 x = np.frombuffer(counts, dtype=np.int64)
                 held[part] = held[part] + x if part in held else x
@@ -191,7 +191,7 @@ def links(texts: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, n
             edges = tile_edges(x, y or None, num, den) if len(cids) > 1 and x and (y or at[2] == at[3]) else []
             return batch([(cids[i], cids[j]) for i, j in edges])
 
-        for b in batches:
+        for b in sliced(batches):
             own, linked = (b.column(i).to_pylist() for i in range(6)), []
             for kind, part, x, y, second, cid, text in zip(*own, b.column(6), strict=True):
                 if (kind, part, x, y) != at:
@@ -249,7 +249,7 @@ def product_pairs(texts: DataFrame, classes: DataFrame, clusters: DataFrame, cou
     shared = texts.sparkSession.sparkContext.broadcast(counts)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for text in b.column(2):
                 s = shingle_set(text.as_buffer().to_pybytes(), words)
@@ -271,7 +271,7 @@ def product_pairs(texts: DataFrame, classes: DataFrame, clusters: DataFrame, cou
             for found in product_of(*columns, num, den):
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in found], names)
 
-        for b in batches:
+        for b in sliced(batches):
             own = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]
             if held is not None:
                 own = [np.concatenate(x) for x in zip(held, own, strict=True)]

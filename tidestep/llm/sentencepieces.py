@@ -28,11 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidestep.llm.common import texts_of
+from tidestep.llm.common import sliced, texts_of
 from tidestep.llm.token_counts import batches_of, vocabulary_path
 
 MARK = "▁"
-MOST_CACHED, LONGEST_CACHED = 1 << 19, 48
+MOST_CACHED, LONGEST_CACHED = 3 << 17, 48
 _loaded: dict[str, PieceModel] = {}
 
 
@@ -120,7 +120,7 @@ class PieceModel:
         """Whether two pieces stay apart when they stand next to each other."""
         found = self._fits.get((left, right))
         if found is None:
-            if len(self._fits) > 1 << 20:
+            if len(self._fits) > 1 << 18:
                 self._fits.clear()
             found = self._fits[left, right] = self.merged(left + right) == [x for x in (left, right) if x]
         return found
@@ -207,12 +207,12 @@ def model_of(vocabulary: str) -> PieceModel:
     return _loaded[vocabulary]
 
 
-def encode_texts(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
+def encode_texts(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, n_tokens, token_ids, round_trip) of every row; round_trip: decoding the ids gives the text back. One narrow pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(vocabulary)
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(1).to_pylist()
             for own in batches_of([len(t) for t in texts], batch_bytes):
                 found = model.encode(texts[own])
@@ -229,7 +229,7 @@ def decode_texts(encoded: DataFrame, vocabulary: str = "piece_bpe_32k.model", *,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(vocabulary)
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     return encoded.select(encoded[id_col].cast("long").alias("doc_id"), encoded[ids_col].alias("token_ids")).mapInArrow(run, "doc_id long, text string")

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidestep.llm.common import texts_of
+from tidestep.llm.common import sliced, texts_of
 
 #: Before a blank alone between characters that are not white space.
 SAFE = re.compile(r"(?<=\S)(?= \S)")
@@ -105,7 +105,7 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", *, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, cache = counter(vocabulary), _lengths.setdefault(vocabulary, {})
-        for b in batches:
+        for b in sliced(batches):
             sizes = pc.binary_length(b.column(1)).cast(pa.int64())
             n_tokens = lengths(b.column(1).to_pylist(), sizes.to_pylist(), count, vocabulary.endswith(".json"), batch_bytes, cache)
             yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array(n_tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
