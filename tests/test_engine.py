@@ -243,3 +243,28 @@ def test_byte_frames(spark, tmp_path):
     spark.dataSource.register(FrameFiles)
     spark.createDataFrame([("a/1.bin", b"x"), ("b.bin", b"yz")], "path string, payload binary").write.format("frames").mode("append").option("path", str(tmp_path)).save()
     assert (tmp_path / "a/1.bin").read_bytes() == b"x" and (tmp_path / "b.bin").read_bytes() == b"yz"
+
+
+@given(st.lists(st.tuples(st.integers(0, 7), st.integers(0, 7)), max_size=14))
+@settings(max_examples=150, deadline=None)
+def test_orders_respect_edges(edges):
+    """Edges from a lesser to a greater number never form a cycle; without edges the registration order stays."""
+    wanted = {(min(a, b), max(a, b)) for a, b in edges if a != b}
+    made = [System(str(i), lambda: None, P.A, after=tuple(str(a) for a, b in wanted if b == i)) for i in reversed(range(8))]
+    at = {s.name: k for k, s in enumerate(topological(made))}
+    assert all(at[str(a)] < at[str(b)] for a, b in wanted)
+    if not wanted:
+        assert [s.name for s in topological(made)] == [s.name for s in made]
+
+
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=6), st.lists(st.booleans(), min_size=6, max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_stage_walks_take_the_steps_that_they_say(steps, skips):
+    from tidestep.sources.run import RunPlugin
+
+    table = {"run": [{"name": f"s{i}", "steps": n, "skip": skips[i]} for i, n in enumerate(steps)]}
+    app, seen = App(), []
+    app.add_plugins(RunPlugin(Config(table)))
+    app.add_systems(System("log", lambda: seen.append(app.control.stage_name), P.A))
+    app.start(200)
+    assert seen == [f"s{i}" for i, n in enumerate(steps) for _ in range(max(0 if skips[i] else n, 1))]
