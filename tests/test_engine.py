@@ -268,3 +268,23 @@ def test_stage_walks_take_the_steps_that_they_say(steps, skips):
     app.add_systems(System("log", lambda: seen.append(app.control.stage_name), P.A))
     app.start(200)
     assert seen == [f"s{i}" for i, n in enumerate(steps) for _ in range(max(0 if skips[i] else n, 1))]
+
+
+def test_pins_cut_the_lineage_of_a_loop_that_reads_itself(spark, sf):
+    """Each round moves a price halfway to its customer's mean, which joins the frame with an aggregate of itself."""
+    from pyspark.sql import functions as F
+
+    def smooth(frame):
+        means = frame.groupBy("k").agg(F.avg("x").alias("m"))
+        return frame.join(means, "k").select("k", "id", ((F.col("x") + F.col("m")) / 2).alias("x"))
+
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("x"))
+    spread = lambda w: w.get("frame").groupBy("k").agg((F.max("x") - F.min("x")).alias("s")).agg(F.max("s")).first()[0]
+    w = World(spark).put("frame", orders)
+    first = spread(w)
+    loop = loop_until(P.A, lambda w: spread(w) < first / 30, 10, OnMax.RAISE, pin=("frame",))
+    s = Scheduler(w).add(System("smooth", smooth, P.A, ("frame",), (), ("frame",))).set_schedule(loop)
+    s.organise()
+    s.run()
+    assert s.iterations[id(loop)] == 5
+    assert w.get("frame")._jdf.queryExecution().logical().toString().count("Join") == 0
