@@ -43,7 +43,7 @@ MINS, AGREE = 8, 3
 #: Parts in which the classes of one min-hash value are dealt, as one value may be that of very many.
 SALTS = 8
 #: Classes that one comparison task reads against one leader, the side of a tile, and the shingles that a tile multiplies at once.
-SALT_ROWS, TILE, COLUMNS = 500, 512, 1 << 13
+SALT_ROWS, TILE, COLUMNS = 250, 256, 1 << 13
 _MIN_SEEDS = np.random.default_rng(77).integers(1, 1 << 63, MINS, dtype=np.uint64) | np.uint64(1)
 
 
