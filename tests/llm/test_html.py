@@ -66,3 +66,17 @@ def test_odd_rows(spark):
     got = extract(pages).collect()
     assert sorted((r.page_id or 0, r.text[:4], r.n_chars) for r in got) == [(0, "a", 1), (1, "", 0), (1, "", 0), (2, "deep", 4), (3, "word", 499_999)]
     assert extract(pages.limit(0)).count() == 0
+
+
+LONG = "<p>" + "A long paragraph of running text that goes on and on. " * 6 + "</p>"
+
+
+def test_density_chooses_on_marked_pages():
+    teaser = "<article><p>A teaser.</p></article>"
+    got = main_text(f"<body><main><h1>T</h1>{LONG * 3}{teaser}</main></body>").split("\n")
+    assert got[0] == "T" and len(got) == 5
+    parts = "".join(f"<article><h2>Part {i}</h2>{LONG * (4 - i)}</article>" for i in range(3))
+    assert main_text(f"<body><div>{parts}</div></body>").count("A long") == 54
+    assert main_text(f"<body><div>{parts}</div></body>").count("Part") == 3
+    beside = main_text(f"<body>{teaser}<div>{LONG * 9}</div><article>{'<a href=x>link text</a> ' * 9}</article></body>")
+    assert beside.count("A long") == 54 and "link text" not in beside

@@ -4,8 +4,9 @@ Each page is parsed into a tree. For a node with C characters, T tags, LC charac
 ratio of link characters, the composite density is C / T * log(base ln(C/(C-LC) * LC + LCb/Cb * C + e)) of (C/LC * T/LT):
 characters per tag, less where links prevail. The sum of the densities of a node's children tells how much running text it
 holds. The node with the largest sum is the content; the least density on its path to the body is the threshold that a
-further region of the body must reach to count as content too, of which again the subtree with the largest sum is taken.
-Where the page marks articles, the candidates are the articles.
+further region of the body must reach to count as content too. <article> and <main> are hints only: the content grows to the
+outermost of them around it, shrinks to those in it that hold more than half of its text outside links, and further ones
+count if they reach the threshold or are less than half links.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by their element, role, class or id,
 and are no part of the tree's text. An article's own <header> stays.
@@ -156,7 +157,8 @@ class Tree:
         for item in self.flow:
             if item:
                 chars[item[0]] += len(item[1].strip())
-        linked = [False] * n
+        self.chars, self.link_chars, self.linked = chars, link_chars, [False] * n
+        linked = self.linked
         for i in range(1, n):
             linked[i] = self.tag[i] == "a" or linked[self.parent[i]]
             if linked[i]:
@@ -187,15 +189,6 @@ class Tree:
         own = [i for i in range(n) if not self.noise[i] and density[i] > 0]
         if not own:
             return []
-        articles = [i for i in own if self.tag[i] in ARTICLES]
-        if articles:
-            outer: list[int] = []
-            for i in articles:
-                if not outer or not self._holds(outer[-1], i):
-                    outer.append(i)
-            best = max(outer, key=lambda i: (max(sums[i : self.last[i] + 1]), -i))
-            inner = [i for i in articles if self._holds(best, i) and self.tag[best] == "main"]
-            return [max(inner, key=lambda i: (sums[i], -i))] if inner else [best]
         best = max(own, key=lambda i: (sums[i], -i))
         if sums[best] == 0:
             best = 0
@@ -203,12 +196,29 @@ class Tree:
         while at > 0:
             threshold = min(threshold, density[at])
             at = self.parent[at]
+        articles: list[int] = []  # the outermost
+        for i in own:
+            if self.tag[i] in ARTICLES and not (articles and self._holds(articles[-1], i)):
+                articles.append(i)
+        plain = lambda i: self.chars[i] - self.link_chars[i]
+        around = [i for i in articles if i == best or self._holds(i, best)]
+        within = [i for i in articles if self._holds(best, i)]
+        kept = {i for i in articles if density[i] >= threshold or 2 * self.link_chars[i] < self.chars[i]}
+        if around:
+            kept.add(around[0])
+        elif 2 * sum(map(plain, within)) <= plain(best):
+            kept.add(best)
+        elif not kept.intersection(within):
+            kept.add(max(within, key=lambda i: (sums[i], -i)))
+        narrow = best not in kept
         found, i = [], 0
         while i < n:
-            if self._holds(i, best) or self.noise[i]:
+            if self.noise[i]:
                 i += 1
-                continue
-            if i == best or density[i] >= threshold and self.tag[i] in BLOCK:
+            elif i in kept:
+                found.append(i)
+                i = self.last[i] + 1
+            elif density[i] >= threshold and self.tag[i] in BLOCK and not (narrow and i == best) and not any(i < k <= self.last[i] for k in kept):
                 found.append(i)
                 i = self.last[i] + 1
             else:
