@@ -80,3 +80,15 @@ def test_density_chooses_on_marked_pages():
     assert main_text(f"<body><div>{parts}</div></body>").count("Part") == 3
     beside = main_text(f"<body>{teaser}<div>{LONG * 9}</div><article>{'<a href=x>link text</a> ' * 9}</article></body>")
     assert beside.count("A long") == 54 and "link text" not in beside
+
+
+def test_headings_and_uneven_sections():
+    head, short = "<h1>A heading of an unmarked page, say</h1>", "<div><p>A short section stands after the long one.</p></div>"
+    links = "<ul>" + "".join(f"<li><a href={i}>Link number {i}</a></li>" for i in range(30)) + "</ul>"
+    for rest in ("", links):
+        got = main_text(f"<body>{rest}<div id=story>{head}<div>{LONG * 8}</div>{short}</div></body>").split("\n")
+        assert (got[0], got[-1], len(got)) == ("A heading of an unmarked page, say", "A short section stands after the long one.", 10)
+    got = main_text(f"<body>{links}<div>Direct text <b>stands</b> here<h2>Sub</h2><div>{LONG * 8}</div>and <i>after</i> it</div></body>").split("\n")
+    assert (got[:2], got[-1], len(got)) == (["Direct text stands here", "Sub"], "and after it", 11)
+    got = main_text(f"<body><article>{LONG * 4}</article><h2>Between</h2><p>Short.</p>{links}<article>{LONG * 4}</article></body>")
+    assert "Between\nShort." in got and "Link" not in got

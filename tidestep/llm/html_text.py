@@ -8,6 +8,10 @@ further region of the body must reach to count as content too. <article> and <ma
 outermost of them around it, shrinks to those in it that hold more than half of its text outside links, and further ones
 count if they reach the threshold or are less than half links.
 
+The threshold alone would drop headings and short sections. So blocks that are less than half links count too in the regions'
+common container, which grows while what surrounds it is less than half links (on pages with an article: between the first and the
+last region), and so do headings and direct text of the regions' ancestors.
+
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by their element, role, class or id,
 and are no part of the tree's text. An article's own <header> stays.
 
@@ -47,6 +51,7 @@ NOISE = frozenset("head script style noscript template svg math iframe object em
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login social share sharing related recommended comment comments commentlist disqus respond reply replies pagination pager toolbar widget".split())
 ARTICLES = frozenset({"article", "main"})
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
 class Tree:
@@ -228,19 +233,59 @@ class Tree:
     def _holds(self, a: int, b: int) -> bool:
         return a < b <= self.last[a]
 
+    def _surroundings(self, regions: list[int]) -> tuple[int, int]:
+        """The stretch of `flow` whose blocks count as content unless they are mainly links.
+
+        It is the regions' common container, which grows while what surrounds it is less than half links. Where an
+        <article> or <main> is a region, it reaches from the first to the last region only.
+        """
+        if any(self.tag[i] in ARTICLES for i in regions):
+            return self.begin[regions[0]], self.end[regions[-1]]
+        at = regions[0]
+        while not (self.last[regions[-1]] <= self.last[at]):
+            at = self.parent[at]
+        while at > 0:
+            up = self.parent[at]
+            if 2 * (self.link_chars[up] - self.link_chars[at]) > self.chars[up] - self.chars[at]:
+                break
+            at = up
+        return self.begin[at], self.end[at]
+
     def text(self) -> str:
+        """The blocks of the content's subtrees, and of what stands around them: blocks of the common container, and headings and direct text of all ancestors."""
+        regions = self.content()
+        if not regions:
+            return ""
+        begin, end = self._surroundings(regions)
+        above: set[int] = set()
+        for i in regions:
+            while (i := self.parent[i]) >= 0 and i not in above:
+                above.add(i)
+        inside = [False] * (len(self.flow) + 1)
+        for i in regions:
+            inside[self.begin[i] : self.end[i]] = [True] * (self.end[i] - self.begin[i])
         blocks: list[str] = []
-        for node in self.content():
-            held: list[str] = []
-            for item in [*self.flow[self.begin[node] : self.end[node]], None]:
-                if item:
-                    held.append(item[1])
-                elif held:
-                    if block := " ".join("".join(held).split()):
-                        blocks.append(block)
-                    held = []
+        held: list[int] = []
+        for k, item in enumerate([*self.flow, None]):
+            if item:
+                held.append(k)
+            elif held:
+                block = " ".join("".join(self.flow[j][1] for j in held).split())
+                if block and (any(inside[j] for j in held) or self._counts(held, above, begin <= held[0] < end)):
+                    blocks.append(block)
+                held = []
         return "\n".join(blocks)
 
+    def _counts(self, held: list[int], above: set[int], within: bool) -> bool:
+        """Whether a block outside the regions is content: less than half links, and in the container, or text or a heading of an ancestor."""
+        links = sum(len(self.flow[j][1].strip()) * (1 if self.linked[self.flow[j][0]] else -1) for j in held)
+        if links >= 0:
+            return False
+        at = self.flow[held[0]][0]
+        while at > 0 and self.tag[at] not in BLOCK:
+            at = self.parent[at]
+        return within or at in above or self.tag[at] in HEADINGS and self.parent[at] in above
+
 
 def main_text(source: str | None) -> str:
     return Tree(source).text() if source else ""
