@@ -92,3 +92,21 @@ def test_headings_and_uneven_sections():
     assert (got[:2], got[-1], len(got)) == (["Direct text stands here", "Sub"], "and after it", 11)
     got = main_text(f"<body><article>{LONG * 4}</article><h2>Between</h2><p>Short.</p>{links}<article>{LONG * 4}</article></body>")
     assert "Between\nShort." in got and "Link" not in got
+
+
+@pytest.mark.parametrize("name", ["class='elementor-widget-container'", "class='content with-sidebar'", "id='no-sidebar'", "class='comments-open'", "class=widget"])
+def test_class_words_of_wrappers(name):
+    story = f"<h1>T</h1>{LONG * 4}"
+    assert main_text(f"<body><div {name}>{story}</div></body>").count("A long") == 24
+    got = main_text(f"<body><div {name}><article>{story}</article></div><div class=sidebar>Buy</div></body>")
+    assert got.count("A long") == 24 and "Buy" not in got
+
+
+def test_class_words_are_weighed():
+    got = main_text(f"<body><article>{LONG * 8}<section class='related-work'><h2>Related work</h2>{LONG * 2}</section></article></body>")
+    assert "Related work" in got and got.count("A long") == 60
+    boxes = "".join(f"<div class=widget>{LONG}</div>" for _ in range(4))
+    assert main_text(f"<body>{boxes}<div class=ad>Buy</div><div>Legal.</div></body>").count("A long") == 24
+    noise = f"<div class='related-posts'><article><a href=x>Other</a> teaser</article></div><div class=comments>{LONG * 5}</div><div class='ad-box'>{LONG}</div>"
+    assert main_text(f"<body><div class=story>{LONG * 4}</div>{noise}</body>").count("A long") == 24
+    assert main_text(f"<body><article>{LONG * 4}</article>{noise}</body>").count("A long") == 24

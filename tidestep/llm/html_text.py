@@ -13,7 +13,10 @@ common container, which grows while what surrounds it is less than half links (o
 last region), and so do headings and direct text of the regions' ancestors.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by their element, role, class or id,
-and are no part of the tree's text. An article's own <header> stays.
+and are no part of the tree's text. An article's own <header> stays. A word of a class or id is weighed: it doesn't count against
+a subtree with more than half of the page's text outside links (nine tenths for comments) if no article stands beside it, nor
+against one with an article at least half as long as the longest, nor, where it is a part of a name ('related-work'), against
+one with a node of as many characters a tag as the content or an <h1>, and at most a tenth of links. If less than a tenth of the text outside links were left, only words of adverts and comments count; if nothing, none.
 
 Pages are parsed one by one in a narrow pass: no shuffle, and memory of one page's tree at a time.
 
@@ -27,6 +30,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,6 +54,9 @@ HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 NOISE = frozenset("head script style noscript template svg math iframe object embed canvas audio video nav footer aside form button select input textarea dialog menu title xmp noembed noframes".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login social share sharing related recommended comment comments commentlist disqus respond reply replies pagination pager toolbar widget".split())
+#: Of these words, those of comments, and those whose running text is noise too.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe".split())
 ARTICLES = frozenset({"article", "main"})
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
@@ -60,6 +67,7 @@ class Tree:
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.begin, self.end, self.noise = ["html"], [-1], [0], [0], [False]
         self.flow: list[tuple[int, str] | None] = []
+        self.marks: dict[int, str] = {}  # what a node's class or id words say it is
         stack = [0]
         at, n = 0, len(source)
         self._text = lambda s: s and not self.noise[stack[-1]] and self.flow.append((stack[-1], html.unescape(s)))
@@ -88,6 +96,43 @@ class Tree:
         self.last = list(range(len(self.tag)))  # of each node's subtree
         for i in range(len(self.tag) - 1, 0, -1):
             self.last[self.parent[i]] = max(self.last[self.parent[i]], self.last[i])
+        if self.marks:
+            self._weigh()
+
+    def _weigh(self) -> None:
+        """Makes noise of the marked subtrees, but for those that the page's text speaks for."""
+        _, sums = self.densities()
+        # without the density's logarithm, which grows with a node's size
+        a_tag = [c / max(t, 1) for c, t in zip(self.chars, self.tags, strict=True)]
+        plain = [c - l for c, l in zip(self.chars, self.link_chars, strict=True)]
+        articles = [i for i, t in enumerate(self.tag) if t in ARTICLES and not self.noise[i] and i not in self.marks]
+        longest = max((plain[i] for i in articles), default=0)
+        least, at = math.inf, max(range(len(sums)), key=lambda i: (sums[i], -i))
+        while at >= 0:
+            least, at = min(least, a_tag[at]), self.parent[at]
+
+        def stands(i: int, kind: str) -> bool:
+            longest_in = max((plain[k] for k in articles[bisect_right(articles, i) : bisect_right(articles, self.last[i])]), default=0)
+            if kind == "comments":  # which may well be longer than what they comment on
+                return not (10 * plain[i] > 9 * plain[0] or longest_in and longest_in == longest and 2 * longest > plain[0])
+            if 2 * plain[i] > plain[0] and not any(plain[k] and not self._holds(i, k) and not self._holds(k, i) for k in articles):
+                return False
+            if longest_in and 2 * longest_in >= longest:
+                return False
+            few_links = 10 * self.link_chars[i] <= self.chars[i]
+            return not (kind == "part" and few_links and (max(a_tag[i : self.last[i] + 1]) >= least or any(self.tag[k] == "h1" for k in range(i + 1, self.last[i] + 1))))
+
+        kept = {i for i, kind in self.marks.items() if stands(i, kind)}
+        for dropped in ((), ("part", "whole"), ("part", "whole", "advert", "comments")):
+            kept = {i for i in kept if self.marks[i] not in dropped}
+            noise = self.noise[:]
+            for i in range(1, len(noise)):
+                noise[i] = noise[i] or noise[self.parent[i]] or i in kept
+            left = sum(len(x[1].strip()) for x in self.flow if x and not noise[x[0]] and not self.linked[x[0]])
+            if 10 * left >= plain[0] or left and "advert" not in dropped and dropped:
+                break
+        self.noise = noise
+        self.flow = [(x[0], "") if x and noise[x[0]] else x for x in self.flow]
 
     def _pop(self, stack: list[int]) -> None:
         node = stack.pop()
@@ -152,8 +197,13 @@ class Tree:
             return True
         if re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
             return True
-        words = set(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
-        return tag not in ARTICLES and bool(words & NOISE_WORDS or "header" in words and not inside and tag != "h1") or tag == "article" and "comment" in words
+        names = [set(_WORD.findall(x)) for x in f"{found.get('class', '')} {found.get('id', '')}".lower().split()]
+        telling = NOISE_WORDS if inside or tag == "h1" else NOISE_WORDS | {"header"}
+        marked = [x for x in names if x & (telling if tag not in ARTICLES else {"comment"} if tag == "article" else set())]
+        if marked:
+            words = set().union(*marked)
+            self.marks[len(self.tag)] = "comments" if words & COMMENT_WORDS else "advert" if words & ADVERT_WORDS else "whole" if any(x <= telling for x in marked) else "part"
+        return False
 
     def densities(self) -> tuple[list[float], list[float]]:
         """Each node's composite density, and the sum of its children's."""
@@ -162,7 +212,7 @@ class Tree:
         for item in self.flow:
             if item:
                 chars[item[0]] += len(item[1].strip())
-        self.chars, self.link_chars, self.linked = chars, link_chars, [False] * n
+        self.chars, self.link_chars, self.tags, self.linked = chars, link_chars, tags, [False] * n
         linked = self.linked
         for i in range(1, n):
             linked[i] = self.tag[i] == "a" or linked[self.parent[i]]
