@@ -110,3 +110,8 @@ def test_class_words_are_weighed():
     noise = f"<div class='related-posts'><article><a href=x>Other</a> teaser</article></div><div class=comments>{LONG * 5}</div><div class='ad-box'>{LONG}</div>"
     assert main_text(f"<body><div class=story>{LONG * 4}</div>{noise}</body>").count("A long") == 24
     assert main_text(f"<body><article>{LONG * 4}</article>{noise}</body>").count("A long") == 24
+
+
+@pytest.mark.parametrize("drawing", ["<svg class='i'/>", "<svg/>", "<svg />", "<math/>", "<math hidden/>", "<svg><title>no</title><g><path d='x'/><text>no</text></g></svg>", "<svg><path d='x'>", "<math><mi>no</mi>", "<svg><desc><p>no</p></desc><style/><script/></svg>", "<svg><svg/><text>no</text></svg>"])
+def test_drawings_and_formulas_end(drawing):
+    assert main_text(f"<body><article><h1>T</h1>{drawing}{STORY}{drawing}<p>End</p></article></body>") == f"T\n{TEXT}\nEnd"

@@ -41,12 +41,17 @@ from tidestep.llm.common import sliced
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_CLOSED = re.compile(r"""(?:^|[\s"'/]|[\s"'/][^\s=/"'>]+)/\Z""")
 _WORD = re.compile(r"[a-z0-9]+")
 
 #: Fixed values of the HTML standard: elements without content, of raw text, and of block display.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements of other vocabularies, those in them that hold HTML again, and the tags that end such an element.
+FOREIGN = frozenset({"svg", "math"})
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article section main header footer nav aside".split())
 #: What an opening tag closes, and the elements that such closing doesn't leave.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "body": {"head"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "option": {"select"}, "body": set()}
@@ -68,6 +73,7 @@ class Tree:
         self.tag, self.parent, self.begin, self.end, self.noise = ["html"], [-1], [0], [0], [False]
         self.flow: list[tuple[int, str] | None] = []
         self.marks: dict[int, str] = {}  # what a node's class or id words say it is
+        self.foreign: list[int] = []  # the open <svg> and <math>
         stack = [0]
         at, n = 0, len(source)
         self._text = lambda s: s and not self.noise[stack[-1]] and self.flow.append((stack[-1], html.unescape(s)))
@@ -86,8 +92,13 @@ class Tree:
             if closing:
                 self._close(stack, tag)
                 continue
-            self._open(stack, tag, m[3] or m[6] or "")
-            if tag in RAW:
+            attributes = m[3] or m[6] or ""
+            within = self._foreign(stack, tag)
+            self._open(stack, tag, attributes)
+            if within or tag in FOREIGN:
+                if _CLOSED.search(attributes) and tag not in VOID:
+                    self._pop(stack)
+            elif tag in RAW:
                 found = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
                 self._pop(stack)
                 at = found.end() if found else n
@@ -134,8 +145,23 @@ class Tree:
         self.noise = noise
         self.flow = [(x[0], "") if x and noise[x[0]] else x for x in self.flow]
 
+    def _foreign(self, stack: list[int], tag: str) -> bool:
+        """Whether an opening tag stands directly in <svg> or <math>, which the tags of HTML end."""
+        if not self.foreign:
+            return False
+        if self.tag[stack[-1]] in HOLDS_HTML and stack[-1] > self.foreign[-1]:
+            return False
+        if tag not in BREAKS_OUT:
+            return True
+        outer = self.foreign[-1]
+        while stack[-1] >= outer:
+            self._pop(stack)
+        return False
+
     def _pop(self, stack: list[int]) -> None:
         node = stack.pop()
+        if self.foreign and self.foreign[-1] == node:
+            self.foreign.pop()
         if self.tag[node] in BLOCK:
             self.flow.append(None)
         self.end[node] = len(self.flow)
@@ -160,6 +186,8 @@ class Tree:
             self.flow.append((node, " "))
         if tag not in VOID:
             stack.append(node)
+        if tag in FOREIGN:
+            self.foreign.append(node)
 
     def _close_until(self, stack: list[int], tags: set[str], within: set[str]) -> None:
         """Closes the outermost open element of these tags that no element of `within` holds."""
