@@ -49,6 +49,14 @@ def test_collisions_estimate_generalised_jaccard(spark):
         assert share == pytest.approx(jaccard(a, b), abs=0.14)
 
 
+def test_error_of_the_likeness_at_the_production_size(spark):
+    pairs = [(" ".join(f"{k}w{i}" for i in range(60)) + " the" * (k % 5), " ".join(f"{k}{'w' if i % 5 else 'v'}{i}" for i in range(60)) + " the" * (k % 3)) for k in range(60)]
+    frame = spark.createDataFrame([(2 * k + j, t) for k, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string")
+    got = {r.doc_id: r.signature for r in fingerprints(frame).collect()}
+    errors = [sum(x == y for x, y in zip(got[2 * k], got[2 * k + 1], strict=True)) / len(got[2 * k]) - jaccard(*p) for k, p in enumerate(pairs)]
+    assert abs(sum(errors)) / 60 < 0.03 and (sum(e * e for e in errors) / 60) ** 0.5 < 0.08
+
+
 def test_odd_rows(odd, odd_rows):
     got = edited_likeness(odd).collect()
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == Counter((i, len(t), hashlib.sha256(e.encode()).hexdigest()) for i, t, e, _ in edits(odd_rows))
