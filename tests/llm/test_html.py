@@ -1,7 +1,10 @@
 """HTML extraction on marked-up and unmarked pages."""
 
 import html
+import math
+import random
 import re
+import time
 
 import pytest
 
@@ -21,6 +24,9 @@ def test_query_takes_the_articles(spark, sf):
         blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", article))
         want = "\n".join(b for b in blocks if b)
         assert (got[p.page_id].text, got[p.page_id].n_chars, got[p.page_id].url) == (want, len(want), p.url)
+        plain = p.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert main_text(plain) == want
+        assert main_text(plain.replace("<body>", "<body><form id=f><div class='has-sidebar page'>").replace("</body>", "</div></form></body>")) == want
 
 
 @pytest.mark.parametrize(
@@ -115,3 +121,75 @@ def test_class_words_are_weighed():
 @pytest.mark.parametrize("drawing", ["<svg class='i'/>", "<svg/>", "<svg />", "<math/>", "<math hidden/>", "<svg><title>no</title><g><path d='x'/><text>no</text></g></svg>", "<svg><path d='x'>", "<math><mi>no</mi>", "<svg><desc><p>no</p></desc><style/><script/></svg>", "<svg><svg/><text>no</text></svg>"])
 def test_drawings_and_formulas_end(drawing):
     assert main_text(f"<body><article><h1>T</h1>{drawing}{STORY}{drawing}<p>End</p></article></body>") == f"T\n{TEXT}\nEnd"
+
+
+@pytest.mark.parametrize("name", ["notice-period", "share-capital", "social-impact", "ad-hoc", "menu-of-the-day", "shareCapital"])
+def test_names_with_other_words_keep_their_text(name):
+    assert main_text(f"<body><article>{LONG * 4}<div class='{name}'><p>A short part.</p></div></article></body>").endswith("\nA short part.")
+
+
+@pytest.mark.parametrize("name", ["notice", "cookieNotice", "social-share", "ad", "ad-300x250", "related-posts", "reader comments", "newsletter-signup", "site-footer", "comments-area", "login-form"])
+def test_furniture_goes(name):
+    box = f"<div class='{name}'><p>A sentence that stands in a box, which says nothing.</p></div>"
+    for page in (f"<article>{LONG * 4}{box}</article>", f"<div>{LONG * 4}{box}</div>", f"{box}<div>{LONG * 4}</div>{box}", f"<form><div class=page>{LONG * 4}</div>{box}</form>"):
+        assert main_text(f"<body>{page}</body>").count("\n") == 3
+
+
+def test_several_articles_keep_their_text():
+    got = main_text(f"<body><nav><a href=x>Home</a></nav><article><h1>One</h1>{LONG * 3}</article><article><h1>Two</h1>{LONG * 2}</article><footer>f</footer></body>")
+    assert got.split("\n")[0] == "One" and "\nTwo\n" in got and got.count("A long") == 30
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "deep", "<b>" * 100_000 + "deep", "<p>" + "<span>" * 50_000 + "<div>" * 50_000 + "deep", "<ul><li>" * 50_000 + "deep", "<p><table>" + "<span>" * 50_000 + "<div>" * 50_000 + "deep", "<div class=x><b>" * 50_000 + "deep" + "</i>" * 50_000])
+def test_deep_nesting_takes_linear_time(page):
+    began = time.process_time()
+    assert main_text(page) == "deep"
+    assert time.process_time() - began < 5
+
+
+def plain_reference(node, ratio):
+    """(characters, tags, link characters, link tags, density, density sum) of each node of a (tag, [text or node]) tree, by the definition."""
+    out = []
+
+    def walk(node, linked):
+        tag, children = node
+        linked = linked or tag == "a"
+        place, chars, tags, link_chars, link_tags, total = len(out), 0, 0, 0, 0, 0.0
+        out.append(None)
+        for c in children:
+            if isinstance(c, str):
+                chars += len(c)
+                link_chars += len(c) * linked
+            else:
+                got = walk(c, linked)
+                chars, tags, link_chars = chars + got[0], tags + got[1] + 1, link_chars + got[2]
+                link_tags, total = link_tags + got[3] + (c[0] == "a"), total + got[4]
+        base = max(math.log(chars / max(chars - link_chars, 1) * link_chars + ratio * chars + math.e), math.e)
+        of = (chars / max(link_chars, 1)) * (max(tags, 1) / max(link_tags, 1))
+        out[place] = (chars, tags, link_chars, link_tags, chars / max(tags, 1) * math.log(max(of, 1 + 1e-9), base) if chars else 0.0, total)
+        return out[place]
+
+    walk(node, False)
+    return out
+
+
+def test_densities_against_the_definition():
+    chance = random.Random(5)
+
+    def made(depth):
+        kind = chance.choice(["div", "span", "a", "section", "b"])
+        return kind, [made(depth - 1) if depth and chance.random() < 0.6 else "w" * chance.randint(1, 90) for _ in range(chance.randint(1, 5))]
+
+    def shown(node):
+        return f"<{node[0]}>" + "".join(c if isinstance(c, str) else shown(c) for c in node[1]) + f"</{node[0]}>"
+
+    for _ in range(60):
+        body = ("html", [made(4) for _ in range(4)])
+        first = plain_reference(body, 0.0)[0]
+        want = plain_reference(body, first[2] / max(first[0], 1))
+        tree = Tree("".join(shown(c) for c in body[1]))
+        density, sums = tree.densities()
+        assert len(density) == len(want)
+        assert density == pytest.approx([x[4] for x in want]) and sums == pytest.approx([x[5] for x in want])
+        best = max(range(len(want)), key=lambda i: (want[i][5], want[i][4], -i))
+        assert best in tree.content()

@@ -1,28 +1,28 @@
 """HTML extraction by composite text density.
 
 Each page is parsed into a tree. For a node with C characters, T tags, LC characters and LT tags in links, and the body's
-ratio of link characters, the composite density is C / T * log(base ln(C/(C-LC) * LC + LCb/Cb * C + e)) of (C/LC * T/LT):
-characters per tag, less where links prevail. The sum of the densities of a node's children tells how much running text it
-holds. The node with the largest sum is the content; the least density on its path to the body is the threshold that a
-further region of the body must reach to count as content too. <article> and <main> are hints only: the content grows to the
-outermost of them around it, shrinks to those in it that hold more than half of its text outside links, and further ones
-count if they reach the threshold or are less than half links.
-
-The threshold alone would drop headings and short sections. So blocks that are less than half links count too in the regions'
-common container, which grows while what surrounds it is less than half links (on pages with an article: between the first and the
-last region), and so do headings and direct text of the regions' ancestors.
-
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by their element, role, class or id,
-and are no part of the tree's text. An article's own <header> stays. A word of a class or id is weighed: it doesn't count against
-a subtree with more than half of the page's text outside links (nine tenths for comments) if no article stands beside it, nor
-against one with an article at least half as long as the longest, nor, where it is a part of a name ('related-work'), against
-one with a node of as many characters a tag as the content or an <h1>, and at most a tenth of links. If less than a tenth of the text outside links were left, only words of adverts and comments count; if nothing, none.
-
-Pages are parsed one by one in a narrow pass: no shuffle, and memory of one page's tree at a time.
-
-Defined cases: null or empty html, or a page without content, gives an empty text; tags that don't close are closed by what
-follows, as browsers do, and end tags without a start are passed over; of regions that tie the first counts; repeated
-rows each give a row; an empty table gives no row; columns other than page_id, url and html aren't read.
+ratio LCb/Cb of link characters, the composite density is C / T * log(base ln(C/(C-LC) * LC + LCb/Cb * C + e)) of
+(C/LC * T/LT): characters per tag, less where links prevail. Where that base is under e it is taken as e, as it would be 1
+and the density without a bound in a tree without links; counts under 1 in a divisor are 1. The sum of the densities of a node's children tells
+how much running text it holds: the node with the largest sum is the content, whatever its element. The least density on
+its path to the body is the threshold that a further region must reach to count as content too.
+
+The threshold alone would drop headings and short sections. So the content grows to the containers around it while what
+each adds is at most half links. Blocks there count unless they are more than half links, and so do headings and direct text of the
+content's ancestors. Inside the content nothing is dropped for its links, unless the content is the whole body.
+
+What stands in elements of the standard for menus, headers, footers, sidebars, drawings, media, controls and scripts, in
+roles of these, or is hidden, is no part of the tree's text; a <header> in an <article>, <main> or <section> stays. Forms, and names (of a
+class or id) made of words of the lists below alone, lower the score: the characters in such a subtree weigh DAMPED of their number, or
+UNWANTED where the name tells an advert, a notice of cookies or comments. In and about the content, a damped subtree that doesn't hold it counts
+only if its characters a tag, so weighed, still reach the content's. A page that is damped altogether is therefore judged like any other.
+
+Pages are parsed one by one in a narrow pass: no shuffle, and memory of one page's tree at a time, in time linear in its length
+(but for a logarithm), however deep its nesting.
+
+Defined cases: null or empty html, or a page without content, gives an empty text; a very long page is parsed whole; tags
+that don't close are closed by what follows, as browsers do, and end tags without a start are passed over; of nodes that tie the
+first counts; repeated rows each give a row; an empty table gives no row; columns other than page_id, url and html aren't read.
 """
 
 from __future__ import annotations
@@ -42,7 +42,9 @@ from tidestep.llm.common import sliced
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _CLOSED = re.compile(r"""(?:^|[\s"'/]|[\s"'/][^\s=/"'>]+)/\Z""")
-_WORD = re.compile(r"[a-z0-9]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_WORD = re.compile(r"[^\W\d_]{2,}")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 
 #: Fixed values of the HTML standard: elements without content, of raw text, and of block display.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,28 +57,46 @@ BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em emb
 #: What an opening tag closes, and the elements that such closing doesn't leave.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "body": {"head"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "option": {"select"}, "body": set()}
-#: Elements, roles, and words of classes or ids that mark what is not the article.
-NOISE = frozenset("head script style noscript template svg math iframe object embed canvas audio video nav footer aside form button select input textarea dialog menu title xmp noembed noframes".split())
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-NOISE_WORDS = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login social share sharing related recommended comment comments commentlist disqus respond reply replies pagination pager toolbar widget".split())
-#: Of these words, those of comments, and those whose running text is noise too.
-COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
-ADVERT_WORDS = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe".split())
-ARTICLES = frozenset({"article", "main"})
+_P_HOLDS = {"button", "table", "td", "th", "caption", "object", "body"}
+#: Elements and roles that mark what is not the article.
+NOISE = frozenset("head script style noscript template svg math iframe object embed canvas audio video nav footer aside button select input textarea dialog menu title xmp noembed noframes".split())
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
+SECTIONS = frozenset({"article", "main", "section"})
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Words of names of page furniture, of what is never wanted, and words that add nothing to such a name.
+FURNITURE_WORDS = frozenset("banner menu nav navbar navigation breadcrumb breadcrumbs sidebar header footer masthead notice notices popup modal overlay signup login search social share sharing related recommended pagination pager toolbar widget widgets form forms".split())
+UNWANTED_WORDS = frozenset("ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe comment comments commentlist disqus respond reply replies".split())
+PLAIN_WORDS = frozenset("area bar block bottom box buttons container global google icons inner items left links list main outer page panel posts primary reader readers right secondary section site slot thread tools top unit user users wrap wrapper".split())
+#: What a character in a damped subtree weighs.
+DAMPED, UNWANTED = 0.05, 0.01
+
+
+def name_weight(names: str, within_section: bool) -> float:
+    """What characters weigh in an element of these classes and ids: damped if a name consists of listed words alone, more than plain ones."""
+    weight = 1.0
+    for name in _HUMP.sub("-", names).split():
+        words = set(_WORD.findall(name.lower()))
+        if words <= PLAIN_WORDS or not words <= FURNITURE_WORDS | UNWANTED_WORDS | PLAIN_WORDS:
+            continue
+        if words & UNWANTED_WORDS:
+            weight = min(weight, UNWANTED)
+        elif not (within_section and words <= PLAIN_WORDS | {"header"}):
+            weight = min(weight, DAMPED)
+    return weight
 
 
 class Tree:
-    """A page's nodes, in order: tag, parent, and the stretch of `flow` that each covers; flow: texts, and None between blocks."""
+    """A page's nodes, in order: tag, parent, weight, and the stretch of `flow` that each covers; flow: texts, and None between blocks."""
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.begin, self.end, self.noise = ["html"], [-1], [0], [0], [False]
+        self.tag, self.parent, self.begin, self.end, self.noise, self.weight = ["html"], [-1], [0], [0], [False], [1.0]
         self.flow: list[tuple[int, str] | None] = []
-        self.marks: dict[int, str] = {}  # what a node's class or id words say it is
         self.foreign: list[int] = []  # the open <svg> and <math>
-        stack = [0]
+        self._stack = [0]
+        self._open_at: dict[str, list[int]] = {"html": [0]}  # where in the stack each tag is open
+        self._blocks = [0]  # where blocks are
+        self._sections = 0
         at, n = 0, len(source)
-        self._text = lambda s: s and not self.noise[stack[-1]] and self.flow.append((stack[-1], html.unescape(s)))
         while at < n:
             m = _TOKEN.search(source, at)
             if not m:
@@ -90,91 +110,67 @@ class Tree:
                 continue
             tag, closing = name.lower(), m[1] or m[4]
             if closing:
-                self._close(stack, tag)
+                self._close(tag)
                 continue
             attributes = m[3] or m[6] or ""
-            within = self._foreign(stack, tag)
-            self._open(stack, tag, attributes)
+            within = self._foreign(tag)
+            self._open(tag, attributes)
             if within or tag in FOREIGN:
                 if _CLOSED.search(attributes) and tag not in VOID:
-                    self._pop(stack)
+                    self._pop()
             elif tag in RAW:
                 found = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
-                self._pop(stack)
+                self._pop()
                 at = found.end() if found else n
-        while stack:
-            self._pop(stack)
+        while self._stack:
+            self._pop()
         self.last = list(range(len(self.tag)))  # of each node's subtree
+        self.block = [0] * len(self.tag)  # the block that each node is, or stands in
         for i in range(len(self.tag) - 1, 0, -1):
             self.last[self.parent[i]] = max(self.last[self.parent[i]], self.last[i])
-        if self.marks:
-            self._weigh()
-
-    def _weigh(self) -> None:
-        """Makes noise of the marked subtrees, but for those that the page's text speaks for."""
-        _, sums = self.densities()
-        # without the density's logarithm, which grows with a node's size
-        a_tag = [c / max(t, 1) for c, t in zip(self.chars, self.tags, strict=True)]
-        plain = [c - l for c, l in zip(self.chars, self.link_chars, strict=True)]
-        articles = [i for i, t in enumerate(self.tag) if t in ARTICLES and not self.noise[i] and i not in self.marks]
-        longest = max((plain[i] for i in articles), default=0)
-        least, at = math.inf, max(range(len(sums)), key=lambda i: (sums[i], -i))
-        while at >= 0:
-            least, at = min(least, a_tag[at]), self.parent[at]
-
-        def stands(i: int, kind: str) -> bool:
-            longest_in = max((plain[k] for k in articles[bisect_right(articles, i) : bisect_right(articles, self.last[i])]), default=0)
-            if kind == "comments":  # which may well be longer than what they comment on
-                return not (10 * plain[i] > 9 * plain[0] or longest_in and longest_in == longest and 2 * longest > plain[0])
-            if 2 * plain[i] > plain[0] and not any(plain[k] and not self._holds(i, k) and not self._holds(k, i) for k in articles):
-                return False
-            if longest_in and 2 * longest_in >= longest:
-                return False
-            few_links = 10 * self.link_chars[i] <= self.chars[i]
-            return not (kind == "part" and few_links and (max(a_tag[i : self.last[i] + 1]) >= least or any(self.tag[k] == "h1" for k in range(i + 1, self.last[i] + 1))))
-
-        kept = {i for i, kind in self.marks.items() if stands(i, kind)}
-        for dropped in ((), ("part", "whole"), ("part", "whole", "advert", "comments")):
-            kept = {i for i in kept if self.marks[i] not in dropped}
-            noise = self.noise[:]
-            for i in range(1, len(noise)):
-                noise[i] = noise[i] or noise[self.parent[i]] or i in kept
-            left = sum(len(x[1].strip()) for x in self.flow if x and not noise[x[0]] and not self.linked[x[0]])
-            if 10 * left >= plain[0] or left and "advert" not in dropped and dropped:
-                break
-        self.noise = noise
-        self.flow = [(x[0], "") if x and noise[x[0]] else x for x in self.flow]
+        for i in range(1, len(self.tag)):
+            self.block[i] = i if self.tag[i] in BLOCK else self.block[self.parent[i]]
+
+    def _text(self, text: str) -> None:
+        if not self.noise[self._stack[-1]]:
+            self.flow.append((self._stack[-1], html.unescape(text)))
 
-    def _foreign(self, stack: list[int], tag: str) -> bool:
+    def _foreign(self, tag: str) -> bool:
         """Whether an opening tag stands directly in <svg> or <math>, which the tags of HTML end."""
         if not self.foreign:
             return False
-        if self.tag[stack[-1]] in HOLDS_HTML and stack[-1] > self.foreign[-1]:
+        top = self._stack[-1]
+        if self.tag[top] in HOLDS_HTML and top > self.foreign[-1]:
             return False
         if tag not in BREAKS_OUT:
             return True
         outer = self.foreign[-1]
-        while stack[-1] >= outer:
-            self._pop(stack)
+        while self._stack[-1] >= outer:
+            self._pop()
         return False
 
-    def _pop(self, stack: list[int]) -> None:
-        node = stack.pop()
+    def _pop(self) -> None:
+        node = self._stack.pop()
+        tag = self.tag[node]
+        self._open_at[tag].pop()
+        self._sections -= tag in SECTIONS
         if self.foreign and self.foreign[-1] == node:
             self.foreign.pop()
-        if self.tag[node] in BLOCK:
+        if tag in BLOCK:
+            self._blocks.pop()
             self.flow.append(None)
         self.end[node] = len(self.flow)
 
-    def _open(self, stack: list[int], tag: str, attributes: str) -> None:
+    def _open(self, tag: str, attributes: str) -> None:
         if tag in BLOCK:
-            self._close_until(stack, {"head"}, {"body"}) if tag != "head" else None
+            if tag != "head":
+                self._close_until({"head"}, {"body"})
             if tag not in ("html", "body"):
-                self._close_until(stack, {"p"}, {"button", "table", "td", "th", "caption", "object", "body"})
+                self._close_until({"p"}, _P_HOLDS)
         if tag in CLOSES:
-            self._close_until(stack, CLOSES[tag], HOLDS[tag])
-        node, parent = len(self.tag), stack[-1]
-        noise = self.noise[parent] or self._is_noise(stack, tag, attributes)
+            self._close_until(CLOSES[tag], HOLDS[tag])
+        node, parent = len(self.tag), self._stack[-1]
+        noise, weight = self._judged(tag, attributes) if not self.noise[parent] else (True, 1.0)
         if tag in BLOCK:
             self.flow.append(None)
         self.tag.append(tag)
@@ -182,70 +178,63 @@ class Tree:
         self.begin.append(len(self.flow))
         self.end.append(len(self.flow))
         self.noise.append(noise)
+        self.weight.append(weight)
         if tag == "br" and not noise:
             self.flow.append((node, " "))
         if tag not in VOID:
-            stack.append(node)
-        if tag in FOREIGN:
-            self.foreign.append(node)
-
-    def _close_until(self, stack: list[int], tags: set[str], within: set[str]) -> None:
+            self._open_at.setdefault(tag, []).append(len(self._stack))
+            if tag in BLOCK:
+                self._blocks.append(len(self._stack))
+            self._sections += tag in SECTIONS
+            self._stack.append(node)
+            if tag in FOREIGN:
+                self.foreign.append(node)
+
+    def _close_until(self, tags: set[str], within: set[str]) -> None:
         """Closes the outermost open element of these tags that no element of `within` holds."""
-        last = None
-        for i in range(len(stack) - 1, 0, -1):
-            t = self.tag[stack[i]]
-            if t in within:
-                break
-            if t in tags:
-                last = i
-        if last is not None:
-            while len(stack) > last:
-                self._pop(stack)
-
-    def _close(self, stack: list[int], tag: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            t = self.tag[stack[i]]
-            if t == tag:
-                while len(stack) > i:
-                    self._pop(stack)
-                return
-            if tag not in BLOCK and t in BLOCK:  # an inline end tag doesn't close blocks
-                return
-
-    def _is_noise(self, stack: list[int], tag: str, attributes: str) -> bool:
-        if tag in NOISE:
-            return True
-        inside = any(self.tag[s] in ARTICLES for s in stack)
-        if tag == "header" and not inside:
-            return True
+        held = [own for t in tags if (own := self._open_at.get(t))]
+        if not held:
+            return
+        bound = max((own[-1] for t in within if (own := self._open_at.get(t))), default=0)
+        first = [own[k] for own in held if (k := bisect_right(own, bound)) < len(own)]
+        if first:
+            self._close_to(min(first))
+
+    def _close_to(self, place: int) -> None:
+        while len(self._stack) > place:
+            self._pop()
+
+    def _close(self, tag: str) -> None:
+        own = self._open_at.get(tag)
+        if own and own[-1] and (tag in BLOCK or own[-1] > self._blocks[-1]):  # an inline end tag doesn't close blocks
+            self._close_to(own[-1])
+
+    def _judged(self, tag: str, attributes: str) -> tuple[bool, float]:
+        """Whether an element is no part of the article, and what characters in it weigh."""
+        if tag in NOISE or tag == "header" and not self._sections:
+            return True, 1.0
+        weight = DAMPED if tag == "form" else 1.0
         if tag in ("html", "body") or not attributes:
-            return False
-        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-        if found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true":
-            return True
-        if re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
-            return True
-        names = [set(_WORD.findall(x)) for x in f"{found.get('class', '')} {found.get('id', '')}".lower().split()]
-        telling = NOISE_WORDS if inside or tag == "h1" else NOISE_WORDS | {"header"}
-        marked = [x for x in names if x & (telling if tag not in ARTICLES else {"comment"} if tag == "article" else set())]
-        if marked:
-            words = set().union(*marked)
-            self.marks[len(self.tag)] = "comments" if words & COMMENT_WORDS else "advert" if words & ADVERT_WORDS else "whole" if any(x <= telling for x in marked) else "part"
-        return False
+            return False, weight
+        found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
+        if found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or _UNSEEN.search(found.get("style", "")):
+            return True, 1.0
+        return False, min(weight, name_weight(f"{found.get('class', '')} {found.get('id', '')}", self._sections > 0 or tag == "h1"))
 
     def densities(self) -> tuple[list[float], list[float]]:
-        """Each node's composite density, and the sum of its children's."""
+        """Each node's composite density, and the sum of its children's; characters count by their weight."""
         n = len(self.tag)
-        chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-        for item in self.flow:
-            if item:
-                chars[item[0]] += len(item[1].strip())
-        self.chars, self.link_chars, self.tags, self.linked = chars, link_chars, tags, [False] * n
-        linked = self.linked
+        chars, tags, link_chars, link_tags = [0.0] * n, [0] * n, [0.0] * n, [0] * n
+        weight, linked = self.weight[:], [False] * n
         for i in range(1, n):
+            weight[i] = max(weight[i] * weight[self.parent[i]], 1e-9)
             linked[i] = self.tag[i] == "a" or linked[self.parent[i]]
-            if linked[i]:
-                link_chars[i] = chars[i]
+        for item in self.flow:
+            if item:
+                size = len(item[1].strip()) * weight[item[0]]
+                chars[item[0]] += size
+                if linked[item[0]]:
+                    link_chars[item[0]] += size
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
             if not self.noise[i]:
@@ -253,118 +242,103 @@ class Tree:
                 link_chars[p] += link_chars[i]
                 tags[p] += tags[i] + 1
                 link_tags[p] += link_tags[i] + (self.tag[i] == "a")
+        self.chars, self.link_chars, self.tags, self.linked = chars, link_chars, tags, linked
         ratio = link_chars[0] / max(chars[0], 1)
         density, sums = [0.0] * n, [0.0] * n
         for i in range(n - 1, -1, -1):
-            c, t, lc, lt = chars[i], max(tags[i], 1), link_chars[i], max(link_tags[i], 1)
-            if c and not self.noise[i]:
-                base = math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)
-                # the logarithm's base is above 1; a node of links alone has little left
-                density[i] = c / t * max(math.log(max(c / max(lc, 1) * t / lt, 1.0)), 1e-9) / max(math.log(base), math.log(1.0 + 1e-6) + 1.0)
+            if chars[i] and not self.noise[i]:
+                density[i] = composite_density(chars[i], tags[i], link_chars[i], link_tags[i], ratio)
             if i:
                 sums[self.parent[i]] += density[i]
         return density, sums
 
-    def content(self) -> list[int]:
-        """The nodes whose subtrees are the page's content, in order."""
+    def _chosen(self) -> tuple[list[int], int, set[int]]:
+        """(regions of content in order, the container around the first of them, the damped subtrees that don't count)."""
         density, sums = self.densities()
         n = len(self.tag)
-        own = [i for i in range(n) if not self.noise[i] and density[i] > 0]
-        if not own:
-            return []
-        best = max(own, key=lambda i: (sums[i], -i))
-        if sums[best] == 0:
-            best = 0
-        threshold, at = density[best], best
+        best = max(range(n), key=lambda i: (sums[i], density[i], -i))
+        if not density[best]:
+            return [], 0, set()
+        around, threshold, at = {best}, density[best], best
         while at > 0:
-            threshold = min(threshold, density[at])
             at = self.parent[at]
-        articles: list[int] = []  # the outermost
-        for i in own:
-            if self.tag[i] in ARTICLES and not (articles and self._holds(articles[-1], i)):
-                articles.append(i)
-        plain = lambda i: self.chars[i] - self.link_chars[i]
-        around = [i for i in articles if i == best or self._holds(i, best)]
-        within = [i for i in articles if self._holds(best, i)]
-        kept = {i for i in articles if density[i] >= threshold or 2 * self.link_chars[i] < self.chars[i]}
-        if around:
-            kept.add(around[0])
-        elif 2 * sum(map(plain, within)) <= plain(best):
-            kept.add(best)
-        elif not kept.intersection(within):
-            kept.add(max(within, key=lambda i: (sums[i], -i)))
-        narrow = best not in kept
+            around.add(at)
+            threshold = min(threshold, density[at])
+        a_tag = lambda i: self.chars[i] / max(self.tags[i], 1)  # noqa: E731; the density's logarithm grows with a node's size
+        out, i = set(), 0
+        while i < n:
+            if self.weight[i] < 1 and i not in around and a_tag(i) < a_tag(best):
+                out.add(i)
+                i = self.last[i]
+            i += 1
         found, i = [], 0
         while i < n:
-            if self.noise[i]:
-                i += 1
-            elif i in kept:
-                found.append(i)
-                i = self.last[i] + 1
-            elif density[i] >= threshold and self.tag[i] in BLOCK and not (narrow and i == best) and not any(i < k <= self.last[i] for k in kept):
+            if self.noise[i] or i in out:
+                i = self.last[i]
+            elif i == best or i not in around and density[i] >= threshold and self.tag[i] in BLOCK:
                 found.append(i)
-                i = self.last[i] + 1
-            else:
-                i += 1
-        return found
-
-    def _holds(self, a: int, b: int) -> bool:
-        return a < b <= self.last[a]
-
-    def _surroundings(self, regions: list[int]) -> tuple[int, int]:
-        """The stretch of `flow` whose blocks count as content unless they are mainly links.
-
-        It is the regions' common container, which grows while what surrounds it is less than half links. Where an
-        <article> or <main> is a region, it reaches from the first to the last region only.
-        """
-        if any(self.tag[i] in ARTICLES for i in regions):
-            return self.begin[regions[0]], self.end[regions[-1]]
-        at = regions[0]
-        while not (self.last[regions[-1]] <= self.last[at]):
-            at = self.parent[at]
+                i = self.last[i]
+            i += 1
+        at, dropped = best, [0.0] * n
+        link_dropped = [0.0] * n
+        for i in out:
+            dropped[self.parent[i]] += self.chars[i]
+            link_dropped[self.parent[i]] += self.link_chars[i]
         while at > 0:
             up = self.parent[at]
-            if 2 * (self.link_chars[up] - self.link_chars[at]) > self.chars[up] - self.chars[at]:
+            if 2 * (self.link_chars[up] - self.link_chars[at] - link_dropped[up]) > self.chars[up] - self.chars[at] - dropped[up] + 1e-6:
                 break
             at = up
-        return self.begin[at], self.end[at]
+        return found, at, out
+
+    def content(self) -> list[int]:
+        """The nodes whose subtrees are the page's content, in order."""
+        return self._chosen()[0]
 
     def text(self) -> str:
-        """The blocks of the content's subtrees, and of what stands around them: blocks of the common container, and headings and direct text of all ancestors."""
-        regions = self.content()
+        """The blocks of the content's subtrees, and of what stands around them: blocks of the container, and headings and direct text of all ancestors."""
+        regions, container, out = self._chosen()
         if not regions:
             return ""
-        begin, end = self._surroundings(regions)
         above: set[int] = set()
         for i in regions:
             while (i := self.parent[i]) >= 0 and i not in above:
                 above.add(i)
-        inside = [False] * (len(self.flow) + 1)
+        inside, skipped = bytearray(len(self.flow) + 1), bytearray(len(self.flow) + 1)
         for i in regions:
-            inside[self.begin[i] : self.end[i]] = [True] * (self.end[i] - self.begin[i])
+            if self.tag[i] not in ("html", "body"):
+                inside[self.begin[i] : self.end[i]] = b"\1" * (self.end[i] - self.begin[i])
+        for i in out:
+            skipped[self.begin[i] : self.end[i]] = b"\1" * (self.end[i] - self.begin[i])
         blocks: list[str] = []
         held: list[int] = []
         for k, item in enumerate([*self.flow, None]):
             if item:
-                held.append(k)
+                if not skipped[k]:
+                    held.append(k)
             elif held:
                 block = " ".join("".join(self.flow[j][1] for j in held).split())
-                if block and (any(inside[j] for j in held) or self._counts(held, above, begin <= held[0] < end)):
+                if block and (any(inside[j] for j in held) or self._counts(held, above, self.begin[container] <= held[0] < self.end[container])):
                     blocks.append(block)
                 held = []
         return "\n".join(blocks)
 
     def _counts(self, held: list[int], above: set[int], within: bool) -> bool:
-        """Whether a block outside the regions is content: less than half links, and in the container, or text or a heading of an ancestor."""
+        """Whether a block outside the regions is content: at most half links, and in the container, or text or a heading of an ancestor."""
         links = sum(len(self.flow[j][1].strip()) * (1 if self.linked[self.flow[j][0]] else -1) for j in held)
-        if links >= 0:
+        if links > 0:
             return False
-        at = self.flow[held[0]][0]
-        while at > 0 and self.tag[at] not in BLOCK:
-            at = self.parent[at]
+        at = self.block[self.flow[held[0]][0]]
         return within or at in above or self.tag[at] in HEADINGS and self.parent[at] in above
 
 
+def composite_density(chars: float, tags: int, link_chars: float, link_tags: int, ratio: float) -> float:
+    """A node's composite density; ratio: the body's link characters over its characters."""
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + ratio * chars + math.e)
+    of = chars / max(link_chars, 1) * max(tags, 1) / max(link_tags, 1)
+    return chars / max(tags, 1) * math.log(max(of, 1.0 + 1e-9)) / math.log(max(base, math.e))
+
+
 def main_text(source: str | None) -> str:
     return Tree(source).text() if source else ""
 
