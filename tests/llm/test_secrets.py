@@ -81,6 +81,40 @@ def test_queries_of_patterns(pattern, want):
     assert trigram_query(pattern) == want
 
 
-def test_main_path_is_native(spark, sf):
+def test_main_path_is_native(spark, sf, monkeypatch):
+    from tidestep.llm import secret_scan
+
+    monkeypatch.setattr(secret_scan, "cut", lambda df: df)
     plan = queries()["op9_secret_scan"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_one_secret_text_in_many_rows(spark, monkeypatch):
+    """A hot text is verified once, and its rows are dealt over several parts."""
+    from tidestep.llm import secret_scan
+
+    hot = "some words before password=hunter2hunter2 " + "and after " * 20
+    frame = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, hot).otherwise(F.concat(F.lit("text without any of it "), F.col("id"))).alias("text")).repartition(8)
+    seen = {}
+    whole = secret_scan.Index.verified
+    monkeypatch.setattr(secret_scan.Index, "verified", lambda self, listed: seen.setdefault("spans", whole(self, listed)))
+    got = scan_secrets(frame)
+    assert got.filter(F.size("spans") == 1).count() == 6_667 and got.count() == 20_000
+    assert seen["spans"].count() == secret_scan.SALTS
+    parts = frame.filter("doc_id % 3 = 0").groupBy(secret_scan.salt_of(F.col("doc_id"))).count().collect()
+    assert len(parts) == secret_scan.SALTS and max(r["count"] for r in parts) < 1_000
+    assert redact(frame).filter(F.col("text").contains("[assign]")).count() == 6_667
+
+
+def test_clashing_names(spark):
+    names = ["whole", "lower", "text_key", "salt", "found", "__text", "__key", "Spans", "a.b", "c`d"]
+    frame = spark.createDataFrame([(1, "x password=abcdefgh y", *names), (2, None, *names), (None, "f" * 30, *names)], ["doc_id", "text", *names])
+    got = redact(frame)
+    assert got.columns == frame.columns
+    assert Counter(tuple(r) for r in got.collect()) == Counter([(1, "x [assign] y", *names), (2, None, *names), (None, "[hex]", *names)])
+
+
+def test_rules_without_a_query_or_alone(spark):
+    frame = spark.createDataFrame([(1, "f" * 30 + " password=abcdefgh")], "doc_id long, text string")
+    for rules, n in ((BASE_RULES[2:], 1), (BASE_RULES[:1], 1), (BASE_RULES, 2)):
+        assert len(scan_secrets(frame, rules).first().spans) == n

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,19 @@ def sliced(batches: Iterable[pa.RecordBatch], slice_bytes: int = 4 << 20) -> Ite
         rows = max(1, b.num_rows * slice_bytes // max(b.nbytes, 1))
         for begin in range(0, b.num_rows, rows):
             yield b.slice(begin, rows)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be none of the table's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(names: list[str]) -> list[Column]:
+    """The columns of these names, whatever characters they hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]

@@ -112,26 +112,31 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.a = d.doc_id
 """
 
 
-def _either_case(pattern: str) -> str:
-    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in pattern)
+#: The rules' patterns as SQL has them, written apart from the operator's: (kind, pattern, tested group, least length).
+OP9_PATTERNS = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("github", r"gh(?:p|o|u|s|r)_[A-Za-z0-9]+", 0, 40),
+    ("slack", r"xox(?:a|b|p|r|s)-[A-Za-z0-9-]+", 0, 15),
+)
 
 
 def op9_sql() -> str:
-    """Every rule's matches with the lengths of what stands between them; positions are sums of lengths."""
-    from tidestep.llm.secret_scan import BASE_RULES, RULES
-
+    """Every pattern's matches with the lengths of what stands between them; positions are sums of lengths."""
     parts = []
-    for k, r in enumerate(RULES):
-        p = r.pattern.replace("(?i:password|passwd|secret|token|api_?key)", _either_case("password|passwd|secret|token|api_?key")).replace("'", "''")
-        parts.append(f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {r.group}) AS g, regexp_split_to_array(t, '{p}') AS gap, {r.at_least} AS least FROM d")
+    for k, (kind, pattern, group, least) in enumerate(OP9_PATTERNS):
+        p = pattern.replace("'", "''")
+        parts.append(f"SELECT doc_id, {k} AS k, '{kind}' AS kind, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS g, regexp_split_to_array(t, '{p}') AS gap, {least} AS least FROM d")
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 f AS ({" UNION ALL ".join(parts)}),
 l AS (SELECT doc_id, k, kind, least, list_transform(m, lambda x: length(x)) AS m, list_transform(g, lambda x: length(x)) AS g, list_transform(gap, lambda x: length(x)) AS gap, unnest(range(1, len(m) + 1)) AS i FROM f WHERE len(m) > 0),
 s AS (SELECT doc_id, k, kind, CAST(list_sum(gap[1:i]) + coalesce(list_sum(m[1:i - 1]), 0) AS BIGINT) AS b, m[i] AS n FROM l WHERE g[i] >= least),
 p AS (SELECT doc_id, k, b, b + n AS e, kind || ':' || b || ':' || (b + n) AS span FROM s)
-SELECT d.doc_id, {", ".join(f"count(*) FILTER (k = {k}) AS n_{r.kind}" for k, r in enumerate(BASE_RULES))},
-  sha256(coalesce(string_agg(span, ',' ORDER BY b, k, e) FILTER (k < {len(BASE_RULES)}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY b, k, e), '') AS spans
+SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY b, k, e) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY b, k, e), '') AS spans
 FROM d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id
 """
 

@@ -1,17 +1,19 @@
 r"""Secret scans by a trigram inverted index, in DataFrame functions alone.
 
 Each rule's regex is parsed on the driver into a Boolean query over trigrams: a disjunction of conjunctions, of which every
-match satisfies one. The index is (trigram, text) postings of the trigrams that some query names; intersecting the postings
-of a conjunction is counting, for each text, how many of its trigrams list that text. Texts that satisfy a rule's query
+match satisfies one. The index is (trigram, text) postings of the trigrams that some query names; a conjunction's postings
+are intersected by counting, for each text, how many of its trigrams list that text. Texts that satisfy a rule's query
 are its candidates and are verified with the regex itself. A rule without mandatory trigrams (the hex rule) has no query
-and scans every text in the pass that makes the postings.
+and scans every text in the pass that makes the index.
 
-Texts are known by their SHA-256, so copies are indexed and verified once, and repeated ids don't matter. Postings are
-combined before they are shuffled (all postings of a text stand in one task), so a trigram that a third of all texts holds
-is no hot key. Candidates' texts are fetched by a join that Spark broadcasts only below its size threshold.
+That pass is the only one over all texts. It leaves a text out of the index that lacks the first or the last trigram of every
+conjunction, as no intersection can hold it; what it lists is written to the shared folder once. Listed texts are known by their SHA-256: copies are
+combined within each task before they are shuffled, so they are intersected and verified once and a hot text comes to
+few rows. Postings are counted by text, never gathered by trigram. The verified spans go back to the rows of listed texts
+alone, dealt over SALTS parts of a text. The terms of the queries stand in the plan as literals; nothing is broadcast by force.
 
-Defined cases: a null text is empty and has no span; repeated rows each give a row; an empty table gives no row; columns
-other than id and text aren't read. Positions are code points, ends exclusive.
+Defined cases: a null text is empty and has no span; a very long text is scanned whole; spans that start together are ordered by rule; repeated rows each give a row; an
+empty table gives no row; columns other than id and text aren't read. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from re import _parser as rp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidestep.llm.common import texts_of
+from tidestep.llm.common import columns_of, fresh, texts_of
+from tidestep.storage import cut
 
 
 @dataclass(frozen=True)
@@ -80,6 +83,8 @@ def trigram_query(pattern: str) -> set[frozenset[str]]:
         whole, query = True, ALWAYS
         for op, arg in items:
             strings, own = one(op, arg)
+            if strings is not None and "" in strings and all(len(x) > 2 for x in exact):
+                strings = None  # what may be missing adds conjunctions, but makes none of them stricter
             if strings is not None and len(exact) * len(strings) <= MOST_EXACT:
                 exact = {a + b for a, b in itertools.product(exact, strings)}
                 continue
@@ -135,43 +140,74 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
     return F.when(text.rlike(rule.pattern), walked["kept"]).otherwise(none)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text_key", F.unhex(F.sha2("text", 256)))
+#: Parts in which the rows of one text are dealt, as very many may hold it.
+SALTS = 8
 
 
-def scan_texts(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(text_key, spans in order of start, then rule) of the distinct texts in (text_key, text) that hold a secret."""
-    queries = [trigram_query(r.pattern) for r in rules]
-    full = [i for i, q in enumerate(queries) if q == ALWAYS]
-    conjunctions = [(i, sorted(c)) for i, q in enumerate(queries) if q != ALWAYS for c in sorted(q, key=sorted)]
-    named = sorted({t for _, c in conjunctions for t in c})
-    lower, none = F.lower("text"), F.array().cast(SPANS)
-    first = texts.select(
-        "text_key",
-        F.array_compact(F.array(*(F.when(lower.contains(t), F.lit(k)) for k, t in enumerate(named)))).alias("trigrams"),
-        F.concat(none, *(spans_of(F.col("text"), rules[i], i) for i in full)).alias("spans"),
-    )
+class Index:
+    """The rules' trigram queries: the named trigrams, and for each its (rule, conjunction, how many trigrams that has)."""
+
+    def __init__(self, rules: tuple[Rule, ...]) -> None:
+        queries = [trigram_query(r.pattern) for r in rules]
+        self.rules = rules
+        self.full = [i for i, q in enumerate(queries) if q == ALWAYS]
+        conjunctions = [(i, sorted(c)) for i, q in enumerate(queries) if q != ALWAYS for c in sorted(q, key=sorted)]
+        self.ends = sorted({(c[0], c[-1]) for _, c in conjunctions})
+        self.named = sorted({t for _, c in conjunctions for t in c})
+        self.terms = [[(i, k, len(c)) for k, (i, c) in enumerate(conjunctions) if t in c] for t in self.named]
+
+    def may_hold(self, lower: Column) -> Column:
+        """Whether a text has the first and the last trigram of some conjunction."""
+        return functools.reduce(operator.or_, (lower.contains(a) & lower.contains(b) for a, b in self.ends), F.lit(False))
+
+    def trigrams(self, lower: Column) -> Column:
+        return F.array_compact(F.array(*(F.when(lower.contains(t), F.lit(k)) for k, t in enumerate(self.named))))
+
+    def full_spans(self, text: Column) -> Column:
+        """The spans of the rules that scan fully."""
+        return F.concat(F.array().cast(SPANS), *(spans_of(text, self.rules[i], i) for i in self.full))
+
+    def candidates(self, listed: DataFrame) -> DataFrame:
+        """(text_key, rules) of (text_key, trigrams): each text's rules of which some conjunction's postings all list it."""
+        distinct = listed.groupBy("text_key").agg(F.first("trigrams").alias("trigrams"))
+        postings = distinct.select("text_key", F.explode("trigrams").alias("trigram"))
+        terms = F.array(*(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(k).alias("conjunction"), F.lit(n).alias("n")) for r, k, n in own)) for own in self.terms))
+        asked = postings.select("text_key", F.explode(terms[F.col("trigram")]).alias("term")).select("text_key", "term.*")
+        met = asked.groupBy("text_key", "conjunction", "rule", "n").agg(F.count("*").alias("found")).filter("found = n")
+        return met.groupBy("text_key").agg(F.collect_set("rule").alias("rules"))
+
+    def verified(self, listed: DataFrame) -> DataFrame:
+        """(text_key, salt, found): the spans of the indexed rules in the texts of (text_key, text, trigrams), for each of SALTS parts of the text's rows."""
+        if not self.named:
+            return listed.select("text_key", F.lit(0).alias("salt"), F.array().cast(SPANS).alias("found")).limit(0)
+        none = F.array().cast(SPANS)
+        texts = listed.groupBy("text_key").agg(F.first("text").alias("text")).join(self.candidates(listed), "text_key")
+        own = (F.when(F.array_contains("rules", i), spans_of(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(self.rules) if i not in self.full)
+        found = texts.select("text_key", F.concat(none, *own).alias("found")).filter(F.size("found") > 0)
+        return found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
 
-    # the index: postings (trigram, text); a conjunction's postings intersect in the texts that set all bits of its terms
-    postings = first.select("text_key", F.explode("trigrams").alias("trigram"))
-    listed = [(named.index(t), c, 1 << i, 1 << k, (1 << len(words)) - 1) for c, (i, words) in enumerate(conjunctions) for k, t in enumerate(words)]
-    terms = texts.sparkSession.createDataFrame(listed, "trigram int, conjunction int, rule_bit long, bit long, all_bits long")
-    met = postings.join(F.broadcast(terms), "trigram").groupBy("text_key", "conjunction", "rule_bit", "all_bits").agg(F.bit_or("bit").alias("bits")).filter("bits = all_bits")
-    wanted = met.groupBy("text_key").agg(F.bit_or("rule_bit").alias("rules"))
+def key_of(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
 
-    # verification; a text that lacks the first or the last trigram of every conjunction can't be a candidate and isn't sent
-    able = texts.filter(functools.reduce(operator.or_, (lower.contains(c[0]) & lower.contains(c[-1]) for _, c in conjunctions), F.lit(False)))
-    asked = lambda i: F.col("rules").bitwiseAND(F.lit(1 << i).cast("long")) != 0
-    verified = able.join(wanted, "text_key").select("text_key", F.concat(none, *(F.when(asked(i), spans_of(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules) if i not in full)).alias("spans"))
-    held = verified.unionByName(first.select("text_key", "spans")).filter(F.size("spans") > 0)
-    return held.groupBy("text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"))
+
+def salt_of(*columns: Column) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans) for every row; a span's rule is its number in rules."""
-    texts = keyed(texts_of(docs, id_col, text_col))
-    spans = scan_texts(texts.select("text_key", "text"), rules)
-    return texts.select("doc_id", "text_key").join(spans, "text_key", "left").select("doc_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    index = Index(rules)
+    texts = texts_of(docs, id_col, text_col).withColumn("lower", F.lower("text")).withColumn("may_hold", index.may_hold(F.col("lower")))
+    only = lambda c: F.when(F.col("may_hold"), c)
+    scanned = cut(texts.select("doc_id", index.full_spans(F.col("text")).alias("spans"), only(key_of(F.col("text"))).alias("text_key"), only(F.col("text")).alias("text"), only(index.trigrams(F.col("lower"))).alias("trigrams")))
+    listed = scanned.filter("text_key is not null")
+    # the order of rows is no part of the salt, so a lost task deals its rows as before
+    rows = listed.select("doc_id", "spans", "text_key", salt_of(F.col("doc_id")).alias("salt"))
+    back = rows.join(index.verified(listed), ["text_key", "salt"], "left")
+    merged = F.array_sort(F.concat("spans", F.coalesce("found", F.array().cast(SPANS))))
+    rest = scanned.filter("text_key is null").select("doc_id", F.array_sort("spans").alias("spans"))
+    return rest.unionByName(back.select("doc_id", merged.alias("spans")))
 
 
 def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -180,19 +216,35 @@ def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kinds[s["rule"]], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows, of any columns, with every span of `text` replaced by its kind in brackets; of spans that overlap the first stands for both."""
-    own = docs.withColumns({"__text": F.coalesce(docs["text"], F.lit(""))}).withColumn("__key", F.unhex(F.sha2("__text", 256)))
-    spans = scan_texts(own.select(F.col("__key").alias("text_key"), F.col("__text").alias("text")), rules).select(F.col("text_key").alias("__found"), F.col("spans").alias("__spans"))
+def without_spans(text: Column, spans: Column, rules: tuple[Rule, ...]) -> Column:
+    """The text with each span replaced by its kind in brackets; of spans that overlap the first stands for both."""
     kinds = F.array(*(F.lit(f"[{r.kind}]") for r in rules))
-    text = F.col("__text")
     walked = F.aggregate(
-        "__spans",
+        spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda s, x: F.struct(
             F.greatest(s["at"], x["stop"]).alias("at"),
             F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], text.substr(s["at"] + 1, x["start"] - s["at"]), kinds[x["rule"]])).alias("out"),
         ),
     )
-    clean = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.concat(walked["out"], text.substr(walked["at"] + 1, F.length(text))))
-    return own.join(spans, F.col("__key") == F.col("__found"), "left").withColumn("text", clean).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return F.when(F.size(spans) > 0, F.concat(walked["out"], text.substr(walked["at"] + 1, F.length(text)))).otherwise(text)
+
+
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows, of any columns, with every span of `text` replaced by its kind in brackets; of spans that overlap the first stands for both.
+
+    Only rows of listed texts are shuffled, to meet their spans; the others, whose only spans are those of the rules that scan
+    fully, pass through.
+    """
+    index = Index(rules)
+    text, lower, key, salt, found = fresh(docs, "whole", "lower", "text_key", "salt", "found")
+    held = docs.withColumn(text, F.coalesce(docs["text"].cast("string"), F.lit(""))).withColumn(lower, F.lower(text))
+    may_hold, whole = index.may_hold(F.col(lower)), F.col(text)
+    listed = held.filter(may_hold).withColumn(key, key_of(whole))
+    indexed = cut(listed.select(F.col(key).alias("text_key"), whole.alias("text"), index.trigrams(F.col(lower)).alias("trigrams")))
+    spans = index.verified(indexed).select(F.col("text_key").alias(key), F.col("salt").alias(salt), F.col("found").alias(found))
+    back = listed.withColumn(salt, salt_of(docs["doc_id"])).join(spans, [key, salt], "left")
+    merged = F.array_sort(F.concat(index.full_spans(whole), F.coalesce(F.col(found), F.array().cast(SPANS))))
+    # a row's other columns stay as they are; a null text stays null
+    clean = lambda df, own: df.withColumn("text", F.when(F.col("text").isNotNull(), without_spans(whole, own, rules))).select(*columns_of(docs.columns))
+    return clean(held.filter(~may_hold), F.array_sort(index.full_spans(whole))).unionByName(clean(back, merged))
