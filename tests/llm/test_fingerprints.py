@@ -29,6 +29,9 @@ def test_query_edits_and_likeness(spark, sf, doc_rows):
         if t == n:
             assert r.near_next == 1
     assert sum(r.near_edited for r in got.values()) > 1.5 * sum(r.near_next for r in got.values())
+    errors = [(abs(got[i].near_edited - jaccard(t, e)), abs(got[i].near_next - jaccard(t, n))) for i, t, e, n in edits(doc_rows)]
+    for own in zip(*errors, strict=True):
+        assert sum(own) / len(own) < 0.05 and max(own) < 0.25
 
 
 def jaccard(a, b):
@@ -83,3 +86,12 @@ def test_ranges(spark):
     cuts = [3 * i for i in range(200)]
     got = spark.range(-5, 700).select("id", range_of(F.col("id"), cuts).alias("r"), range_of(F.col("id"), []).alias("none")).collect()
     assert all(r.r == sum(c <= r.id for c in cuts) and r.none == 0 for r in got)
+
+
+@pytest.mark.parametrize("parts", [1, 7, 32])
+def test_keys_hash_apart(spark, parts):
+    from tidestep.llm.fingerprints import keys_apart
+
+    keys = keys_apart(spark, parts)
+    frame = spark.createDataFrame([(k,) for k in keys], "k int").repartition(parts, "k").select("k", F.spark_partition_id().alias("p"))
+    assert {r.k: r.p for r in frame.collect()} == {k: p for p, k in enumerate(keys)}
