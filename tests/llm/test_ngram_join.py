@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 
 from tidestep.llm.components import components
-from tidestep.llm.ngram_join import least_overlap, ngram_join, prefix_size, product_of, tile_edges
+from tidestep.llm import ngram_join as module
+from tidestep.llm.ngram_join import blocks_between, columns_product, least_overlap, ngram_join, overlaps, prefix_size, tile_edges
 from tidestep.llm.queries import queries
 from tidestep.llm.shingles import shingle_set
 
@@ -101,9 +102,55 @@ def test_tiles_and_products_against_pairs():
     assert set(tiles) <= links and joined(tiles) == joined(links)
     across = set(tile_edges(own[:13], own[13:], 85, 100))
     assert across <= links and joined([*across, *(x for x in links if x[1] < 13 or x[0] >= 13)]) == joined(links)
-    rows = sorted((int(t), i, i, len(s), p) for i, s in enumerate(own) for p, t in enumerate(s[: prefix_size(len(s), 85, 100)]))
-    found = {(int(a), int(b)) for c in product_of(*np.array(rows).T, 85, 100) for a, b in zip(c[0], c[1], strict=True)}
+    rows = sorted((int(t), len(s), i, i, p) for i, s in enumerate(own) for p, t in enumerate(s[: prefix_size(len(s), 85, 100)]))
+    token, size, cid, comp, pos = np.array(rows).T
+    found = {(int(a), int(b)) for c in columns_product(token, (cid, comp, size, pos), 85, 100) for a, b in zip(c[0], c[1], strict=True)}
     assert links <= found
+    for n, m in ((30, 0), (13, 17)):
+        got = overlaps(np.concatenate(own), np.repeat(np.arange(30), [len(s) for s in own]), n, m)
+        assert all(got[i, j - (n if m else 0)] == len(np.intersect1d(own[i], own[j])) for i in range(n) for j in range(n if m else i + 1, 30))
+
+
+def test_blocks_of_a_column():
+    spans = [(1, 10, None), (10, 11, 7), (11, 13, 7), (13, 90, None)]
+    assert blocks_between(spans, 85, 100) == [(0, 0), (0, 1), (0, 2), (2, 3), (3, 3)]
+
+
+@pytest.mark.parametrize("column", [7, 1024])
+def test_popular_passages_against_all_pairs(spark, monkeypatch, column):
+    """Texts made of a few passages: every shingle is in many classes, so columns are split into blocks."""
+    monkeypatch.setattr(module, "COLUMN", column)
+    monkeypatch.setattr(module, "TILE", 8)
+    rng = np.random.default_rng(9)
+    passages = [" ".join("".join(rng.choice(list("abcdefgh"), 4)) for _ in range(9)) for _ in range(14)]
+    texts = [" ".join(passages[i] for i in rng.permutation(14)[: int(rng.integers(8, 14))]) for _ in range(120)]
+    texts += [" ".join(passages[i] for i in range(14) if i != k) for k in range(14)] + [" ".join(passages)]
+    own, comp = brute(texts, 4, 85, 100)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in ngram_join(frame, 4, 85, 100).collect()} == dict(enumerate(comp))
+
+
+def test_many_near_copies_make_few_rows(spark, monkeypatch):
+    """Near copies of one template that mostly link, and texts of one shared shingle: rows made grow with the classes, not with their square."""
+    rng, n = np.random.default_rng(3), 6_000
+    template = [f"w{i}" for i in range(160)]
+    near = []
+    for i in range(n):
+        now = list(template)
+        for k in rng.integers(4, 156, 1 + i % 2):  # two of the latter don't link, but both link with the former
+            now[k] = f"x{i}"
+        near.append(" ".join(now))
+    hot = [f"one shared passage here {' '.join(f'y{i}n{k}' for k in range(9))}" for i in range(n)]
+    made = {}
+    for name in ("stars_of", "tiles_of", "product_pairs"):
+        monkeypatch.setattr(module, name, lambda *a, _f=getattr(module, name), _n=name: made.setdefault(_n, _f(*a)))
+    frame = spark.createDataFrame(list(enumerate(near + hot)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in ngram_join(frame, 4, 85, 100).collect()}
+    assert all(got[n + i] == n + i for i in range(n))
+    assert sum(got[i] == 0 for i in range(n)) > 0.99 * n
+    stars, tiles, pairs = (made[k] for k in ("stars_of", "tiles_of", "product_pairs"))
+    assert stars.count() < 1.2 * n * module.LEADS and max(r["count"] for r in stars.groupBy("x", "y").count().collect()) < 3 * module.STAR
+    assert tiles.count() < n and pairs.count() < n
 
 
 def test_bounds():

@@ -6,20 +6,27 @@ document's class and component, which lose no link between different texts:
 1. One pass hashes each text's set (64 bits a shingle). Documents of equal sets are one class from here on, so copies, be
    they a third of all rows, never meet in pairs. The same pass counts shingles in a fixed number of buckets, a table of
    fixed size that is summed in a streaming reduction and broadcast: the global order of shingles, rare ones first.
-2. Classes that agree in several of a few min-hashes are put into one cluster, by way of the most central class of each
-   min-hash. A cluster's incidence is multiplied with its transpose in tiles of bounded size, the overlap counts of a tile
-   adding up over blocks of shingles. A tile holds its sets, so pairs that miss the overlap that their sizes ask for are
-   discarded where they arise, and only edges that connect something leave the task: at most one for each class and tile.
-3. The product makes the result whole across clusters. Of each class only the first shingles by the global order are kept,
+2. A group of near copies is thinned first: a class belongs to the groups of at most LEADS leaders (the most central
+   of the classes that share several of a few min-hashes with it). A group of at most STAR classes is multiplied with itself, a larger one
+   with HEADS of its rows, so a group of m classes makes about HEADS * m products and not m*m. Classes that link are one component from here on.
+3. The product makes the result whole between components. Of each class only the first shingles by the global order are kept,
    so many that a linked pair must share one. The incidence is dealt in blocks by shingle; a block multiplies each column
-   with itself, between classes of different clusters, in tiles of bounded size. It discards pairs by the sizes of their
-   sets and by the positions of the shared shingle; the overlap counts of a pair from all blocks are added up, and the pair
-   is discarded if they and what may follow stay below the overlap that the sizes ask for. What is left is verified on whole sets.
-4. Components are found by star contraction.
+   with itself, between classes of different components. It discards pairs by the sizes of their sets and by the positions of
+   the shared shingle. A column of more than COLUMN classes is streamed out in runs of sizes, and each pair of runs whose sizes may
+   link is a block of its own. The overlap counts of a pair from all blocks are added up, and the pair is discarded if they
+   and what may follow stay below the overlap that the sizes ask for.
+4. What is left is decided by the product of whole rows, in tiles of at most 2 * TILE classes whose overlap counts add up over
+   blocks of shingles: few-membered columns pair by pair, the others as a matrix. A tile reads a text once however many
+   pairs it is in, discards pairs below the overlap that their sizes ask for, and gives at most an edge for each class.
+5. Components are found by star contraction.
+
+What grows faster than the input is the number of pairs of different components that share a first shingle and that sizes and positions
+don't discard, i.e. of near misses: k of them in one group come to k*k/2 rows of numbers in step 3 and k*k/TILE texts in step 4.
 
 Defined cases: a text that is null, empty or of white space has no shingle and links with nothing, not even with copies
-of itself; repeated rows are linked copies; a null doc_id is passed over when the least doc_id of a component is sought, unless
-there is no other; an empty table gives no row; other columns aren't read.
+of itself; a very long text is one set, held by one task at a time; repeated rows are linked copies; a null doc_id is passed over when the least doc_id of a
+component is sought, unless there is no other; of documents that tie by doc_id the one of the least text hash stands for them; an
+empty table gives no row; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -42,8 +49,10 @@ BUCKET_BITS, PARTS = 18, 16
 MINS, AGREE = 8, 3
 #: Parts in which the classes of one min-hash value are dealt, as one value may be that of very many.
 SALTS = 8
-#: Classes that one comparison task reads against one leader, the side of a tile, and the shingles that a tile multiplies at once.
-SALT_ROWS, TILE, COLUMNS = 250, 256, 1 << 13
+#: The leaders that a class has at most, the rows that a large group is multiplied with, and how many classes one tile reads against these.
+LEADS, HEADS, STAR = 2, 8, 64
+#: The classes in one block of a column, the side of a tile, the shingles that a tile multiplies at once, and the members of a column that is done pair by pair.
+COLUMN, TILE, COLUMNS, FEW = 1024, 128, 1 << 13, 8
 _MIN_SEEDS = np.random.default_rng(77).integers(1, 1 << 63, MINS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -65,13 +74,15 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
         names = ["doc_id", "text_hash", "n", "set_key", "mins", "part", "counts"]
         none = lambda m, t: pa.nulls(m, t)
         for b in sliced(batches):
-            sizes, keys, mins = [], [], []
+            sizes, keys, mins, held = [], [], [], []
             for text in b.column(2):
                 s = shingle_set(text.as_buffer().to_pybytes(), words)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s))
                 mins.append([int(mix(s * x).min().view(np.int64)) for x in _MIN_SEEDS] if len(s) else None)
-                np.add.at(counts, s >> np.uint64(64 - BUCKET_BITS), 1)
+                held.append(s)
+            if held:
+                counts += np.bincount((np.concatenate(held) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=1 << BUCKET_BITS)
             m = b.num_rows
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(mins, pa.list_(pa.int64())), none(m, pa.int32()), none(m, pa.binary())], names)
         parts = [x.tobytes() for x in np.split(counts, PARTS)]
@@ -97,8 +108,8 @@ def summed_counts(profile: DataFrame) -> np.ndarray:
     return np.concatenate([total.get(p, empty) for p in range(PARTS)])
 
 
-def clusters_of(classes: DataFrame) -> DataFrame:
-    """(node, component) of the classes that agree in AGREE min-hashes with a leader: of the classes with one value of a min-hash, the one whose values most others share."""
+def leaders_of(classes: DataFrame) -> DataFrame:
+    """(lead, cid, place) of the classes that agree in AGREE min-hashes with a leader: of the classes with one value of a min-hash, the one whose values most others share. place: 0 for the leader that a class agrees with most, up to LEADS - 1."""
     bands = classes.select("cid", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int").alias("salt"), F.posexplode("mins").alias("k", "value"))
     spread = lambda small: small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     common = bands.groupBy("k", "value").agg(F.count("*").alias("size")).filter("size > 1")
@@ -106,9 +117,9 @@ def clusters_of(classes: DataFrame) -> DataFrame:
     central = shared.groupBy("cid").agg(F.sum("size").alias("weight"))
     weighed = shared.join(central, "cid")
     leads = weighed.groupBy("k", "value").agg(F.max(F.struct("weight", (-F.col("cid")).alias("cid"))).alias("best")).select("k", "value", (-F.col("best.cid")).alias("lead"))
-    met = shared.join(spread(leads), ["k", "value", "salt"]).filter("lead <> cid").groupBy("lead", "cid").agg(F.count("*").alias("agree")).filter(F.col("agree") >= AGREE)
-    best = met.groupBy("cid").agg(F.max(F.struct(F.col("agree"), (-F.col("lead")).alias("lead"))).alias("best"))
-    return components(best.select((-F.col("best.lead")).alias("a"), F.col("cid").alias("b")))
+    met = shared.join(spread(leads), ["k", "value", "salt"]).filter("lead <> cid").groupBy("cid", "lead").agg(F.count("*").alias("agree")).filter(F.col("agree") >= AGREE)
+    ranked = met.groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("agree", (-F.col("lead")).alias("lead"))), False), 1, LEADS).alias("best"))  # at most MINS
+    return cut(ranked.select("cid", F.posexplode("best").alias("place", "best")).select((-F.col("best.lead")).alias("lead"), "cid", "place"))
 
 
 class Forest:
@@ -128,28 +139,39 @@ class Forest:
         return x != y
 
 
+def overlaps(token: np.ndarray, row: np.ndarray, n: int, m: int) -> np.ndarray:
+    """How many tokens each of the rows 0 to n - 1 shares with each of n to n + m - 1, or (m = 0) with each other; added up over blocks of tokens."""
+    _, column, count = np.unique(token, return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    row, count_of = row[order], count[column[order]]
+    begin = np.cumsum(count) - count
+    total = np.zeros((n, m or n), dtype=np.int32)
+    for c in range(2, FEW + 1):  # the sparse columns; those of one member add to no overlap
+        members = row[begin[count == c][:, None] + np.arange(c)]
+        for i in range(c):
+            for j in range(i + 1, c):
+                x, y = np.minimum(members[:, i], members[:, j]), np.maximum(members[:, i], members[:, j])
+                keep = (x < n) & (y >= n) if m else slice(None)
+                total += np.bincount(x[keep] * np.int64(m or n) + y[keep] - (n if m else 0), minlength=total.size).reshape(total.shape)
+    dense = np.flatnonzero(count > FEW)
+    number = np.full(len(count), -1)
+    number[dense] = np.arange(len(dense))
+    place = number[column[order]]
+    row, place = row[count_of > FEW], place[count_of > FEW]
+    for at in range(0, len(dense), COLUMNS):
+        own = slice(*np.searchsorted(place, [at, at + COLUMNS]))
+        block = np.zeros((n + m, min(COLUMNS, len(dense) - at)), dtype=np.float32)
+        block[row[own], place[own] - at] = 1
+        total += (block[:n] @ (block[n:] if m else block).T).astype(np.int32)
+    return total
+
+
 def tile_edges(x: list[np.ndarray], y: list[np.ndarray] | None, num: int, den: int) -> list[tuple[int, int]]:
     """Edges (i, j) that connect the linked sets of a tile: of x with itself, or of x (numbered first) with y."""
-    sets = x + (y or [])
+    sets, n = x + (y or []), len(x)
     size = np.array([len(s) for s in sets], dtype=np.int64)
-    token = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), size)
-    distinct, column, count = np.unique(token, return_inverse=True, return_counts=True)
-    common = count > 1  # the others add to no overlap
-    number = np.cumsum(common) - 1
-    keep = common[column]
-    row, column = row[keep], number[column[keep]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    n, width = len(x), int(common.sum())
-    overlap = np.zeros((n, len(y) if y else n), dtype=np.float32)
-    for begin in range(0, width, COLUMNS):
-        own = slice(*np.searchsorted(column, [begin, begin + COLUMNS]))
-        block = np.zeros((len(sets), min(COLUMNS, width - begin)), dtype=np.float32)
-        block[row[own], column[own] - begin] = 1
-        overlap += block[:n] @ (block[n:] if y else block).T
-    need = least_overlap(size[:n][:, None], (size[n:] if y else size)[None, :], num, den)
-    ok = overlap >= need
+    found = overlaps(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), n, len(y or ()))
+    ok = found >= least_overlap(size[:n][:, None], (size[n:] if y else size)[None, :], num, den)
     if not y:
         ok &= np.triu(np.ones_like(ok), 1)
     forest = Forest(len(sets))
@@ -157,95 +179,96 @@ def tile_edges(x: list[np.ndarray], y: list[np.ndarray] | None, num: int, den: i
     return [(i, j) for i, j in zip(p.tolist(), (q + n if y else q).tolist(), strict=True) if forest.join(i, j)]
 
 
-def tiles_of(clusters: DataFrame) -> DataFrame:
-    """(kind 0, part, x, y, second, cid): every cluster in blocks of about TILE classes, and for each pair of blocks x <= y the classes that meet in it."""
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("m"))
-    dealt = clusters.join(sizes, "component").withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
-    tiles = dealt.select(F.col("node").alias("cid"), F.col("component").alias("part"), "block", F.explode(to).alias("t"))
-    return tiles.select(F.lit(0).alias("kind"), "part", F.col("t.x").alias("x"), F.col("t.y").alias("y"), (F.col("t.x") != F.col("block")).alias("second"), "cid")
+def stars_of(leaders: DataFrame) -> DataFrame:
+    """(x, y, second, cid): a group of at most STAR classes as a tile with itself (x = y), a larger one as tiles of its heads (the leader, and classes picked by hash) and STAR or so of its classes."""
+    picked = (F.min_by("cid", F.xxhash64("cid", F.lit(k))) for k in range(1, HEADS))
+    groups = leaders.groupBy("lead").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"), F.array(*picked).alias("picked"))
+    part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
+    members = leaders.join(groups, "lead").select("lead", "parts", part.alias("part"), (F.col("parts") > 1).alias("second"), "cid")
+    own = F.array_distinct(F.when(F.col("parts") > 1, F.concat(F.array("lead"), "picked")).otherwise(F.array("lead")))
+    heads = groups.select("lead", "parts", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("lead", "parts", "part", F.lit(False).alias("second"), F.explode("own").alias("cid"))
+    return members.unionByName(heads).select(F.col("lead").alias("x"), F.when(F.col("parts") > 1, F.xxhash64("lead", "part")).otherwise(F.col("lead")).alias("y"), "second", "cid")
 
 
-def portions_of(pairs: DataFrame) -> DataFrame:
-    """(kind 1, part: a, x, y 0, second, cid): the partners of each `a` in portions of about SALT_ROWS, and `a` itself at the head of each portion."""
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    members = pairs.join(degree, "a").select(F.lit(1).alias("kind"), F.col("a").alias("part"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("x"), F.lit(0).alias("y"), F.lit(True).alias("second"), F.col("b").alias("cid"))
-    heads = degree.select(F.lit(1).alias("kind"), F.col("a").alias("part"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("x"), F.lit(0).alias("y"), F.lit(False).alias("second"), F.col("a").alias("cid"))
-    return members.unionByName(heads)
+def tiles_of(pairs: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(x, y, second, cid): the classes of the pairs in tiles. A block holds about TILE classes of one group (of those that agree most with one leader), and a tile the classes of two blocks that some pair asks for."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    groups = asked.join(leaders.filter("place = 0").select("cid", "lead"), "cid", "left").select("cid", F.coalesce("lead", "cid").alias("lead"))
+    parts = groups.groupBy("lead").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    blocks = groups.join(parts, "lead").select("cid", F.xxhash64("lead", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("block"))
+    of = lambda c: blocks.select(F.col("cid").alias(c), F.col("block").alias(f"block_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    x, y = F.least("block_a", "block_b"), F.greatest("block_a", "block_b")
+    ends = F.explode(F.array(*(F.struct((F.col(f"block_{c}") != x).alias("second"), F.col(c).alias("cid")) for c in "ab"))).alias("end")
+    return both.select(x.alias("x"), y.alias("y"), ends).select("x", "y", "end.second", "end.cid").distinct()
 
 
 def links(texts: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(a, b): the links within tiles, thinned to what connects, and those of the pairs in portions. Each text is fetched by one join for all of its places."""
+    """(a, b): the links within the tiles (x, y, second, cid), thinned to what connects. Each text is fetched by one join for all of its tiles."""
     placed = wanted.join(classes.select("cid", "rep_id", "rep_hash"), "cid")
-    met = texts.join(placed, (texts["text_hash"] == placed["rep_hash"]) & texts["doc_id"].eqNullSafe(placed["rep_id"])).select("kind", "part", "x", "y", "second", "cid", "text")
-    ordered = met.repartition("kind", "part", "x", "y").sortWithinPartitions("kind", "part", "x", "y", "second", "cid")
-
-    def batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in edges], pa.int64()), pa.array([j for _, j in edges], pa.int64())], ["a", "b"])
+    met = texts.join(placed, (texts["text_hash"] == placed["rep_hash"]) & texts["doc_id"].eqNullSafe(placed["rep_id"])).select("x", "y", "second", "cid", "text")
+    ordered = met.repartition("x", "y").sortWithinPartitions("x", "y", "second", "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, cids, halves = None, [], ([], [])
 
         def tile() -> pa.RecordBatch:
             x, y = halves
-            edges = tile_edges(x, y or None, num, den) if len(cids) > 1 and x and (y or at[2] == at[3]) else []
-            return batch([(cids[i], cids[j]) for i, j in edges])
+            edges = tile_edges(x, y or None, num, den) if x and (y or at[0] == at[1]) and len(cids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([cids[i] for i, _ in edges], pa.int64()), pa.array([cids[j] for _, j in edges], pa.int64())], ["a", "b"])
 
         for b in sliced(batches):
-            own, linked = (b.column(i).to_pylist() for i in range(6)), []
-            for kind, part, x, y, second, cid, text in zip(*own, b.column(6), strict=True):
-                if (kind, part, x, y) != at:
-                    if at and not at[0]:
+            own = (b.column(i).to_pylist() for i in range(4))
+            for x, y, second, cid, text in zip(*own, b.column(4), strict=True):
+                if (x, y) != at:
+                    if at:
                         yield tile()
-                    at, cids, halves = (kind, part, x, y), [], ([], [])
-                if cids and cids[-1] == cid:  # a repeated row of one text
+                    at, cids, halves = (x, y), [], ([], [])
+                if halves[second] and cids[-1] == cid:  # a repeated row of one text
                     continue
-                s = shingle_set(text.as_buffer().to_pybytes(), words)
-                if kind and second:
-                    cids = [cid]
-                    if halves[0]:
-                        both = len(np.intersect1d(halves[0][0], s, assume_unique=True))
-                        if den * both >= num * (len(halves[0][0]) + len(s) - both):
-                            linked.append((part, cid))
-                else:
-                    cids.append(cid)
-                    halves[second].append(s)
-            yield batch(linked)
-        if at and not at[0]:
+                cids.append(cid)
+                halves[second].append(shingle_set(text.as_buffer().to_pybytes(), words))
+        if at:
             yield tile()
 
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def product_of(token: np.ndarray, cid: np.ndarray, comp: np.ndarray, size: np.ndarray, pos: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """The pairs (a, b, size and position of either) of classes of different clusters in the columns of a block whose rows are sorted by token."""
+Rows = tuple[np.ndarray, ...]  # class, component, size of its set, position of the token in its order
+
+
+def met_rows(own: Rows, x: np.ndarray, y: np.ndarray, num: int, den: int) -> Rows | None:
+    """(a, b, size and position of either) of the pairs of rows x and y that may link."""
+    cid, comp, size, pos = own
+    most = np.minimum(size[x] - pos[x], size[y] - pos[y])
+    ok = (comp[x] != comp[y]) & (most >= least_overlap(size[x], size[y], num, den))
+    x, y = x[ok], y[ok]
+    if not len(x):
+        return None
+    x, y = np.where(cid[x] > cid[y], y, x), np.where(cid[x] > cid[y], x, y)
+    return cid[x], cid[y], size[x], size[y], pos[x], pos[y]
+
+
+def columns_product(token: np.ndarray, own: Rows, num: int, den: int) -> Iterator[Rows]:
+    """The pairs that whole columns make, rows being sorted by token and size."""
     edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     count = np.diff(np.r_[edge, len(token)])
-    for begin, m in zip(edge[count > 1].tolist(), count[count > 1].tolist(), strict=True):
-        own = slice(begin, begin + m)
-        if (comp[own] == comp[begin]).all():
-            continue
-        order = begin + np.argsort(size[own], kind="stable")
-        for i in range(0, m, TILE):
-            x = order[i : i + TILE]
-            last = np.searchsorted(size[order], size[x[-1]] * den // num, side="right")
-            for j in range(i, last, TILE):
-                y = order[j : min(j + TILE, last)]
-                need = least_overlap(size[x][:, None], size[y][None, :], num, den)
-                most = 1 + np.minimum((size[x] - pos[x])[:, None], (size[y] - pos[y])[None, :]) - 1
-                ok = (comp[x][:, None] != comp[y][None, :]) & (most >= need)
-                if i == j:
-                    ok &= np.triu(np.ones((len(x), len(y)), dtype=bool), 1)
-                p, q = np.nonzero(ok)
-                if len(p):
-                    p, q = x[p], y[q]
-                    swap = cid[p] > cid[q]
-                    p, q = np.where(swap, q, p), np.where(swap, p, q)
-                    yield cid[p], cid[q], size[p], size[q], pos[p], pos[q]
-
-
-def product_pairs(texts: DataFrame, classes: DataFrame, clusters: DataFrame, counts: np.ndarray, words: int, num: int, den: int) -> DataFrame:
-    """(a, b): the pairs of classes of different clusters that the product can't discard."""
+    two = edge[count == 2]
+    if len(two) and (found := met_rows(own, two, two + 1, num, den)):
+        yield found
+    for begin, m in zip(edge[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+        column = np.arange(begin, begin + m)
+        if (own[1][column] != own[1][begin]).any() and (found := met_rows(own, *(column[i] for i in np.triu_indices(m, 1)), num, den)):
+            yield found
+
+
+def blocks_between(spans: list[tuple[int, int, int | None]], num: int, den: int) -> list[tuple[int, int]]:
+    """The pairs of a column's runs, (least size, greatest size, their component if it is one) in order of size, that may hold a link."""
+    return [(i, j) for i, (_, high, c) in enumerate(spans) for j, (low, _, d) in enumerate(spans[i:], i) if low * num <= high * den and not (c is not None and c == d)]
+
+
+def product_pairs(texts: DataFrame, classes: DataFrame, known: DataFrame, counts: np.ndarray, words: int, num: int, den: int) -> DataFrame:
+    """(a, b): the pairs of classes of different components (known: node, component) that the product can't discard."""
     shared = texts.sparkSession.sparkContext.broadcast(counts)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,32 +281,86 @@ def product_pairs(texts: DataFrame, classes: DataFrame, clusters: DataFrame, cou
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "text_hash", "first"])
 
     made = texts.select("doc_id", "text_hash", "text").mapInArrow(prefixes, "doc_id long, text_hash long, first array<long>").filter("first is not null")
-    placed = classes.select("cid", "n", "rep_id", "rep_hash").join(clusters.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "rep_id", "rep_hash", F.coalesce("component", "cid").alias("comp"))
+    placed = classes.select("cid", "n", "rep_id", "rep_hash").join(known.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "rep_id", "rep_hash", F.coalesce("component", "cid").alias("comp"))
     rows = made.join(placed, (made["text_hash"] == placed["rep_hash"]) & made["doc_id"].eqNullSafe(placed["rep_id"]))
     incidence = rows.select("cid", "comp", F.col("n").alias("size"), F.posexplode("first").alias("pos", "token"))
-    blocks = incidence.select("token", "cid", "comp", F.col("size").cast("int").alias("size"), "pos").repartition("token").sortWithinPartitions("token")
+    columns = incidence.select("token", "cid", "comp", F.col("size").cast("int").alias("size"), "pos").repartition("token").sortWithinPartitions("token", "size")
+    names = ["kind", "a", "b", "c", "d", "e", "f"]
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "size_a", "size_b", "pos_a", "pos_b"]
-        held: list[np.ndarray] | None = None
+    def batch(kind: int, columns: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, dtype=np.int32)), *(pa.array(np.asarray(c, dtype=np.int64)) for c in columns)], names)
 
-        def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for found in product_of(*columns, num, den):
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in found], names)
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (kind 0); of columns of more than COLUMN rows the rows by run (kind 1) and the blocks that each run is in (kind 2)."""
+        held: Rows | None = None
+        hot, spans = None, []
+
+        def run_out(run: Rows) -> pa.RecordBatch:
+            token, cid, comp, size, pos = run
+            place = len(spans)
+            spans.append((int(size[0]), int(size[-1]), int(comp[0]) if (comp == comp[0]).all() else None))
+            return batch(1, (token, cid, comp, size, pos, np.full(len(cid), place)))
+
+        def settled(own: Rows) -> Iterator[pa.RecordBatch]:
+            """Rows of whole columns, of which the first may be the rest of the hot one."""
+            nonlocal hot, spans
+            if hot is not None:
+                n = int(np.searchsorted(own[0], hot, side="right"))
+                if n:
+                    yield run_out(tuple(c[:n] for c in own))
+                own = tuple(c[n:] for c in own)
+                ends = [(hot, run, x, y, 0, 0) for x, y in blocks_between(spans, num, den) for run in {x, y}]
+                for i in range(0, len(ends), 1 << 16):
+                    yield batch(2, tuple(zip(*ends[i : i + (1 << 16)], strict=True)))
+                hot, spans = None, []
+            for found in columns_product(own[0], own[1:], num, den) if len(own[0]) else ():
+                yield batch(0, found)
 
         for b in sliced(batches):
-            own = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]
+            own = tuple(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns)
             if held is not None:
-                own = [np.concatenate(x) for x in zip(held, own, strict=True)]
+                own = tuple(np.concatenate(x) for x in zip(held, own, strict=True))
             if not len(own[0]):
                 continue
-            last = int(np.searchsorted(own[0], own[0][-1]))
-            held = [c[last:] for c in own]
-            yield from out([c[:last] for c in own])
+            if hot is not None and own[0][-1] != hot or hot is None and own[0][0] != own[0][-1]:
+                last = int(np.searchsorted(own[0], own[0][-1]))
+                yield from settled(tuple(c[:last] for c in own))
+                own = tuple(c[last:] for c in own)
+            while len(own[0]) > COLUMN:
+                hot = int(own[0][0])
+                yield run_out(tuple(c[:COLUMN] for c in own))
+                own = tuple(c[COLUMN:] for c in own)
+            held = own
         if held is not None:
-            yield from out(held)
+            yield from settled(held)
+
+    def multiply_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
 
-    met = blocks.mapInArrow(multiply, "a long, b long, size_a long, size_b long, pos_a long, pos_b long")
+        def block() -> Iterator[pa.RecordBatch]:
+            *own, second = (np.array(c, dtype=np.int64) for c in zip(*held, strict=True))
+            x, y = np.flatnonzero(second == 0), np.flatnonzero(second)
+            pairs = (x[i] for i in np.triu_indices(len(x), 1)) if at[1] == at[2] else (np.repeat(x, len(y)), np.tile(y, len(x)))
+            if found := met_rows(tuple(own), *pairs, num, den):
+                yield batch(0, found)
+
+        for b in sliced(batches):
+            for token, x, y, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (token, x, y) != at:
+                    if held:
+                        yield from block()
+                    at, held = (token, x, y), []
+                held.append(row)
+        if held:
+            yield from block()
+
+    schema = "kind int, a long, b long, c long, d long, e long, f long"
+    first = cut(columns.mapInArrow(multiply, schema))
+    runs = first.filter("kind = 1").toDF("kind", "token", "cid", "comp", "size", "pos", "run").drop("kind")
+    ends = first.filter("kind = 2").toDF("kind", "token", "run", "x", "y", "e", "f").select("token", "run", "x", "y")
+    blocks = runs.join(ends, ["token", "run"]).select("token", "x", "y", "cid", "comp", "size", "pos", F.when(F.col("run") != F.col("x"), 1).otherwise(0).cast("long").alias("second"))
+    second = blocks.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(multiply_blocks, schema)
+    met = first.filter("kind = 0").unionByName(second).toDF("kind", "a", "b", "size_a", "size_b", "pos_a", "pos_b")
     added = met.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
     most = F.col("shared") + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) - 1
     return added.filter(most * (num + den) >= (F.col("size_a") + F.col("size_b")) * num).select("a", "b")
@@ -302,9 +379,10 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, i
     grouped = filled.groupBy("set_key", "n", "mins").agg(F.min(order).alias("rep"))
     classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), "set_key", "n", "mins", F.col("rep.id").alias("rep_id"), F.col("rep.hash").alias("rep_hash")))
     counts = summed_counts(profile)
-    clusters = cut(clusters_of(classes))
-    across = cut(product_pairs(texts, classes, clusters, counts, words, num, den))
-    linked = components(links(texts, classes, tiles_of(clusters).unionByName(portions_of(across)), words, num, den))
+    leaders = leaders_of(classes)
+    known = components(links(texts, classes, stars_of(leaders), words, num, den))
+    across = cut(product_pairs(texts, classes, known, counts, words, num, den))
+    linked = components(known.toDF("a", "b").unionByName(links(texts, classes, tiles_of(across, leaders), words, num, den)))
     placed = classes.join(linked.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     heads = placed.groupBy("component").agg(F.min(F.struct(F.col("rep_id").isNull().alias("none"), F.col("rep_id").alias("id"), F.col("rep_hash").alias("hash"))).alias("head"))
     known = placed.join(heads, "component").select("set_key", F.col("head.id").alias("head_id"), F.col("head.hash").alias("head_hash"))
