@@ -37,18 +37,41 @@ def test_matches_are_those_of_brute_force(data):
         at = data.draw(st.integers(0, max(len(edited) - 1, 0)))
         edited[at : at + data.draw(st.integers(0, 1))] = data.draw(st.text("xyz", max_size=1))
     text = f"{around} {''.join(edited)} {around}"
-    want = distance(normal_form(item), normal_form(text))
+    want = distance(f" {normal_form(item)} ", f" {normal_form(text)} ")
     got = Matcher([(1, item)], 0.1).match(text)
     assert got == ({0: want} if want <= int(0.1 * len(normal_form(item))) else {})
 
 
 def test_query_finds_the_planted_passages(spark, sf, docs):
     items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
-    whole = {(d.doc_id, b.item_id) for d in docs.collect() for b in items if normal_form(b.text) in normal_form(d.text or "")}
+    whole = {(d.doc_id, b.item_id) for d in docs.collect() for b in items if f" {normal_form(b.text)} " in f" {normal_form(d.text or '')} "}
     got = queries()["op6_decontamination"](spark, sf).collect()
     assert {(r.doc_id, r.item_id) for r in got if r.distance == 0} == whole and all(r.distance <= r.budget for r in got)
 
 
+def test_edited_passages_against_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(1, 9)))) for i in range(25)]
+    texts = []
+    for d in range(60):
+        passage = list(items[d % 25][1])
+        for _ in range(rng.randint(0, len(passage) // 8)):
+            at = rng.randrange(len(passage))
+            passage[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "y z"])
+        texts.append((d, " ".join([*(word() for _ in range(20)), "".join(passage), *(word() for _ in range(20))])))
+    got = {(r.doc_id, r.item_id): r.distance for r in contaminations(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i): n for d, t in texts for i, item in items if (n := distance(f" {normal_form(item)} ", f" {normal_form(t)} ")) <= int(0.1 * len(normal_form(item)))}
+    assert got == want and any(want.values())
+
+
+def test_short_items_match_whole_words(spark):
+    items = spark.createDataFrame([(1, "no"), (2, "art")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "we know a party"), (2, "No."), (3, "the art, of it")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in contaminations(docs, items).collect()) == [(2, 1), (3, 2)]
+    assert [r.doc_id for r in without_items(docs, items).collect()] == [1]
+
+
 def test_blocks_give_the_same(spark, sf, docs):
     benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
     assert Counter(map(tuple, contaminations(docs, benchmark, block_bytes=2000).collect())) == Counter(map(tuple, contaminations(docs, benchmark).collect()))

@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and test items are brought to one form (lower case, letters and digits, single blanks). An item of m characters may
-differ by k = floor(error_rate * m) edits, so it is split into k + 1 pieces, of which any match holds one unchanged. An
+Texts and test items are brought to one form (lower case, letters and digits, single blanks, one at either end, so that an
+item begins and ends where words do). An item of m characters without the outer blanks may differ by k = floor(error_rate * m) edits, so it is split into k + 1 pieces, of which any match holds one unchanged. An
 Aho-Corasick automaton of all pieces finds the exact hits in each whole text. Hits are then checked up a binary tree of
 the pieces: if a match spends at most k edits over k + 1 pieces, then some unchanged piece has, at every tree node above
 it, fewer edits than the node has pieces. The lowest check is a substring test, the upper ones and the last, of the whole
@@ -10,14 +10,17 @@ item, are Myers' bit-parallel distance over the window about the hit.
 The items are read on the driver in blocks of at most `block_bytes`, each block broadcast and matched in its own pass, so
 what is broadcast is bounded however many items there are; documents are never shuffled.
 
+The automaton is built once a worker and block, however many tasks the worker runs.
+
 Defined cases: a null text is empty and matches nothing, as does an item without letters or digits; an item too short for
-an edit must occur unchanged; repeated rows are matched each on its own; items that tie are all reported; an empty table on either
+an edit must occur unchanged, as whole words; a very long text is matched whole; repeated rows are matched each on its own; items that tie are all reported; an empty table on either
 side gives no match; columns other than ids and texts aren't read.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -71,8 +74,9 @@ class Item:
     """A test item: its pieces, and for each piece the tree nodes above it, from the lowest, as (begin, pattern, budget)."""
 
     def __init__(self, item_id: int, text: str, error_rate: float) -> None:
-        self.item_id, self.whole = item_id, Pattern(text)
         self.k = int(error_rate * len(text))
+        text = f" {text} "
+        self.item_id, self.whole = item_id, Pattern(text)
         m = self.k + 1
         cut = [len(text) * j // m for j in range(m + 1)]
         self.pieces = [(cut[j], text[cut[j] : cut[j + 1]]) for j in range(m)]
@@ -97,7 +101,10 @@ class Item:
         descend(0, m, True)
 
     def verify(self, j: int, at: int, text: str) -> int | None:
-        """The item's distance about a hit of piece j at a place in the text, if within the budget and the tree allows it."""
+        """The item's least distance about a hit of piece j at a place in the text, unless the tree rules a match out.
+
+        Hits that begin the item in one stretch of k + 1 places share a window, which holds every match about any of them.
+        """
         if s := self.sibling[j]:
             near = text[max(at + s[0], 0) : max(at + s[1], 0)]
             if s[2] not in near and s[3] not in near:  # the sibling has one edit at most
@@ -106,9 +113,11 @@ class Item:
         for begin, node, budget in self.above[j]:
             if node.distance(text[max(start + begin - budget, 0) : max(start + begin + node.n + budget, 0)]) > budget:
                 return None
-        k = self.k
-        found = self.whole.distance(text[max(start - 2 * k, 0) : max(start + self.whole.n + 2 * k, 0)])
-        return found if found <= k else None
+        k, first = self.k, self.stretch(start) * (self.k + 1)
+        return self.whole.distance(text[max(first - 2 * k, 0) : max(first + self.whole.n + 3 * k, 0)])
+
+    def stretch(self, start: int) -> int:
+        return start // (self.k + 1)
 
 
 class Matcher:
@@ -128,9 +137,9 @@ class Matcher:
         """The least distance of each item (by number) that the text holds within its budget."""
         if not self.items:
             return {}
-        text = normal_form(text)
+        text = f" {normal_form(text)} "
         found: dict[int, int] = {}
-        seen: dict[int, int] = {}
+        seen: set[tuple[int, int]] = set()  # the windows that are verified
         for end, (n, where) in self.automaton.iter(text):
             for number, j in where:
                 if found.get(number) == 0:
@@ -138,15 +147,28 @@ class Matcher:
                 item = self.items[number]
                 at = end - n + 1
                 start = at - item.pieces[j][0]
-                if number in seen and abs(start - seen[number]) <= item.k:  # that window is verified
+                window = number, item.stretch(start)
+                if window in seen:
                     continue
                 distance = item.verify(j, at, text)
                 if distance is not None:
-                    seen[number] = start
-                    found[number] = min(distance, found.get(number, distance))
+                    seen.add(window)
+                    if distance <= item.k:
+                        found[number] = min(distance, found.get(number, distance))
         return found
 
 
+_matchers: dict[str, Matcher] = {}
+
+
+def matcher_of(key: str, items: list[tuple[int, str]], error_rate: float) -> Matcher:
+    """The matcher of a block, kept by the worker while it is in use."""
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher(items, error_rate)
+    return _matchers[key]
+
+
 def blocks_of(benchmark: DataFrame, block_bytes: int, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The items, read as a stream, in lists of at most about block_bytes."""
     held, size = [], 0
@@ -170,10 +192,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.
     names = ["doc_id", "item_id", "distance", "budget"]
 
     def pass_over(items: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(items)
+        shared, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, error_rate)
+            matcher = matcher_of(key, shared.value, error_rate)
             for b in sliced(batches):
                 out: list[list] = [[], [], [], []]
                 for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -197,10 +219,10 @@ def without_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.1
     kept, at = docs, docs.columns.index("text")
 
     def pass_over(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(items)
+        shared, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, error_rate)
+            matcher = matcher_of(key, shared.value, error_rate)
             for b in sliced(batches):
                 yield b.filter(pa.array([not (t and matcher.match(t)) for t in b.column(at).to_pylist()], pa.bool_()))
 
