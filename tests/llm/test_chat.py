@@ -46,13 +46,21 @@ def test_query_against_sql(spark, sf):
     assert -1 in set(got.conv_id)
 
 
+def test_rows_without_a_conversation_grow_linearly(spark):
+    frame = spark.createDataFrame([(None, i, "user" if i % 2 else "assistant", "x" * 100) for i in range(400)], "conv_id long, turn long, role string, text string")
+    made = chat_examples(frame).collect()
+    assert len(made) == 400 and sum(len(r.formatted) for r in made) < 400 * 150
+    got = digests(chat_examples(frame))
+    assert got.count() == 400 and got.filter("n_turns = 1").count() == 400
+
+
 def test_odd_rows(spark):
     values = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, None, None, None), (2, 5, "user", ""), (None, 0, "user", "q"), (None, 1, "assistant", "r"), (3, 0, "assistant", "long " * 50_000)]
     frame = spark.createDataFrame([(*v, "clash") for v in values], "conv_id long, turn long, role string, text string, formatted string")
-    got = {r.conv_id: r for r in digests(chat_examples(frame)).collect()}
+    got = digests(chat_examples(frame)).collect()
     turns = defaultdict(list)
-    for c, n, r, t in sorted(values, key=lambda v: (v[0] or 0, v[1] is not None, v[1] or 0, v[2] or "")):
-        turns[c].append((r or "", t or ""))
-    assert {c: r.turns_sha256 for c, r in got.items()} == {c: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in x).encode()).hexdigest() for c, x in turns.items()}
-    assert {c: r.loss_chars for c, r in got.items()} == {1: 2, 2: 0, None: 1, 3: 250_000}
+    for k, (c, n, r, t) in enumerate(sorted(values, key=lambda v: (v[0] or 0, v[1] is not None, v[1] or 0, v[2] or ""))):
+        turns[c, k if c is None else 0].append((r or "", t or ""))
+    assert Counter((r.conv_id, r.turns_sha256) for r in got) == Counter((c, hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in x).encode()).hexdigest()) for (c, _), x in turns.items())
+    assert Counter((r.conv_id, r.n_turns, r.loss_chars) for r in got) == Counter([(1, 3, 2), (2, 2, 0), (None, 1, 0), (None, 1, 1), (3, 1, 250_000)])
     assert chat_examples(frame.limit(0)).count() == 0

@@ -10,7 +10,7 @@ the conversation's examples. The expansion itself writes every context again, wh
 conversation by its definition.
 
 Defined cases: a null text or role is empty; a null turn comes first; turns that tie are ordered by role and text, and
-repeated rows stay repeated; rows with a null conv_id form one conversation; an empty table gives no example; other columns aren't read.
+repeated rows stay repeated; a row with a null conv_id is a conversation of its own; a very long text is written whole; an empty table gives no example; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -51,9 +51,9 @@ def unescape_role(role: str) -> str:
 
 def examples_of(rows: Iterator[tuple]) -> Iterator[tuple]:
     """Examples of (conv_id, role, text) rows in which conversations follow one another, their turns in order."""
-    conv, context, example, turns, trained = object(), "", 0, 0, True
+    conv, context, example, turns, trained = object(), "", 0, 0, True  # no conversation yet
     for conv_id, role, text in rows:
-        if conv_id != conv:
+        if conv_id is None or conv_id != conv:
             if not trained:
                 yield conv, example, turns, context, len(context), len(context), True
             conv, context, example, turns = conv_id, "", 0, 0
@@ -92,7 +92,9 @@ def chat_examples(turns: DataFrame) -> DataFrame:
 
     text = lambda c: F.coalesce(turns[c].cast("string"), F.lit(""))
     kept = turns.select(turns["conv_id"].cast("long").alias("conv_id"), turns["turn"].cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text"))
-    ordered = kept.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    # rows of no conversation are dealt by what they hold
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    ordered = kept.repartition("conv_id", alone).sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "role", "text").mapInArrow(run, SCHEMA)
 
 
@@ -108,7 +110,7 @@ def digests_of(rows: Iterator[tuple]) -> Iterator[tuple]:
         return conv, n, turns.hexdigest(), chars, loss.hexdigest(), total
 
     for conv_id, formatted, begin, end in rows:
-        if conv_id != conv or last is None:
+        if conv_id is None or conv_id != conv or last is None:
             if last is not None:
                 yield closed()
             conv, loss, chars, total = conv_id, hashlib.sha256(), 0, 0
@@ -121,7 +123,7 @@ def digests_of(rows: Iterator[tuple]) -> Iterator[tuple]:
 
 
 def digests(examples: DataFrame) -> DataFrame:
-    """A row per conversation, read back from chat_examples' output in the order in which it makes it."""
+    """A row per conversation (a null conv_id: per row), read back from chat_examples' output in the order in which it makes it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for b in sliced(batches) for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))

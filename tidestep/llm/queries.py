@@ -83,18 +83,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok', NULL UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok', NULL),
 o AS (
-  SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY conv_id) AS n,
+  SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY conv_id, own) AS n,
     sum(14 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 10) OVER (w ROWS UNBOUNDED PRECEDING) AS chars
-  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+  FROM c WINDOW w AS (PARTITION BY conv_id, own ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY rn) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(chars) FILTER (role = 'assistant' OR rn = n) AS BIGINT) AS formatted_chars
-FROM o GROUP BY conv_id
+FROM o GROUP BY conv_id, own
 """
 
 
