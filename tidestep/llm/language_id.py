@@ -5,11 +5,13 @@ are draws from a mixture of languages: expectation-maximisation estimates the pr
 likelihoods, and the set of languages is the one of the greatest likelihood less a penalty for each further language. The
 prediction is the language with the largest proportion in that set, and its score that proportion.
 
-The model is fitted on a sample of at most about `max_rows` labelled rows, chosen by a hash of their id (a documented
-bound; below it all labelled rows count). Its size is languages x BUCKETS whatever the input, so it is broadcast. The
-counts of the sample are summed by Spark as (language, bucket) rows; predicting is one narrow pass.
+The model is fitted on a sample of at most about `max_rows` labelled rows (a documented bound; below it all labelled rows
+count): an equal share for each language, so that a rare one keeps its rows, chosen by a hash of id and text. Its size is languages x BUCKETS whatever the input, so it is broadcast. The
+counts of the sample are summed by Spark as (language, bucket) rows; predicting is one narrow pass. A text of more than
+CHUNK_BYTES is read in pieces, and its equal words are one row with a weight from then on: memory grows with its different
+words, not with its length.
 
-Defined cases: a text that is null or has no letter is `und` with score 0, as is every text if nothing was learned;
+Defined cases: a very long text is judged whole, but a word of more than CHUNK_BYTES in parts; a text that is null or has no letter is `und` with score 0, as is every text if nothing was learned;
 repeated rows each give a row; ties go to the language that sorts first; an empty table gives no row; other columns aren't read.
 """
 
@@ -23,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidestep.llm.common import sliced, texts_of
+from tidestep.llm.common import fresh, sliced, texts_of
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.05
 CHUNK_BYTES = 1 << 19
+HASH_BITS = 62
 UNKNOWN = "und"
 
 #: Bytes of words: ASCII letters and all bytes of other characters; the rest is a blank.
@@ -53,25 +56,46 @@ class Model:
     #: BUCKETS x languages
     log_p: np.ndarray
 
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(likelihoods of each word over the greatest of them, how often it occurs, its document)."""
+        bucket, begins, doc = trigrams(texts)
+        if not len(begins):
+            return np.zeros((0, len(self.languages)), dtype=np.float32), doc, doc
+        words = np.add.reduceat(self.log_p[bucket], begins, axis=0, dtype=np.float32)
+        return np.exp(words - words.max(axis=1, keepdims=True)), np.ones(len(doc), dtype=np.int64), doc
+
+    def _distinct_words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of one long text, read in pieces; words of equal likelihoods are one row."""
+        held, weight = np.zeros((0, len(self.languages)), dtype=np.float32), np.zeros(0, dtype=np.int64)
+        for piece in pieces(text):
+            like, n, _ = self._words([piece])
+            rows = np.ascontiguousarray(np.concatenate([held, like]))
+            _, first, place = np.unique(rows.view(f"V{rows.itemsize * rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+            held, weight = rows[first], np.bincount(place, np.concatenate([weight, n]), len(first)).astype(np.int64)
+        return held, weight, np.zeros(len(held), dtype=np.int64)
+
     def predict(self, texts: list[str], iterations: int = 8, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
         """(the number of the leading language, its proportion) of each text; -1 and 0 for a text without words."""
         n, m = len(texts), len(self.languages)
         best, score = np.full(n, -1), np.zeros(n)
-        bucket, begins, doc = trigrams(texts)
-        if not len(begins) or not m:
+        if not m:
+            return best, score
+        like, weight, doc = self._distinct_words(texts[0]) if n == 1 and len(texts[0]) > CHUNK_BYTES else self._words(texts)
+        if not len(like):
             return best, score
-        words = np.add.reduceat(self.log_p[bucket], begins, axis=0, dtype=np.float32)
-        top = words.max(axis=1, keepdims=True)
-        like = np.exp(words - top)
         first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         own = doc[first]
-        count = np.diff(np.r_[first, len(doc)])
-        index = np.repeat(np.arange(len(first)), count)
+        rows = np.diff(np.r_[first, len(doc)])
+        count = np.add.reduceat(weight, first)
+        index = np.repeat(np.arange(len(first)), rows)
+        weighed = weight.astype(np.float32)[:, None] if (weight > 1).any() else None
 
         def fit(pi: np.ndarray, rounds: int) -> np.ndarray:
             for _ in range(rounds):
                 part = like * pi[index]
                 part /= part.sum(axis=1, keepdims=True) + np.float32(1e-30)
+                if weighed is not None:
+                    part *= weighed
                 pi = np.add.reduceat(part, first, axis=0) / count[:, None]
             return pi
 
@@ -85,7 +109,8 @@ class Model:
             own_pi = own_pi / own_pi.sum(axis=1, keepdims=True)
             if k > 1:
                 own_pi = fit(own_pi, 2)
-            value = np.add.reduceat(np.log((like * own_pi[index]).sum(axis=1) + np.float32(1e-30)), first) - penalty * (k - 1) * np.log1p(count)
+            logs = np.log((like * own_pi[index]).sum(axis=1) + np.float32(1e-30))
+            value = np.add.reduceat(logs if weighed is None else logs * weight, first) - penalty * (k - 1) * np.log1p(count)
             if chosen is None:
                 chosen, worth = own_pi, value
             else:
@@ -96,9 +121,24 @@ class Model:
         return best, np.clip(score, 0, 1)
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A text in pieces of about CHUNK_BYTES characters, cut at white space where there is some."""
+    begin = 0
+    while begin < len(text):
+        end = begin + CHUNK_BYTES
+        if end < len(text):
+            end = max(text.rfind(c, begin + 1, end) for c in " \n\t") + 1 or end
+        yield text[begin:end]
+        begin = end
+
+
 def chunks(texts: list[str]) -> Iterator[slice]:
+    """Runs of texts of about CHUNK_BYTES; a longer text stands alone."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
+        if size and len(t) > CHUNK_BYTES:
+            yield slice(begin, i)
+            begin, size = i, 0
         size += len(t)
         if size >= CHUNK_BYTES:
             yield slice(begin, i + 1)
@@ -112,12 +152,25 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
+def thresholds(sizes: dict[str, int], max_rows: int) -> dict[str, int]:
+    """Of each language the hashes of HASH_BITS bits that take a row into the sample: all of them up to its share of max_rows, else as many as give that share."""
+    left, of = max_rows, {}
+    for k, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        quota = max(left // (len(sizes) - k), 1)
+        of[lang] = (1 << HASH_BITS) * min(quota, n) // n
+        left = max(left - min(quota, n), 0)
+    return of
+
+
 def train(docs: DataFrame, max_rows: int = 50_000) -> Model:
     """Fits a model on the rows of (doc_id, text, lang) that have both; the held-out fold must have been taken away."""
     labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
-    total = labelled.select("lang").count()
-    share = min(1.0, max_rows / max(total, 1))
-    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text", "lang") if share < 1 else labelled.select("text", "lang")
+    sample = labelled.select("text", "lang")
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if sum(sizes.values()) > max_rows:
+        of = thresholds(sizes, max_rows)
+        limit = F.create_map(*(F.lit(x) for pair in of.items() for x in pair))[F.col("lang")]
+        sample = labelled.filter(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - HASH_BITS) < limit).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -163,7 +216,7 @@ def predicted(model: Model, texts: list[str], letters: np.ndarray) -> tuple[np.n
 
 
 def kept_by_language(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
-    """The rows, of any columns, whose text has a language that takes up at least least_score of its words."""
+    """The rows, of any columns and names, whose text has a language that takes up at least least_score of its words."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,5 +226,6 @@ def kept_by_language(docs: DataFrame, model: Model, least_score: float) -> DataF
 
     at = docs.columns.index("text")
     text = F.coalesce(docs["text"], F.lit(""))
-    whole = docs.withColumns({"text": text, "__letters": text.rlike(r"\p{L}")})
+    (letters,) = fresh(docs, "letters")
+    whole = docs.withColumns({"text": text, letters: text.rlike(r"\p{L}")})
     return whole.mapInArrow(run, docs.schema)
