@@ -93,6 +93,10 @@ def test_odd_rows_and_fixed_capacity(odd, odd_rows, none):
     for r in fixed:
         load[r.shard] += r.size
     assert len(load) == len(plain([n for n in _groups(odd_rows)], 300_000)[1])
+    slots = defaultdict(list)
+    for r in fixed:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert shard_documents(none, 16).count() == 0
 
 
@@ -101,3 +105,15 @@ def _groups(rows):
     for _, t in rows:
         held[t] += len(t.encode()) + 1
     return held.values()
+
+
+def test_a_third_of_the_rows_is_one_text(spark):
+    frame = spark.range(30_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'the same' ELSE concat('text ', id) END AS text").repartition(8)
+    got = shard_documents(frame, 16).cache()
+    assert got.count() == got.select("doc_id").distinct().count() == 30_000
+    same = got.join(frame.filter("doc_id % 3 = 0"), "doc_id").select("shard").distinct().count()
+    slots = got.groupBy("shard").agg({"slot": "max", "*": "count"}).collect()
+    assert same == 1 and all(r["max(slot)"] + 1 == r["count(1)"] for r in slots)
+    assert got.select("shard", "slot").distinct().count() == 30_000
+    fixed = shard_documents(frame, None, capacity=1_000)
+    assert fixed.count() == 30_000 and fixed.select("shard", "slot").distinct().count() == 30_000

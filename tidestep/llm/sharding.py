@@ -6,9 +6,11 @@ remaining capacity that holds them, found through a balanced tree of the bins; a
 Groups of one size are alike, so the driver packs a histogram (size, how many groups) instead of groups: k different
 sizes take at least k*k/2 bytes of input, so 10 TB have fewer than five million of them, and mostly far fewer. A class of
 c groups enters the tightest bin as often as it fits, then the next: the same packing as group by group. The result is a
-list of position intervals over all groups sorted by (size descending, key), and each task turns positions into shards.
+list of position intervals over all groups sorted by (size descending, key), and each task turns positions into shards. It
+has at most one interval for each size and bin, and is broadcast. The rows of a group, which may be very many, meet their shard dealt over SALTS parts.
+Slots are numbered within a task and moved by the counts of the tasks before it, which Spark sums.
 
-Defined cases: a null text is an empty one (size 1); repeated rows are members of one group; a group larger than the
+Defined cases: a null text is an empty one (size 1); a very long text is measured whole; groups that tie by size are ordered by the hash of their text; repeated rows are members of one group; a group larger than the
 capacity gets a bin of its own; an empty table gives no row; other columns aren't read.
 """
 
@@ -18,13 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidestep.llm.common import session_of, shuffle_parts, texts_of
 from tidestep.storage import cut
 
 
+#: Parts in which the rows of one group are dealt.
+SALTS = 8
+
+
 class BinTree:
     """A treap of (remaining capacity, bin): insert, and take out the tightest bin of at least some capacity."""
 
@@ -147,25 +153,25 @@ def shard_documents(docs: DataFrame, shards: int | None = 16, capacity: int | No
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bins[found])], ["key", "shard"])
 
     placed = ordered.select("key", F.spark_partition_id().alias("p")).mapInArrow(place, "key binary, shard int")
-    dealt = cut(rows.join(placed, "key").select("doc_id", "size", "text_crc32", "shard", F.spark_partition_id().alias("p")))
-    before_of: dict[tuple[int, int], int] = {}
-    total: dict[int, int] = {}
-    for p, shard, n in sorted(tuple(r) for r in dealt.groupBy("p", "shard").count().collect()):
-        before_of[p, shard] = total.get(shard, 0)
-        total[shard] = total.get(shard, 0) + n
-    counts = spark.sparkContext.broadcast(before_of)
+    spread = placed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    dealt = cut(salted.join(spread, ["key", "salt"]).select("doc_id", "size", "text_crc32", "shard", F.spark_partition_id().alias("p")))
+    tasks = dealt.groupBy("shard", "p").agg(F.count("*").alias("n"))
+    # a shard has a row for each task here
+    before = tasks.select("shard", "p", (F.sum("n").over(Window.partitionBy("shard").orderBy("p")) - F.col("n")).alias("before"))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: dict[int, int] = {}
         for b in batches:
             slots = np.empty(b.num_rows, dtype=np.int64)
             if b.num_rows:
-                shard, p = b.column(3).to_numpy(), b.column(4)[0].as_py()
+                shard = b.column(3).to_numpy()
                 for s in np.unique(shard).tolist():
                     own = np.flatnonzero(shard == s)
-                    first = at.get(s, counts.value[p, s])
+                    first = at.get(s, 0)
                     slots[own] = np.arange(first, first + len(own))
                     at[s] = first + len(own)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(slots)], ["doc_id", "size", "text_crc32", "shard", "slot"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(slots)], ["doc_id", "size", "text_crc32", "shard", "p", "at"])
 
-    return dealt.mapInArrow(number, "doc_id long, size long, text_crc32 long, shard int, slot long")
+    own = dealt.mapInArrow(number, "doc_id long, size long, text_crc32 long, shard int, p int, at long")
+    return own.join(before, ["shard", "p"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("at")).alias("slot"))
