@@ -10,10 +10,10 @@ pieces that end at a place exactly one follows the encoding before it without a
 would have preferred. The pass is the same, the test of scores gives way to that test of neighbours, and the ids are those of the library.
 Words that begin with several marks are merged directly, as pieces of marks alone share one score.
 
-Decoding joins the pieces' bytes, turns marks into blanks and takes the first away. A text comes back as it was, but that
-U+2581 itself becomes a blank.
+Decoding joins the pieces' bytes, turns marks into blanks and takes the first away. A text comes back as it was, unless it
+holds U+2581, which becomes a blank: its round_trip is false.
 
-Defined cases: a null text is empty and has no pieces; characters outside the vocabulary become byte pieces; repeated rows
+Defined cases: a null text is empty and has no pieces; a very long text is encoded whole, word by word; of merges that tie by score the leftmost is made; characters outside the vocabulary become byte pieces; repeated rows
 each give a row; an empty table gives no row; other columns aren't read. A worker remembers a fixed number of short words.
 """
 
@@ -217,7 +217,7 @@ def encode_texts(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", *, id
             for own in batches_of([len(t) for t in texts], batch_bytes):
                 found = model.encode(texts[own])
                 sizes = np.array([len(x) for x in found], dtype=np.int64)
-                same = [model.decode(x.tolist()) == t.replace(MARK, " ") for x, t in zip(found, texts[own], strict=True)]
+                same = [model.decode(x.tolist()) == t for x, t in zip(found, texts[own], strict=True)]
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0)[own.start : own.stop], pa.array(sizes), ids, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "token_ids", "round_trip"])
 
