@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs. All but the last return the columns of docs.
 
-Null texts, which no stage can judge, go in the first stage with texts without a letter; empty tables pass through every stage.
+Null texts, which no stage can judge, go in the first stage with texts without a letter; very long texts are read whole by every
+stage; of documents that tie by doc_id the one of the least text hash stays in its component, and repeated rows count as one there;
+columns of any name pass through to the last stage; empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidestep.llm.common import table
+from tidestep.llm.common import columns_of, fresh, table
 from tidestep.llm.decontaminate import without_items
 from tidestep.llm.language_id import fold, kept_by_language, train
 from tidestep.llm.ngram_join import ngram_join
@@ -35,13 +37,13 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     The chosen rows are known by id and text; of exact repetitions of such a row one stays.
     """
-    keys = ["__id", "__null", "__hash"]
+    keys = fresh(docs, "id", "null", "hash")
     keyed = lambda df, text_hash: df.withColumns(dict(zip(keys, (F.coalesce(df["doc_id"], F.lit(0)), df["doc_id"].isNull(), text_hash), strict=True)))
     marked = ngram_join(docs, words=5, num=80, den=100).filter("kept")
     marked = keyed(marked, marked["text_hash"]).select(*keys).distinct()
     own = keyed(docs, F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
     # one shuffle by these keys serves the join and the removal of repetitions
-    return own.join(marked, keys, "left_semi").dropDuplicates(keys).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return own.join(marked, keys, "left_semi").dropDuplicates(keys).select(*columns_of(docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
