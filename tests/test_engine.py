@@ -57,7 +57,10 @@ def test_loop_limits():
     run(sequence(loop_until(P.A, lambda w: False, 1, OnMax.ROLLBACK, P.B), P.C), logged(log, "a"), logged(log, "back", P.B), logged(log, "c", P.C))
     assert log[2:] == ["a", "back", "c"]
     with pytest.raises(ValueError):
-        Loop(Phase(P.A), condition(lambda w: True), 0)
+        Loop(Phase(P.A), condition(lambda w: True), -1)
+    log.clear()
+    run(loop_until(P.A, lambda w: True, 0, OnMax.ROLLBACK, P.B), logged(log, "a"), logged(log, "back", P.B))
+    assert log == ["back"]
 
 
 def test_branches():
@@ -122,6 +125,48 @@ def test_groups():
     assert capped.rounds == 2
     reads = Group("r", [System("p", lambda a: 1, P.A, ("a",), (), ("b",)), System("q", lambda b: 2, P.A, ("b",), (), ("c",))]).as_system()
     assert reads.accesses() == {"a": "read", "b": "write", "c": "write"}
+    log.clear()
+    phased = Group("p", [logged(log, "late", P.B), Group("n", [logged(log, "early", after=("late",))], P.A)], P.A)
+    s = run(Phase(P.A), phased.run_if(lambda w: True).label("l"), Group("no", [logged(log, "never")], P.A).run_if(lambda w: False))
+    assert log == ["early", "late"] and set(phased.timings) == {"n", "late"}
+    assert [x.split()[-1] for x in s.report().splitlines()] == ["p", "n", "late"]
+    assert '"0:p/late"' in s.dot()
+
+
+def test_setup_systems_may_require_labels_of_later_ones():
+    s = Scheduler(World()).add_setup(logged([], "a", requires=("nothing",)))
+    s.organise()
+
+
+def test_absent_optionals_are_not_accessed():
+    s = System("s", lambda a=None: None, P.A, optional=("a",))
+    assert s.accesses(World()) == {} and s.accesses(World().put("a", 1)) == {"a": "read"}
+
+
+def test_warnings_trace_and_dot(caplog, monkeypatch, tmp_path):
+    s = Scheduler(World(), warnings_of=lambda phases: [f"no {phases[0]}"], dot_path=str(tmp_path / "s.dot")).add(logged([], "a"), logged([], "b", before=("a",)))
+    monkeypatch.setenv("TIDESTEP_TRACE", "1")
+    s.start(1)
+    assert any(r.message.startswith("no ") for r in caplog.records) and "[step 0] A: b" in [r.message for r in caplog.records] and s.trace == []
+    assert '"0:b" -> "0:a" [style=dashed]' in (tmp_path / "s.dot").read_text()
+    caplog.clear()
+    monkeypatch.setenv("TIDESTEP_NO_WARNINGS", "1")
+    s.organise()
+    assert not caplog.records
+
+
+def test_clock_and_reductions_keep_their_precision(spark):
+    from pyspark.sql import functions as F
+    from tidestep.operators import reduce, states, steps
+
+    frame = spark.createDataFrame([(1, i, 0.004) for i in range(5)], "k long, i long, dt double")
+    step, time = steps.clock("k", F.col("dt"), "i")
+    last = frame.select(step.alias("step"), time.alias("time")).orderBy("step").collect()[-1]
+    assert last.step == 4 and last.time == pytest.approx(0.02)
+    got = reduce.all_reduce(frame, "k", {"s": "dt"}, {"m": "dt"}).first()
+    assert got.s == pytest.approx(0.02) and got.m == 0.004
+    clash = frame.withColumn("__before", F.lit("x")).withColumn("before", F.lit("y"))
+    assert states.entered(clash, "k", "before", "y", "i").columns == clash.columns
 
 
 def test_removal_by_name_and_label():
@@ -152,8 +197,8 @@ def test_plugin_contracts():
         App().add_plugins(Own("a", dependencies=("b",)))
     with pytest.raises(ContractError, match="requires"):
         App().add_plugins(Own("a", requires=("x",))).start(1)
-    swapped = App().add_plugins(PluginGroup([Own("a")]).disable("a").add(Own("a", provides=("new",))))
-    assert [p.provides for p in swapped.plugins] == [("new",)]
+    kept = App().add_plugins(PluginGroup([Own("a")]).disable("a").add(Own("a", provides=("new",))).add(Own("b")))
+    assert [(p.name, p.provides) for p in kept.plugins] == [("a", ()), ("b", ())]
 
 
 def test_coupling():

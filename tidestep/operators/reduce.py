@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def all_reduce(df: DataFrame, rank: str, sums: dict[str, str], mins: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """(rank, kept columns such as the place in a grid, results): partial sums and minima per rank, then over the ranks, each of which gets the results. Sums are exact in cents.
+    """(rank, kept columns such as the place in a grid, results): partial sums and minima per rank, then over the ranks, each of which gets the results. Values are summed in the precision of their type.
 
     Only the window over one row per rank stands in one task.
     """
-    own = df.groupBy(rank, *keep).agg(*(F.sum(F.col(c).cast("decimal(18,2)")).alias(f"__{n}") for n, c in sums.items()), *(F.min(c).alias(f"__{n}") for n, c in mins.items()))
+    own = df.groupBy(rank, *keep).agg(*(F.sum(c).alias(f"__{n}") for n, c in sums.items()), *(F.min(c).alias(f"__{n}") for n, c in mins.items()))
     everyone = Window.partitionBy()
     return own.select(rank, *keep, *(F.sum(f"__{n}").over(everyone).cast("double").alias(n) for n in sums), *(F.min(f"__{n}").over(everyone).alias(n) for n in mins))
 

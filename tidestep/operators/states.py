@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidestep.operators.steps import per_key
+from tidestep.operators.steps import per_key, unused
 
 
 def in_state(df: DataFrame, column: str, state: str) -> DataFrame:
@@ -14,8 +14,9 @@ def in_state(df: DataFrame, column: str, state: str) -> DataFrame:
 
 def entered(df: DataFrame, key: str, column: str, state: str, *order: str) -> DataFrame:
     """The rows at which a key comes into the state from another one, or from none."""
-    before = F.lag(column).over(per_key(key, *order))
-    return df.withColumn("__before", before).filter((F.col(column) == state) & (F.col("__before").isNull() | (F.col("__before") != state))).drop("__before")
+    before = unused(df, "before")
+    marked = df.withColumn(before, F.lag(column).over(per_key(key, *order)))
+    return marked.filter((F.col(column) == state) & (F.col(before).isNull() | (F.col(before) != state))).drop(before)
 
 
 def applied(pending: Column, start: str, key: str, *order: str) -> Column:
@@ -31,9 +32,10 @@ def carried(value: Column, key: str, *order: str) -> Column:
 def stage_of_entries(df: DataFrame, key: str, column: str, state: str, most: int, *order: str) -> DataFrame:
     """Adds `stage`: how often the key has entered the state so far, at most so many."""
     w = per_key(key, *order)
+    name = unused(df, "changed")
     changed = F.when((F.col(column) == state) & (F.coalesce(F.lag(column).over(w), F.lit("")) != state), 1).otherwise(0)
-    so_far = F.sum("__changed").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("__changed", changed).withColumn("stage", F.least(so_far, F.lit(most)).cast("long")).drop("__changed")
+    so_far = F.sum(name).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn(name, changed).withColumn("stage", F.least(so_far, F.lit(most)).cast("long")).drop(name)
 
 
 def islands(df: DataFrame, key: str, column: str, ident: str, *order: str) -> DataFrame:
@@ -46,8 +48,9 @@ def islands(df: DataFrame, key: str, column: str, ident: str, *order: str) -> Da
 
 def host_syncs(df: DataFrame, key: str, kind: str, *order: str) -> DataFrame:
     """(key, syncs): host accesses that follow a device access, each of which fetches the copy."""
-    marked = df.withColumn("__fetch", F.when((F.col(kind) == "host") & (F.lag(kind).over(per_key(key, *order)) == "device"), 1).otherwise(0))
-    return marked.groupBy(key).agg(F.sum("__fetch").cast("long").alias("syncs"))
+    fetch = unused(df, "fetch")
+    marked = df.withColumn(fetch, F.when((F.col(kind) == "host") & (F.lag(kind).over(per_key(key, *order)) == "device"), 1).otherwise(0))
+    return marked.groupBy(key).agg(F.sum(fetch).cast("long").alias("syncs"))
 
 
 def lagged(value: Column, start: float, key: str, *order: str) -> Column:

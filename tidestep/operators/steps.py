@@ -31,15 +31,23 @@ def per_key(key: str | list[str], *order: str) -> Window:
     return Window.partitionBy(key).orderBy(*order)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def counter(key: str, *order: str) -> Column:
     """How often a key has been seen, itself included: a local that lasts between calls."""
     return F.row_number().over(per_key(key, *order)).cast("long")
 
 
 def clock(key: str, value: Column, *order: str) -> tuple[Column, Column]:
-    """(step, time): steps from 0 and the running sum of the value, exact in cents."""
+    """(step, time): steps from 0 and the running sum of the value, in the precision of its type."""
     w = per_key(key, *order)
-    return (F.row_number().over(w) - 1).cast("long"), F.sum(value.cast("decimal(18,2)")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
+    return (F.row_number().over(w) - 1).cast("long"), F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
 
 
 def every(df: DataFrame, step: str, n: int) -> DataFrame:

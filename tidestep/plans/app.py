@@ -42,13 +42,18 @@ class FunctionPlugin(Plugin):
 
 
 class PluginGroup:
-    """Plugins in order, of which some are left out, whenever that was said."""
+    """Plugins in order. Disabling a name leaves out those that are added later, and none that is there."""
 
     def __init__(self, plugins: Iterable[Any] = ()) -> None:
-        self.plugins, self.disabled = list(plugins), set()
+        self.plugins: list[Plugin] = []
+        self.disabled: set[str] = set()
+        for p in plugins:
+            self.add(p)
 
     def add(self, plugin: Any) -> PluginGroup:
-        self.plugins.append(plugin)
+        own = plugin if isinstance(plugin, Plugin) else FunctionPlugin(plugin)
+        if own.name not in self.disabled:
+            self.plugins.append(own)
         return self
 
     def disable(self, name: str) -> PluginGroup:
@@ -56,10 +61,7 @@ class PluginGroup:
         return self
 
     def finish(self) -> list[Plugin]:
-        own = [p if isinstance(p, Plugin) else FunctionPlugin(p) for p in self.plugins]
-        # a plugin that was added after another of its name was disabled takes the place
-        last = {p.name: i for i, p in enumerate(own)}
-        return [p for i, p in enumerate(own) if p.name not in self.disabled or (i == last[p.name] and sum(q.name == p.name for q in own) > 1)]
+        return list(self.plugins)
 
 
 class App:

@@ -6,17 +6,22 @@ Frames are composed lazily; a condition that needs data runs one aggregate. A lo
 
 from __future__ import annotations
 
+import logging
+import os
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from enum import Enum, auto
 from typing import Any
 
-from tidestep.plans.ordering import OrderError, phase_key, topological, validate
+from tidestep.plans.ordering import OrderError, names_of, ordered, validate
 from tidestep.plans.system import Condition, System, condition
 from tidestep.plans.world import World
 
 
+LOG = logging.getLogger(__name__)
+
+
 class NotConverged(RuntimeError):
     pass
 
@@ -70,7 +75,7 @@ class Sequence(Node):
 
 @dataclass(frozen=True)
 class Loop(Node):
-    """Runs the body until a condition holds, which is asked after the body, at most so often."""
+    """Runs the body until a condition holds, which is asked after the body, at most so often; a limit of 0 goes straight to what follows it."""
 
     body: Node
     until: Condition
@@ -81,8 +86,8 @@ class Loop(Node):
     pin_every: int = 1
 
     def __post_init__(self) -> None:
-        if self.most < 1:
-            raise ValueError("a loop runs once at least")
+        if self.most < 0:
+            raise ValueError("a loop can't run less than no round")
 
     def leaves(self) -> Iterable[Any]:
         yield from self.body.leaves()
@@ -117,17 +122,23 @@ def branch(*arms: tuple[Callable[..., bool], Any]) -> Branch:
 
 @dataclass
 class Group:
-    """Systems that run as one, ordered among themselves, once or while a condition holds (asked after each round; the round limit ends it silently)."""
+    """Systems and groups that run as one, ordered by phase and within each phase, once or while a condition holds (asked after each round; the round limit ends it silently).
+
+    A group can be given conditions, labels and an order like a system, as which it stands from then on.
+    """
 
     name: str
-    systems: list[System]
+    systems: list[System | Group]
     phase: Any = None
     while_: Condition | None = None
     most: int = 1
     rounds: int = 0
+    total_rounds: int = 0
+    #: Seconds by inner system, in their order.
+    timings: dict[str, float] = field(default_factory=dict)
 
     def as_system(self) -> System:
-        inner = topological(sorted(self.systems, key=lambda s: phase_key(s.phase)))
+        inner = ordered([s.as_system() if isinstance(s, Group) else s for s in self.systems])
         made: set[str] = set()
         reads: list[str] = []
         for s in inner:
@@ -143,13 +154,26 @@ class Group:
                 group.rounds = 0
                 while True:
                     for s in inner:
+                        began = time.perf_counter()
                         s(world)
+                        group.timings[s.name] = group.timings.get(s.name, 0.0) + time.perf_counter() - began
                     group.rounds += 1
+                    group.total_rounds += 1
                     if group.while_ is None or group.rounds >= group.most or not group.while_(world):
                         return True
 
+        Grouped.group, Grouped.inner = group, inner
         return Grouped(self.name, lambda: None, self.phase, tuple(reads), (), writes)
 
+    def run_if(self, test: Callable[..., bool] | Condition) -> System:
+        return self.as_system().run_if(test)
+
+    def label(self, *names: str) -> System:
+        return self.as_system().label(*names)
+
+    def ordered(self, **edges: Iterable[str]) -> System:
+        return self.as_system().ordered(**edges)
+
 
 def loop_while(name: str, systems: Iterable[System], test: Callable[..., bool], most: int, phase: Any = None) -> Group:
     return Group(name, list(systems), phase, condition(test), most)
@@ -171,7 +195,13 @@ class Scheduler:
     before_system: Callable[[System, World], None] | None = None
     after_system: Callable[[System, World], None] | None = None
     warnings_of: Callable[[list[str]], list[str]] | None = None
+    #: (step, number, phase, system) of each call; kept only if asked for, as it grows with every call.
     trace: list[tuple[int, int, str, str]] = field(default_factory=list)
+    keep_trace: bool = False
+    #: Where start() writes the schedule as a DOT graph.
+    dot_path: str | None = None
+    stage_names: tuple[str, ...] = ()
+    calls: int = 0
     timings: dict[tuple[int, str], Timing] = field(default_factory=dict)
     iterations: dict[int, int] = field(default_factory=dict)
     step: int = 0
@@ -197,12 +227,16 @@ class Scheduler:
         return self
 
     def organise(self) -> None:
-        self.setup = validate(self.setup, self.world)
+        """Orders and checks the systems, and logs the warnings of `warnings_of` unless TIDESTEP_NO_WARNINGS is set."""
+        self.setup = validate(self.setup, self.world, labels=False)
         self.systems = validate(self.systems, self.world)
         if self.tree:
             phases = [Phase(x) for x in self.tree.leaves()]
             if lost := [s.name for s in self.systems if not any(p.holds(s) for p in phases)]:
                 raise OrderError("not in the schedule: " + ", ".join(lost))
+        if not os.environ.get("TIDESTEP_NO_WARNINGS"):
+            for text in self.warnings():
+                LOG.warning(text)
 
     def warnings(self) -> list[str]:
         return self.warnings_of(sorted({str(s.phase) for s in self.systems})) if self.warnings_of else []
@@ -214,7 +248,12 @@ class Scheduler:
         if s(self.world):
             own = self.timings.setdefault((self.control.index, s.name), Timing())
             own.calls, own.seconds = own.calls + 1, own.seconds + time.perf_counter() - began
-            self.trace.append((self.step, len(self.trace), str(getattr(s.phase, "name", s.phase)), s.name))
+            phase = str(getattr(s.phase, "name", s.phase))
+            if self.keep_trace:
+                self.trace.append((self.step, self.calls, phase, s.name))
+            if os.environ.get("TIDESTEP_TRACE"):
+                LOG.warning("[step %d] %s: %s", self.step, phase, s.name)
+            self.calls += 1
             if self.after_system:
                 self.after_system(s, self.world)
 
@@ -261,7 +300,12 @@ class Scheduler:
             self.control.state = State.RUN
 
     def start(self, most_steps: int | None = None) -> None:
-        """Setup and steps until a system ends the run; a change of stage sets up again."""
+        """Setup and steps until a system ends the run; a change of stage sets up again. The report of timings is logged at the end."""
+        if self.dot_path:
+            self.organise()
+            with open(self.dot_path, "w") as f:
+                f.write(self.dot(self.stage_names))
+            LOG.info(self.printed())
         while self.control.state is not State.END:
             if self.control.state is State.SETUP:
                 self.prepare()
@@ -269,6 +313,7 @@ class Scheduler:
                 self.run()
                 if most_steps is not None and self.step >= most_steps:
                     self.control.state = State.END
+        LOG.info(self.report())
 
     def timing_rows(self) -> list[tuple[int, str, int, float]]:
         return [(i, n, t.calls, t.seconds) for (i, n), t in self.timings.items()]
@@ -283,15 +328,40 @@ class Scheduler:
             lines.append("  " + s.name + "".join(f" if {c.name}" for c in s.conditions))
         return "\n".join(lines)
 
+    def report(self) -> str:
+        """Seconds and share of each system, the longest first, and those of a group's systems below it."""
+        spent: dict[str, float] = {}
+        for (_, name), t in self.timings.items():
+            spent[name] = spent.get(name, 0.0) + t.seconds
+        total = sum(spent.values()) or 1.0
+        groups = {s.name: s.group for s in [*self.setup, *self.systems] if hasattr(s, "group")}
+        lines = []
+        for name, seconds in sorted(spent.items(), key=lambda x: (-x[1], x[0])):
+            lines.append(f"{seconds:12.6f} s {100 * seconds / total:6.2f} %  {name}")
+            if name in groups:
+                lines += [f"{t:12.6f} s {100 * t / total:6.2f} %    {n}" for n, t in groups[name].timings.items()]
+        return "\n".join(lines)
+
     def dot(self, stages: Iterable[str] = ()) -> str:
-        """The schedule as a DOT graph, a cluster for each stage; a system whose condition names a stage stands only there."""
+        """The schedule as a DOT graph: a cluster for each stage, in it one for each phase; edges for the run order, dashed ones for `before` and `after`; a group's systems below it.
+
+        A system whose condition names a stage stands only there.
+        """
         from tidestep.functions.names import stage_of_condition
 
         out = ["digraph schedule {"]
         for k, stage in enumerate([*stages] or [None]):
             shown = [s for s in self.systems if stage is None or all(stage_of_condition(c.name) in (None, stage.lower()) for c in s.conditions)]
             out.append(f'  subgraph cluster_{k} {{ label="{stage or "step"}";')
-            out += [f'    "{k}:{s.name}" [label="{s.name}"];' for s in shown]
+            for p, phase in enumerate(dict.fromkeys(str(getattr(s.phase, "name", s.phase)) for s in shown)):
+                out.append(f'    subgraph cluster_{k}_{p} {{ label="{phase}";')
+                out += [f'      "{k}:{s.name}" [label="{s.name}"];' for s in shown if str(getattr(s.phase, "name", s.phase)) == phase]
+                out.append("    }")
             out += [f'    "{k}:{a.name}" -> "{k}:{b.name}";' for a, b in zip(shown, shown[1:], strict=False)]
+            owner = {n: s.name for s in shown for n in names_of(s)}
+            for s in shown:
+                out += [f'    "{k}:{s.name}" -> "{k}:{owner[n]}" [style=dashed];' for n in s.before if n in owner]
+                out += [f'    "{k}:{owner[n]}" -> "{k}:{s.name}" [style=dashed];' for n in s.after if n in owner]
+                out += [f'    "{k}:{s.name}" -> "{k}:{s.name}/{i.name}" [style=dotted]; "{k}:{s.name}/{i.name}" [label="{i.name}"];' for i in getattr(s, "inner", ())]
             out.append("  }")
         return "\n".join([*out, "}"])

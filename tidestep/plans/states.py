@@ -15,7 +15,8 @@ class StateMachine:
     current: Any
     pending: Any = None
     has_pending: bool = False
-    seen_index: int = 0
+    #: What the last check saw; no check yet: no index, and `seen` says nothing.
+    seen_index: int | None = None
     seen: Any = None
 
     def set(self, state: Any) -> None:
@@ -33,13 +34,16 @@ class StateMachine:
 
 
 def check_stage_advance(machine: StateMachine, control: RunControl, stages: list[Any]) -> None:
-    """A new stage sets the machine's state and cancels what is pending; a state that the user changed asks for the next stage."""
+    """A new stage sets the machine's state, if it differs, and cancels what is pending then; a state that the user changed asks for the next stage.
+
+    An index without a stage leaves the state as it is. The first check only notes where things stand.
+    """
+    first = machine.seen_index is None
     if control.index != machine.seen_index:
+        if not first and 0 <= control.index < len(stages) and machine.current != stages[control.index]:
+            machine.current = machine.seen = stages[control.index]
+            machine.clear()
         machine.seen_index = control.index
-        machine.current = machine.seen = stages[min(control.index, len(stages) - 1)]
-        machine.clear()
-    elif machine.seen is not None and machine.current != machine.seen:
-        machine.seen = machine.current
+    if not first and machine.seen != machine.current:
         control.advance_requested = True
-    else:
-        machine.seen = machine.current
+    machine.seen = machine.current

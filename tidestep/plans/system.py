@@ -61,9 +61,10 @@ class System:
     def in_phase(self, phase: Any) -> System:
         return replace(self, phase=phase)
 
-    def accesses(self) -> dict[str, str]:
-        """What it touches: 'write' or 'read' by name."""
-        return {n: "read" for n in (*self.reads, *self.optional)} | {n: "write" for n in self.writes}
+    def accesses(self, world: World | None = None) -> dict[str, str]:
+        """What it touches: 'write' or 'read' by name; of the optional names, if a world is given, those that it has."""
+        there = [n for n in self.optional if world is None or world.find(n) is not None]
+        return {n: "read" for n in (*self.reads, *there)} | {n: "write" for n in self.writes}
 
     def may_run(self, world: World) -> bool:
         return all(c(world) for c in self.conditions)

@@ -15,7 +15,7 @@ from tidestep.plans import conditions as when
 from tidestep.plans.app import App, ContractError, FunctionPlugin, Plugin, PluginGroup, StatesPlugin
 from tidestep.plans.coherence import Coherence
 from tidestep.plans.coupling import Mirror, Multi, OuterIterations
-from tidestep.plans.ordering import OrderError, chain_namespaces, ordered, set_namespace
+from tidestep.plans.ordering import OrderError, chain_namespaces, ordered, set_namespace, unmet_labels
 from tidestep.plans.schedule import Group, NotConverged, OnMax, Phase, Scheduler, State, branch, loop_until, loop_while, sequence
 from tidestep.plans.states import StateMachine, check_stage_advance
 from tidestep.plans.system import System, system
@@ -71,7 +71,7 @@ def arithmetic(name: str, phase: Step, change, **more) -> System:
 
 
 def driven(world: World, tree, *systems: System | Group) -> Scheduler:
-    s = Scheduler(world)
+    s = Scheduler(world, keep_trace=True)
     s.add(*systems).set_schedule(tree)
     s.organise()
     s.run()
@@ -159,8 +159,9 @@ def topo_order(spark, d):
 
 @query("SELECT r.sys, r.lab FROM (VALUES ('s1','a','g'),('s2','b','g'),('s3','a','h')) r(sys,lab,grp) ANTI JOIN (VALUES ('a','g')) h(lab,grp) ON r.lab=h.lab AND r.grp=h.grp")
 def requires_label(spark, d):
-    required = rows(spark, "sys string, lab string, grp string", ("s1", "a", "g"), ("s2", "b", "g"), ("s3", "a", "h"))
-    return required.join(rows(spark, "lab string, grp string", ("a", "g")), ["lab", "grp"], "left_anti").select("sys", "lab")
+    """Labels are looked for in the system's own phase: g is A, h is B."""
+    made = [System(n, lambda: None, p, requires=(lab,)) for n, lab, p in (("s1", "a", Step.A), ("s2", "b", Step.A), ("s3", "a", Step.B))]
+    return rows(spark, "sys string, lab string", *unmet_labels([*made, System("has", lambda: None, Step.A, labels=("a",))]))
 
 
 @query("SELECT r.sys, r.res FROM (VALUES ('s1','A',false),('s2','B',false),('s3','C',true)) r(sys,res,opt) LEFT JOIN (VALUES ('A')) h(res) ON r.res=h.res WHERE h.res IS NULL AND NOT r.opt")
@@ -284,6 +285,16 @@ def flat_run(spark, d):
     return w.get("frame")
 
 
+@query("SELECT o_orderkey, ((o_totalprice+3)*4) AS x FROM orders")
+def system_group_phases(spark, d):
+    """A group's systems are ordered within each phase: an edge to a system of a later phase doesn't move it. Groups nest and can be gated."""
+    w = world_of(spark, d, frame=prices(spark, d))
+    nested = Group("nested", [arithmetic("add", Step.A, lambda x: x + 3, after=("times",))], Step.A)
+    group = Group("outer", [arithmetic("times", Step.B, lambda x: x * 4), nested], Step.A)
+    driven(w, sequence(Step.A), group, Group("never", [arithmetic("ten", Step.A, lambda x: x * 10)], Step.A).run_if(lambda w: False))
+    return w.get("frame")
+
+
 @query("SELECT o_orderkey, ((o_totalprice+1)*2)*10 AS x FROM orders")
 def system_group(spark, d):
     w = world_of(spark, d, frame=prices(spark, d))
@@ -412,7 +423,7 @@ def stage_advance(spark, d):
     return states.stage_of_entries(table(spark, d, "events").select("event_id", "user_id", "event_type", "ts"), "user_id", "event_type", "error", 3, "ts", "event_id").select("event_id", "stage")
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT),'fill',false),(CAST(1 AS BIGINT),'relax',false),(CAST(2 AS BIGINT),'flow',true)) t(i, state, advance)")
+@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT),'fill',false),(CAST(1 AS BIGINT),'relax',false),(CAST(2 AS BIGINT),'flow',true),(CAST(3 AS BIGINT),'fill',true),(CAST(4 AS BIGINT),'fill',true)) t(i, state, advance)")
 def stage_machine(spark, d):
     """A pending state is dropped when the stage changes; a state that the user changes asks for the next stage."""
     machine, app = StateMachine("fill"), App(spark)
@@ -428,6 +439,16 @@ def stage_machine(spark, d):
     machine.apply()
     check_stage_advance(machine, app.control, stages)
     out.append((2, machine.current, app.control.advance_requested))
+    # the new stage's state is there already, so what is pending stays
+    app.control.index, app.control.advance_requested = 2, False
+    machine.set("fill")
+    check_stage_advance(machine, app.control, stages)
+    machine.apply()
+    check_stage_advance(machine, app.control, stages)
+    out.append((3, machine.current, app.control.advance_requested))
+    app.control.index = 3  # past the last stage
+    check_stage_advance(machine, app.control, stages)
+    out.append((4, machine.current, app.control.advance_requested))
     return rows(spark, "i long, state string, advance boolean", *out)
 
 
@@ -488,9 +509,10 @@ class Named(Plugin):
         app.put(f"built_{self.name}", True)
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT),'A'),(CAST(1 AS BIGINT),'C')) t(i, name)")
+@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT),'A'),(CAST(1 AS BIGINT),'B'),(CAST(2 AS BIGINT),'D')) t(i, name)")
 def group_disable(spark, d):
-    app = App(spark).add_plugins(PluginGroup([Named("A"), Named("B"), Named("C")]).disable("B"))
+    """Disabling acts on what is added later: B is there already, C isn't."""
+    app = App(spark).add_plugins(PluginGroup([Named("A"), Named("B")]).disable("B").disable("C").add(Named("C")).add(Named("D")))
     return rows(spark, "i long, name string", *((i, p.name) for i, p in enumerate(app.plugins)))
 
 
@@ -549,7 +571,7 @@ def subapp_config(spark, d):
 
 @query("SELECT event_id, CAST(row_number() OVER w - 1 AS BIGINT) AS step, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER (PARTITION BY user_id ORDER BY ts,event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS time FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts,event_id)")
 def sim_clock(spark, d):
-    step, time = steps.clock("user_id", F.col("value"), "ts", "event_id")
+    step, time = steps.clock("user_id", F.col("value").cast("decimal(18,2)"), "ts", "event_id")
     return table(spark, d, "events").select("event_id", step.alias("step"), time.alias("time"))
 
 
@@ -661,7 +683,7 @@ def timing_table(spark, d):
 
 @query("SELECT * FROM (VALUES (CAST(0 AS BIGINT),CAST(0 AS BIGINT),'A','a'),(CAST(0 AS BIGINT),CAST(1 AS BIGINT),'B','b'),(CAST(1 AS BIGINT),CAST(2 AS BIGINT),'A','a'),(CAST(1 AS BIGINT),CAST(3 AS BIGINT),'B','b')) t(step, seq, phase, system)")
 def exec_trace(spark, d):
-    s = Scheduler(World(spark)).add(System("b", lambda: None, Step.B), System("a", lambda: None, Step.A), System("off", lambda: None, Step.A).run_if(lambda w: False))
+    s = Scheduler(World(spark), keep_trace=True).add(System("b", lambda: None, Step.B), System("a", lambda: None, Step.A), System("off", lambda: None, Step.A).run_if(lambda w: False))
     s.prepare()
     s.run()
     s.run()
@@ -765,7 +787,7 @@ def outer_iter_stop(spark, d):
 
 @query("SELECT r AS rank, CAST(sum(loc) OVER () AS DOUBLE) AS gsum, min(mn) OVER () AS gmin FROM (SELECT l_suppkey % 4 AS r, sum(CAST(l_quantity AS DECIMAL(18,2))) AS loc, min(l_extendedprice) AS mn FROM lineitem GROUP BY l_suppkey % 4) t")
 def all_reduce(spark, d):
-    own = table(spark, d, "lineitem").select((F.col("l_suppkey") % 4).alias("rank"), "l_quantity", "l_extendedprice")
+    own = table(spark, d, "lineitem").select((F.col("l_suppkey") % 4).alias("rank"), F.col("l_quantity").cast("decimal(18,2)").alias("l_quantity"), "l_extendedprice")
     return reduce.all_reduce(own, "rank", {"gsum": "l_quantity"}, {"gmin": "l_extendedprice"})
 
 
