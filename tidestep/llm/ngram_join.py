@@ -50,9 +50,11 @@ MINS, AGREE = 8, 3
 #: Parts in which the classes of one min-hash value are dealt, as one value may be that of very many.
 SALTS = 8
 #: The leaders that a class has at most, the rows that a large group is multiplied with, and how many classes one tile reads against these.
-LEADS, HEADS, STAR = 2, 8, 64
+LEADS, HEADS, STAR = 2, 64, 128
 #: The classes in one block of a column, the side of a tile, the shingles that a tile multiplies at once, and the members of a column that is done pair by pair.
 COLUMN, TILE, COLUMNS, FEW = 1024, 128, 1 << 13, 8
+#: The pairs whose overlap counts a task adds up before it hands them on.
+MOST_SUMS = 1 << 19
 _MIN_SEEDS = np.random.default_rng(77).integers(1, 1 << 63, MINS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -122,6 +124,9 @@ def leaders_of(classes: DataFrame) -> DataFrame:
     return cut(ranked.select("cid", F.posexplode("best").alias("place", "best")).select((-F.col("best.lead")).alias("lead"), "cid", "place"))
 
 
+Rows = tuple[np.ndarray, ...]  # class, component, size of its set, position of the token in its order
+
+
 class Forest:
     """Union-find over a tile's rows."""
 
@@ -180,13 +185,13 @@ def tile_edges(x: list[np.ndarray], y: list[np.ndarray] | None, num: int, den: i
 
 
 def stars_of(leaders: DataFrame) -> DataFrame:
-    """(x, y, second, cid): a group of at most STAR classes as a tile with itself (x = y), a larger one as tiles of its heads (the leader, and classes picked by hash) and STAR or so of its classes."""
-    picked = (F.min_by("cid", F.xxhash64("cid", F.lit(k))) for k in range(1, HEADS))
-    groups = leaders.groupBy("lead").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"), F.array(*picked).alias("picked"))
-    part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
-    members = leaders.join(groups, "lead").select("lead", "parts", part.alias("part"), (F.col("parts") > 1).alias("second"), "cid")
-    own = F.array_distinct(F.when(F.col("parts") > 1, F.concat(F.array("lead"), "picked")).otherwise(F.array("lead")))
-    heads = groups.select("lead", "parts", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("lead", "parts", "part", F.lit(False).alias("second"), F.explode("own").alias("cid"))
+    """(x, y, second, cid): a group of at most STAR classes as a tile with itself (x = y), a larger one as tiles of its heads (the leader, and about HEADS classes picked by hash) and STAR or so of its classes."""
+    groups = leaders.groupBy("lead").agg(F.count("*").alias("m"), F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
+    sized = leaders.join(groups, "lead")
+    members = sized.select("lead", "parts", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), (F.col("parts") > 1).alias("second"), "cid")
+    picked = sized.filter((F.col("parts") > 1) & (F.pmod(F.xxhash64("cid", F.lit(1)), F.col("m")) < HEADS)).select("lead", "parts", "cid")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    heads = picked.unionByName(groups.select("lead", "parts", F.col("lead").alias("cid"))).select("lead", "parts", every, F.lit(False).alias("second"), "cid")
     return members.unionByName(heads).select(F.col("lead").alias("x"), F.when(F.col("parts") > 1, F.xxhash64("lead", "part")).otherwise(F.col("lead")).alias("y"), "second", "cid")
 
 
@@ -234,11 +239,40 @@ def links(texts: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, n
     return ordered.mapInArrow(run, "a long, b long")
 
 
-Rows = tuple[np.ndarray, ...]  # class, component, size of its set, position of the token in its order
+def added(found: list[Rows]) -> Rows:
+    """One row per pair: (a, b, size and greatest position of either, overlap counted so far)."""
+    a, b, size_a, size_b, pos_a, pos_b, n = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    most = lambda x: np.maximum.reduceat(x[order], first)
+    return a[first], b[first], size_a[order][first], size_b[order][first], most(pos_a), most(pos_b), np.add.reduceat(n[order], first)
+
+
+class Sums:
+    """The overlap counts of a task's pairs, added up over its columns before they are shuffled; at most about MOST_SUMS pairs are held."""
+
+    def __init__(self) -> None:
+        self.found: list[Rows] = []
+        self.n = 0
+
+    def add(self, found: Rows) -> Iterator[Rows]:
+        self.found.append(found)
+        self.n += len(found[0])
+        if self.n > MOST_SUMS:
+            self.found = [added(self.found)]
+            self.n = len(self.found[0][0])
+            if 2 * self.n > MOST_SUMS:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[Rows]:
+        if self.found:
+            yield added(self.found)
+        self.found, self.n = [], 0
 
 
 def met_rows(own: Rows, x: np.ndarray, y: np.ndarray, num: int, den: int) -> Rows | None:
-    """(a, b, size and position of either) of the pairs of rows x and y that may link."""
+    """(a, b, size and position of either, 1) of the pairs of rows x and y that may link."""
     cid, comp, size, pos = own
     most = np.minimum(size[x] - pos[x], size[y] - pos[y])
     ok = (comp[x] != comp[y]) & (most >= least_overlap(size[x], size[y], num, den))
@@ -246,7 +280,7 @@ def met_rows(own: Rows, x: np.ndarray, y: np.ndarray, num: int, den: int) -> Row
     if not len(x):
         return None
     x, y = np.where(cid[x] > cid[y], y, x), np.where(cid[x] > cid[y], x, y)
-    return cid[x], cid[y], size[x], size[y], pos[x], pos[y]
+    return cid[x], cid[y], size[x], size[y], pos[x], pos[y], np.ones(len(x), dtype=np.int64)
 
 
 def columns_product(token: np.ndarray, own: Rows, num: int, den: int) -> Iterator[Rows]:
@@ -285,15 +319,18 @@ def product_pairs(texts: DataFrame, classes: DataFrame, known: DataFrame, counts
     rows = made.join(placed, (made["text_hash"] == placed["rep_hash"]) & made["doc_id"].eqNullSafe(placed["rep_id"]))
     incidence = rows.select("cid", "comp", F.col("n").alias("size"), F.posexplode("first").alias("pos", "token"))
     columns = incidence.select("token", "cid", "comp", F.col("size").cast("int").alias("size"), "pos").repartition("token").sortWithinPartitions("token", "size")
-    names = ["kind", "a", "b", "c", "d", "e", "f"]
+    names = ["kind", "a", "b", "c", "d", "e", "f", "n"]
 
     def batch(kind: int, columns: tuple) -> pa.RecordBatch:
+        if len(columns) < len(names) - 1:
+            columns = (*columns, np.zeros(len(columns[0])))
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, dtype=np.int32)), *(pa.array(np.asarray(c, dtype=np.int64)) for c in columns)], names)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs (kind 0); of columns of more than COLUMN rows the rows by run (kind 1) and the blocks that each run is in (kind 2)."""
         held: Rows | None = None
         hot, spans = None, []
+        sums = Sums()
 
         def run_out(run: Rows) -> pa.RecordBatch:
             token, cid, comp, size, pos = run
@@ -314,7 +351,7 @@ def product_pairs(texts: DataFrame, classes: DataFrame, known: DataFrame, counts
                     yield batch(2, tuple(zip(*ends[i : i + (1 << 16)], strict=True)))
                 hot, spans = None, []
             for found in columns_product(own[0], own[1:], num, den) if len(own[0]) else ():
-                yield batch(0, found)
+                yield from (batch(0, x) for x in sums.add(found))
 
         for b in sliced(batches):
             own = tuple(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns)
@@ -333,16 +370,18 @@ def product_pairs(texts: DataFrame, classes: DataFrame, known: DataFrame, counts
             held = own
         if held is not None:
             yield from settled(held)
+        yield from (batch(0, x) for x in sums.rest())
 
     def multiply_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
+        sums = Sums()
 
         def block() -> Iterator[pa.RecordBatch]:
             *own, second = (np.array(c, dtype=np.int64) for c in zip(*held, strict=True))
             x, y = np.flatnonzero(second == 0), np.flatnonzero(second)
             pairs = (x[i] for i in np.triu_indices(len(x), 1)) if at[1] == at[2] else (np.repeat(x, len(y)), np.tile(y, len(x)))
             if found := met_rows(tuple(own), *pairs, num, den):
-                yield batch(0, found)
+                yield from (batch(0, x) for x in sums.add(found))
 
         for b in sliced(batches):
             for token, x, y, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -353,17 +392,18 @@ def product_pairs(texts: DataFrame, classes: DataFrame, known: DataFrame, counts
                 held.append(row)
         if held:
             yield from block()
+        yield from (batch(0, x) for x in sums.rest())
 
-    schema = "kind int, a long, b long, c long, d long, e long, f long"
+    schema = "kind int, a long, b long, c long, d long, e long, f long, n long"
     first = cut(columns.mapInArrow(multiply, schema))
-    runs = first.filter("kind = 1").toDF("kind", "token", "cid", "comp", "size", "pos", "run").drop("kind")
-    ends = first.filter("kind = 2").toDF("kind", "token", "run", "x", "y", "e", "f").select("token", "run", "x", "y")
+    runs = first.filter("kind = 1").toDF("kind", "token", "cid", "comp", "size", "pos", "run", "n").drop("kind", "n")
+    ends = first.filter("kind = 2").toDF("kind", "token", "run", "x", "y", "e", "f", "n").select("token", "run", "x", "y")
     blocks = runs.join(ends, ["token", "run"]).select("token", "x", "y", "cid", "comp", "size", "pos", F.when(F.col("run") != F.col("x"), 1).otherwise(0).cast("long").alias("second"))
     second = blocks.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(multiply_blocks, schema)
-    met = first.filter("kind = 0").unionByName(second).toDF("kind", "a", "b", "size_a", "size_b", "pos_a", "pos_b")
-    added = met.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
+    met = first.filter("kind = 0").unionByName(second).toDF("kind", "a", "b", "size_a", "size_b", "pos_a", "pos_b", "n")
+    total = met.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("shared"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
     most = F.col("shared") + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) - 1
-    return added.filter(most * (num + den) >= (F.col("size_a") + F.col("size_b")) * num).select("a", "b")
+    return total.filter(most * (num + den) >= (F.col("size_a") + F.col("size_b")) * num).select("a", "b")
 
 
 def ngram_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
