@@ -1,5 +1,6 @@
 """Traces, orders and contracts of the engine without data, and properties of its merges and codecs."""
 
+from dataclasses import dataclass
 from enum import Enum
 
 import pytest
@@ -10,13 +11,13 @@ from tidestep.functions import wire
 from tidestep.functions.format import expand
 from tidestep.plans import conditions as when
 from tidestep.plans.app import App, ContractError, Plugin, PluginGroup
-from tidestep.plans.coupling import Multi
+from tidestep.plans.coupling import Mirror, Multi
 from tidestep.plans.ordering import OrderError, missing_resources, ordered, remove, topological
 from tidestep.plans.schedule import Group, Loop, NotConverged, OnMax, Phase, Scheduler, branch, loop_until, loop_while, sequence
 from tidestep.plans.system import System, condition
 from tidestep.plans.world import MissingResource, World
 from tidestep.sources.config import Config, ConfigError, command_line, deep_merge, leaves
-from tidestep.sources.run import Stage, stages_of
+from tidestep.sources.run import InputPlugin, Stage, stages_of
 
 
 class P(Enum):
@@ -221,6 +222,33 @@ def test_configuration(tmp_path):
     path.write_text('[output]\ndir = "out"\n')
     config, given_ = command_line([str(path), "--generate-config"])
     assert given_.output_dir == "out" and given_.generate_config and command_line([], config)[0] is config
+    app = App().add_plugins(InputPlugin([str(path), "--generate-config"]), Own("a", default_config="[a]"), Own("b", default_config="[b]"))
+    app.add_systems(System("never", lambda: pytest.fail("the app ran"), P.A))
+    assert app.start().printed == "[a]\n\n[b]" and app.world.get("input").output_dir == "out"
+    assert not App().add_plugins(InputPlugin([str(path)])).generate_config
+
+
+def test_unknown_fields_of_a_section():
+    @dataclass
+    class Open:
+        n: int = 1
+
+    class Strict(Open):
+        DENY_UNKNOWN = True
+
+    config = Config.parse("[k]\nn = 2\nodd = 3\n")
+    assert config.section("k", Open) == Open(2) and config.section("none", Strict) == Strict()
+    with pytest.raises(ConfigError, match="odd"):
+        config.section("k", Strict)
+    with pytest.raises(ConfigError, match="should be"):
+        Config.parse('[k]\nn = "2"\n').section("k", Open)
+
+
+def test_a_mirror_holds_resources_that_it_never_exchanges():
+    board = {}
+    m = Mirror("a", board, "b", World()).with_resource("own", 3).send_each_iteration("x", lambda: 1)
+    m.step()
+    assert m.find("own") == 3 and list(board) == [("b", 0, "x")]
 
 
 trees = st.recursive(st.integers(), lambda x: st.dictionaries(st.sampled_from("abcd"), x, max_size=3), max_leaves=8)

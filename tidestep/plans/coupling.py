@@ -81,6 +81,11 @@ class Mirror:
         self.at_setup.append(("receive", resource))
         return self
 
+    def with_resource(self, resource: str, value: Any) -> Mirror:
+        """A resource that the mirror holds and never exchanges."""
+        self.world.put(resource, value)
+        return self
+
     def _pump(self, which: list[tuple[str, str]], key: Any) -> None:
         for verb, r in which:
             if verb == "send":

@@ -54,7 +54,7 @@ class Config:
         return Config.parse(Path(path).read_text())
 
     def section(self, name: str, kind: Any = dict) -> Any:
-        """A section as a dataclass (or dict), its defaults where nothing is said; unknown or malformed fields are an error."""
+        """A section as a dataclass (or dict), its defaults where nothing is said; malformed fields are an error, and unknown ones if the type says DENY_UNKNOWN."""
         own = self.table.get(name, {})
         if not isinstance(own, dict):
             raise ConfigError(f"[{name}] isn't a table")
@@ -64,10 +64,11 @@ class Config:
         if not is_dataclass(kind):
             return kind(own)
         known = {f.name: f for f in fields(kind)}
-        if odd := sorted(set(own) - set(known)):
+        if (odd := sorted(set(own) - set(known))) and getattr(kind, "DENY_UNKNOWN", False):
             raise ConfigError(f"[{name}] has unknown fields: {', '.join(odd)}")
+        own = {k: v for k, v in own.items() if k in known}
         for k, v in own.items():
-            want = {"int": int, "float": (int, float), "str": str, "bool": bool, "list": list}.get(str(known[k].type).split("[")[0])
+            want = {"int": int, "float": (int, float), "str": str, "bool": bool, "list": list}.get(getattr(known[k].type, "__name__", str(known[k].type)).split("[")[0])
             if want and (not isinstance(v, want) or isinstance(v, bool) and want is not bool):
                 raise ConfigError(f"[{name}] {k} = {v!r} should be {known[k].type}")
         return kind(**own)

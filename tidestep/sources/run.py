@@ -11,7 +11,7 @@ from tidestep.plans.app import App, Plugin
 from tidestep.plans.ordering import RUN_END
 from tidestep.plans.schedule import State
 from tidestep.plans.system import System
-from tidestep.sources.config import Config, ConfigError, deep_merge
+from tidestep.sources.config import Config, ConfigError, command_line, deep_merge
 
 #: A stage's own fields; anything else in it is an override.
 STAGE_FIELDS = {"name", "steps", "dt", "skip", "save_at_end"}
@@ -77,6 +77,20 @@ def validate_stages(stages: list[Stage], expected: list[str]) -> list[tuple[int,
     return [x for x in both if x[1] != x[2]]
 
 
+class InputPlugin(Plugin):
+    """Puts `config` and `input` from the command line; asked for it, the app gives its plugins' config snippets instead of running."""
+
+    name = "input"
+
+    def __init__(self, arguments: list[str]) -> None:
+        self.arguments = arguments
+
+    def build(self, app: App) -> None:
+        config, own = command_line(self.arguments, app.world.find("config"))
+        app.put("config", config).put("input", own)
+        app.generate_config = app.generate_config or own.generate_config
+
+
 class RunPlugin(Plugin):
     """Walks an app through its stages: a system at the end of each step counts, and goes on to the next stage or ends the run."""
 
