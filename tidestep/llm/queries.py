@@ -81,6 +81,24 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(chat_examples(turns.unionByName(forged)))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidestep.llm.nearest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), divisor=50, most=5)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidestep.llm.ranked import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidestep.llm.negatives import hard_negatives, relabelled
+
+    return hard_negatives(relabelled(table(spark, sf_dir, "embeddings")), anchor_divisor=100, positives=5, negatives=5, least=80)
+
+
 OP10_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM conversations
@@ -141,9 +159,37 @@ FROM d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id
 """
 
 
+#: Every document's score for every item that it shares a term with.
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+c AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_words FROM d WHERE len(w) > 0),
+t AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM t SEMI JOIN q USING (term) GROUP BY r, doc_id, n, term),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, c GROUP BY term, n_docs),
+s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_words)))) AS BIGINT) AS score FROM p JOIN f USING (term) JOIN q USING (term), c GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) <= 10
+"""
+
+
+#: Every anchor against every row.
+OP13_SQL = r"""
+WITH e AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT * FROM e WHERE id % 100 = 0),
+m AS (SELECT a.id AS anchor_id, e.id AS id, a.label = e.label AS same, CAST(list_inner_product(a.v, e.v) AS BIGINT) AS s FROM a JOIN e ON a.id <> e.id),
+p AS (SELECT anchor_id, id AS positive_id, s AS positive_score FROM m WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, id) <= 5),
+n AS (SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY m.s DESC, m.id) AS rank, m.id AS negative_id, p.positive_score, m.s AS negative_score
+  FROM p JOIN m ON m.anchor_id = p.anchor_id AND NOT m.same AND 80 * p.positive_score <= 100 * m.s AND m.s <= p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_fingerprints, op4_language_id, op5_ngram_join, op6_decontamination, op7_sharding, op8_html_text, op9_secret_scan, op10_chat_format)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_fingerprints, op4_language_id, op5_ngram_join, op6_decontamination, op7_sharding, op8_html_text, op9_secret_scan, op10_chat_format, op11_nearest, op12_ranked_search, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_join": OP5_SQL, "op9_secret_scan": op9_sql(), "op10_chat_format": OP10_SQL}
+    return {"op5_ngram_join": OP5_SQL, "op9_secret_scan": op9_sql(), "op10_chat_format": OP10_SQL, "op12_ranked_search": OP12_SQL, "op13_hard_negatives": OP13_SQL}
