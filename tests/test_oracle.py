@@ -33,13 +33,6 @@ def test_entry_runs(spark):
     assert entry.entry(spark).limit(1).count() == 1
 
 
-def test_windows_close_behind_the_watermark(spark, sf):
-    got = engine.QUERIES["stream_windows"](spark, sf).toPandas()
-    want = spark.read.parquet(f"{sf}/events.parquet").selectExpr("date_trunc('day', ts) AS begin", "event_type").groupBy("begin", "event_type").count().toPandas()
-    whole = {(str(r.begin), r.event_type): r["count"] for _, r in want.iterrows()}
-    assert len(got) and all(whole[str(r.begin), r.event_type] == r.n for _, r in got.iterrows())
-
-
 def test_scans_are_pruned(spark, sf):
     plan = engine.QUERIES["in_state"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,purchase)" in plan and "props" not in plan

@@ -24,3 +24,22 @@ def halo_exchange(values: DataFrame, rank: str, value: str, neighbours: dict[str
         both = both.unionByName(s)
     received = both.groupBy("__to").pivot("__name", list(neighbours)).agg(F.first("__value"))
     return values.select(rank).join(received, F.col(rank) == F.col("__to"), "left").select(rank, *neighbours)
+
+
+def exchanged(edges: DataFrame, payload: str, room: str, rank: str = "rank", slot: str = "slot", to: str = "to_rank", source: str = "from_rank") -> DataFrame:
+    """(rank, slot, from_rank, received): what each edge's receiving half gets.
+
+    An edge sends its payload, a vector, to rank `to`, and receives into a place for `room` numbers from rank `source`; -1 disables a half. A receipt meets
+    the sending of the same slot from its source to its rank, and takes as many numbers as both have: the least of the payload's length and the room. It is
+    null where nothing was sent, a null room or payload counting as none. Of several payloads on one way the greatest is taken. An edge is read once and
+    dealt once, as its two halves.
+    """
+    way = lambda dest, src, sent, held, asks: F.struct(dest.alias("dest"), src.alias("src"), F.col(slot).alias("slot"), sent.alias("sent"), held.alias("room"), F.lit(asks).alias("asks"))
+    own = F.col(rank)
+    none, nowhere = F.lit(None), F.lit(None).cast("int")
+    kind = dict(edges.dtypes)[payload]
+    halves = F.array(way(F.col(to), own, F.col(payload), nowhere, False), way(own, F.col(source), none.cast(kind), F.col(room).cast("int"), True))
+    both = edges.select(F.inline(halves)).filter("dest >= 0 AND src >= 0")
+    met = both.groupBy("dest", "src", "slot").agg(F.max("sent").alias("sent"), F.max("room").alias("room"), F.bool_or("asks").alias("asks"))
+    received = F.when(F.col("sent").isNotNull() & F.col("room").isNotNull(), F.slice("sent", 1, F.least(F.size("sent"), F.greatest("room", F.lit(0)))))
+    return met.filter("asks").select(F.col("dest").alias(rank), F.col("slot").alias(slot), F.col("src").alias(source), received.alias("received"))

@@ -32,9 +32,13 @@ def without_label(systems: DataFrame, label: str) -> DataFrame:
 
 
 def overlaid(base: DataFrame, over: DataFrame, key: str = "path", value: str = "v") -> DataFrame:
-    """Leaf values by path, those of `over` first."""
-    o = over.select(key, F.col(value).alias("__over"))
-    return base.join(o, key, "full").select(key, F.coalesce("__over", value).alias(value))
+    """Leaf values by dotted path, those of `over` first: a value there takes the place of a table here (of all paths below it), a table there that of a value."""
+    tables = lambda path: F.transform(F.sequence(F.lit(1), F.size(F.split(path, r"\."))), lambda i: F.array_join(F.slice(F.split(path, r"\."), 1, i), "."))
+    # a path with all that it stands in, itself last
+    taken = over.select(F.explode(tables(F.col(key))).alias(key)).distinct()
+    inside = base.select(key, F.explode(tables(F.col(key))).alias("__table")).join(over.select(F.col(key).alias("__table")), "__table", "left_semi").select(key).distinct()
+    left = base.join(taken, key, "left_anti").join(inside, key, "left_anti")
+    return left.select(key, value).unionByName(over.select(key, value))
 
 
 def with_defaults(defaults: DataFrame, said: DataFrame, key: str = "path", value: str = "v") -> DataFrame:

@@ -66,5 +66,8 @@ def stop_after(df: DataFrame, n: int, *order: str) -> DataFrame:
 
 
 def in_stage_steps(df: DataFrame, stages: DataFrame, step: str = "step") -> DataFrame:
-    """Joins each step to the stage that occupies it; the stage table is a run's configuration, of a few rows."""
-    return df.join(stages, (F.col(step) >= F.col("lo")) & (F.col(step) < F.col("lo") + F.col("occupied")))
+    """Joins each step to the stage that occupies it, by an interval search: a run may have any number of stages."""
+    from tidestep.operators.scan import in_intervals
+
+    end = unused(stages, "end")
+    return in_intervals(df, stages.withColumn(end, F.col("lo") + F.col("occupied")), step, "lo", end).drop(end)

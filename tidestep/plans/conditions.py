@@ -5,11 +5,15 @@ Edge conditions fire at the first asking at which they hold and didn't before; e
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
+from pyspark.sql import Column
+
 from tidestep.plans.schedule import RunControl
 from tidestep.plans.system import Condition
 from tidestep.plans.world import World
+from tidestep.storage import observed
 
 CONTROL, CLOCK = "run_control", "clock"
 
@@ -51,3 +55,17 @@ def first_stage_only() -> Condition:
 def every_n_steps(n: int) -> Condition:
     """At steps 0, n, 2n ...; never for n = 0."""
     return Condition(lambda w: n > 0 and w.get(CLOCK).step % n == 0, f"every_n_steps({n})")
+
+
+def measured(frame: str, test: Callable[[dict[str, Any]], bool], **metrics: Column) -> Condition:
+    """A test of aggregates over a frame, for loops: the round's rows are written once and the aggregates come from that write.
+
+    So a round costs one job and reads the round before it, instead of an aggregate over the whole lineage.
+    """
+
+    def holds(world: World) -> bool:
+        rows, seen = observed(world.get(frame), **metrics)
+        world.put(frame, rows)
+        return test(seen)
+
+    return Condition(holds, f"measured({frame})")

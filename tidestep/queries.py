@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from tidestep.functions import format as fmt
 from tidestep.functions import names, wire
 from tidestep.operators import observe, reduce, registry, states, steps
+from tidestep.operators.overlay import folded
+from tidestep.operators.scan import as_of, prefix_scan
 from tidestep.plans import conditions as when
 from tidestep.plans.app import App, ContractError, FunctionPlugin, Plugin, PluginGroup, StatesPlugin
 from tidestep.plans.coherence import Coherence
 from tidestep.plans.coupling import Mirror, Multi, OuterIterations
+from tidestep.plans.delta import DeltaLoop
 from tidestep.plans.ordering import OrderError, chain_namespaces, ordered, set_namespace, unmet_labels
 from tidestep.plans.schedule import Group, NotConverged, OnMax, Phase, Scheduler, State, branch, loop_until, loop_while, sequence
 from tidestep.plans.states import StateMachine, check_stage_advance
@@ -326,6 +329,32 @@ QUERIES["loop_until"] = QUERIES.pop("loop_until_")
 SQL["loop_until"] = SQL.pop("loop_until_")
 
 
+@query(LOOP)
+def loop_measured(spark, d):
+    """The metric comes with the write of the round: one job a round."""
+    w = world_of(spark, d, frame=prices(spark, d))
+    loop = loop_until(Step.A, when.measured("frame", lambda seen: seen["most"] < 1000, most=F.max("x")), 20)
+    s = driven(w, loop, halve())
+    return w.get("frame").withColumn("iters", F.lit(s.iterations[id(loop)]))
+
+
+OWN_LOOP = "WITH RECURSIVE it AS (SELECT o_orderkey, o_totalprice / 2 AS x, 1 AS n FROM orders UNION ALL SELECT o_orderkey, x / 2, n + 1 FROM it WHERE x >= 1000 AND n < {most})"
+
+
+@query(OWN_LOOP.format(most=20) + " SELECT o_orderkey, x, n AS iters, x < 1000 AS converged FROM it WHERE x < 1000 OR n = 20")
+def delta_halving(spark, d):
+    """Each order halves until it is below 1000, leaves the loop then and keeps its own count; a round reads what is left."""
+    loop = DeltaLoop(lambda f: f.withColumn("x", F.col("x") / 2), F.col("x") < 1000, 20)
+    return loop.run(prices(spark, d)).select("o_orderkey", "x", F.col("iterations").alias("iters"), "converged")
+
+
+@query(OWN_LOOP.format(most=6) + " SELECT i.o_orderkey, CASE WHEN x < 1000 THEN x ELSE o_totalprice END AS x, n AS iters, x < 1000 AS converged FROM it i JOIN orders o ON o.o_orderkey = i.o_orderkey WHERE x < 1000 OR n = 6")
+def delta_rollback(spark, d):
+    """Orders that six rounds don't bring below 1000 come out as they went in."""
+    loop = DeltaLoop(lambda f: f.withColumn("x", F.col("x") / 2), F.col("x") < 1000, 6, OnMax.ROLLBACK)
+    return loop.run(prices(spark, d), ["o_orderkey"]).select("o_orderkey", "x", F.col("iterations").alias("iters"), "converged")
+
+
 @query("SELECT o_orderkey, o_totalprice/8 AS x FROM orders")
 def loop_accept(spark, d):
     w = world_of(spark, d, frame=prices(spark, d))
@@ -815,6 +844,97 @@ def coherence_registry(spark, d):
     return rows(spark, "name string, syncs long, host_dirty boolean", ("frame", c.entries["frame"].syncs, c.take_host_dirty("frame")))
 
 
+# --- prefix scans, as-of joins, intervals, exchange along edges -------------------------------------------------------
+
+
+@query("""
+SELECT doc_id, CAST(row_number() OVER w - 1 AS BIGINT) AS step, CAST(sum(n_chars) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chars,
+  last_value(CASE WHEN n_chars > 1000 THEN lang END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS long_lang, lag(n_chars, 1, -1) OVER w AS before
+FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)""")
+def scan_sources(spark, d):
+    """Clock, running sum, last observation and the row before, within each source; a source of very many documents is many tasks."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
+    scanned = prefix_scan(docs, "source", ["doc_id"], count="call", sums={"chars": F.col("n_chars")}, lasts={"long_lang": F.when(F.col("n_chars") > 1000, F.col("lang"))}, before={"before": F.col("n_chars")})
+    return scanned.select("doc_id", (F.col("call") - 1).cast("long").alias("step"), F.col("chars").cast("long").alias("chars"), "long_lang", F.coalesce("before", F.lit(-1).cast("long")).alias("before"))
+
+
+@query("""
+SELECT event_id, CAST(row_number() OVER w - 1 AS BIGINT) AS step, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER (w ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS time,
+  last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS shown, lag(value, 1, 0) OVER w AS seen
+FROM events WINDOW w AS (ORDER BY ts, event_id)""")
+def scan_one_key(spark, d):
+    """The clock of the whole table, its last shown value and what a peer sees one step late: all rows are one key."""
+    events = table(spark, d, "events").select("event_id", "ts", "event_type", "value").withColumn("all", F.lit(0))
+    shown = F.when(F.col("event_type") == "purchase", F.col("value"))
+    scanned = prefix_scan(events, "all", ["ts", "event_id"], count="call", sums={"time": F.col("value").cast("decimal(18,2)")}, lasts={"shown": shown}, before={"seen": F.col("value")}, piece_bits=10)
+    return scanned.select("event_id", (F.col("call") - 1).cast("long").alias("step"), F.col("time").cast("double").alias("time"), "shown", F.coalesce("seen", F.lit(0.0)).alias("seen"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, o_custkey % 150 AS user_id, TIMESTAMP '2024-01-01' + to_hours(CAST((o_orderkey * 7919) % 720 AS INTEGER)) AS at FROM orders),
+e AS (SELECT user_id, ts + INTERVAL 1 HOUR AS known, event_id, value FROM events)
+SELECT o_orderkey, coalesce(e.event_id, -1) AS event_id, coalesce(e.value, -1) AS value FROM o ASOF LEFT JOIN e ON o.user_id = e.user_id AND o.at >= e.known""")
+def asof_exchange(spark, d):
+    """Two worlds with their own rates: each order sees its user's last event that was known, an hour after it was made."""
+    hour = F.expr("make_interval(0, 0, 0, 0, cast((o_orderkey * 7919) % 720 AS int), 0, 0)")
+    orders = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + hour).alias("at"))
+    events = table(spark, d, "events").select("user_id", "ts", "event_id", "value")
+    met = as_of(orders, events, "at", "ts", ["user_id"], delay=F.expr("INTERVAL '1' HOUR"))
+    return met.select("o_orderkey", F.coalesce("seen.event_id", F.lit(-1).cast("long")).alias("event_id"), F.coalesce("seen.value", F.lit(-1.0)).alias("value"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS step FROM lineitem),
+n AS (SELECT l_orderkey AS stage, count(*) AS n FROM lineitem GROUP BY l_orderkey),
+s AS (SELECT stage, sum(n) OVER (ORDER BY stage) - n AS lo, sum(n) OVER (ORDER BY stage) AS hi FROM n)
+SELECT s.stage, CAST(min(l.step - s.lo) AS BIGINT) AS first_step, CAST(max(l.step - s.lo) AS BIGINT) AS last_step, min(l_orderkey) = max(l_orderkey) AS alone FROM l JOIN s ON l.step >= s.lo AND l.step < s.hi GROUP BY s.stage""")
+def stages_of_orders(spark, d):
+    """A run of as many stages as there are orders: each line's global step is sought among the stages' intervals."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    numbered = steps.global_steps(lines, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").select("l_orderkey", "step")
+    sizes = lines.groupBy(F.col("l_orderkey").alias("stage")).agg(F.count("*").alias("occupied")).withColumn("all", F.lit(0))
+    stages = prefix_scan(sizes, "all", ["stage"], sums={"hi": F.col("occupied")}).select("stage", (F.col("hi") - F.col("occupied")).alias("lo"), "occupied")
+    own = F.col("step") - F.col("lo")
+    return steps.in_stage_steps(numbered, stages).groupBy("stage").agg(F.min(own).alias("first_step"), F.max(own).alias("last_step"), (F.min("l_orderkey") == F.max("l_orderkey")).alias("alone"))
+
+
+@query("""
+WITH e AS (SELECT vec_id AS r, vec_id // 8 AS block, CASE WHEN vec_id % 8 = 7 THEN -1 ELSE vec_id + 1 END AS to_rank, CASE WHEN vec_id % 8 = 0 THEN -1 ELSE vec_id - 1 END AS from_rank, embedding[1:4 + vec_id % 5] AS sent, 3 + vec_id % 7 AS room FROM embeddings)
+SELECT a.r AS rank, a.from_rank, CAST(least(len(b.sent), a.room) AS BIGINT) AS n, CAST(b.sent[1] AS DOUBLE) AS first_value, CAST(b.sent[least(len(b.sent), a.room)] AS DOUBLE) AS last_value
+FROM e a LEFT JOIN e b ON b.r = a.from_rank AND b.to_rank = a.r WHERE a.from_rank >= 0""")
+def edge_exchange(spark, d):
+    """Vectors shifted along chains of eight ranks: the ends have a disabled half, and a receipt takes as many numbers as both sides have."""
+    v = F.col("vec_id")
+    to, source = F.when(v % 8 == 7, -1).otherwise(v + 1), F.when(v % 8 == 0, -1).otherwise(v - 1)
+    sent = F.slice("embedding", 1, (4 + v % 5).cast("int"))
+    edges = table(spark, d, "embeddings").select(v.alias("rank"), F.lit(0).alias("slot"), to.cast("long").alias("to_rank"), source.cast("long").alias("from_rank"), sent.alias("sent"), (3 + v % 7).cast("int").alias("room"))
+    got = F.col("received")
+    return reduce.exchanged(edges, "sent", "room").select("rank", "from_rank", F.size(got).cast("long").alias("n"), got[0].cast("double").alias("first_value"), F.element_at(got, -1).cast("double").alias("last_value"))
+
+
+#: What each kind of event says: (event type, path, value or None for a tombstone).
+SAID = [("purchase", "pump", "k"), ("click", "pump.rate", "k"), ("click", "pump.head.max", "value"), ("view", "mode.stage.n", "k"), ("error", "pump", None), ("signup", "mode", "k")]
+
+
+@query(f"""
+WITH e AS (SELECT user_id, event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value FROM events),
+w AS ({" UNION ALL ".join(f"SELECT user_id, event_id, '{path}' AS path, {f'CAST({said} AS VARCHAR)' if said else 'NULL'} AS value FROM e WHERE event_type = '{kind}'" for kind, path, said in SAID)})
+SELECT user_id, path, value FROM w a WHERE value IS NOT NULL AND NOT EXISTS (
+  SELECT 1 FROM w b WHERE b.user_id = a.user_id AND b.event_id > a.event_id AND (b.path = a.path OR starts_with(a.path, b.path || '.') OR (b.value IS NOT NULL AND starts_with(b.path, a.path || '.'))))""")
+def overlay_events(spark, d):
+    """Each user's events as configuration laid over one another: values replace tables, tables values, and an error removes one."""
+    k = F.get_json_object("props", "$.k")
+    say = {
+        "purchase": F.concat(F.lit('{"pump":'), k, F.lit("}")),
+        "click": F.concat(F.lit('{"pump":{"rate":'), k, F.lit(',"head":{"max":'), F.col("value").cast("string"), F.lit("}}}")),
+        "view": F.concat(F.lit('{"mode":{"stage":{"n":'), k, F.lit("}}}")),
+        "error": F.lit('{"pump":null}'),
+        "signup": F.concat(F.lit('{"mode":'), k, F.lit("}")),
+    }
+    doc = F.coalesce(*(F.when(F.col("event_type") == kind, text) for kind, text in say.items()))
+    return folded(table(spark, d, "events").select("user_id", "event_id", doc.alias("doc")), "user_id", ["event_id"], "doc")
+
+
 # --- streaming ----------------------------------------------------------------------------------------------------
 
 
@@ -839,9 +959,36 @@ def stream_stage_advance(spark, d):
     return drained(stages(step_stream(spark, d), "error", 3))
 
 
-@query()
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS begin, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(spark, d):
-    """Tumbling windows behind a watermark: those that it has closed."""
-    from tidestep.streaming.machines import drained, step_stream, windowed_counts
+    """Tumbling windows behind a watermark, over rows that arrive out of order; the closing row lets out those of the end."""
+    from tidestep.streaming.machines import drained, windowed_counts
+    from tidestep.streaming.ordered import arrivals
+
+    stream, late = arrivals(table(spark, d, "events"), 5)
+    return drained(windowed_counts(stream, late=late)).select(F.col("begin").cast("date").cast("string").alias("begin"), "event_type", "n")
+
+
+def machine_events(spark, d, idle_ms: int | None = None) -> DataFrame:
+    """What the machines of the users tell, their events arriving out of order in five batches."""
+    from tidestep.streaming.ordered import arrivals, drained_by_files, machine_rows
+
+    stream, late = arrivals(table(spark, d, "events").select("event_id", "user_id", "event_type", "ts"), 5)
+    return drained_by_files(machine_rows(stream, late, "init", ["signup", "error"], "error", 3, idle_ms))
+
+
+@query("""
+WITH s AS (SELECT *, lag(event_type) OVER w AS prev, coalesce(last_value(CASE WHEN event_type IN ('signup','error') THEN event_type END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'init') AS state FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+e AS (SELECT *, CASE WHEN prev IS NULL OR prev <> event_type THEN 1 ELSE 0 END AS enters FROM s)
+SELECT event_id, enters = 1 AS entered, state, CAST(least(sum(CASE WHEN event_type = 'error' THEN enters ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id), 3) AS BIGINT) AS stage, CAST(sum(enters) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS BIGINT) AS visit FROM e""")
+def stream_machines(spark, d):
+    """Entries, transitions, stages and visits of the states at once, right whatever the order of arrival."""
+    return machine_events(spark, d).select(F.col("ident").alias("event_id"), "entered", F.col("current").alias("state"), "stage", "visit")
+
 
-    return drained(windowed_counts(step_stream(spark, d)))
+@query("SELECT event_id, user_id FROM (SELECT *, lag(event_type) OVER w AS prev, lag(ts) OVER w AS prev_ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_type = 'error' AND (prev IS NULL OR prev <> 'error' OR ts - prev_ts > INTERVAL 8 HOUR)")
+def stream_idle_machines(spark, d):
+    """A user's machine is forgotten after eight hours without an event, by a timer; entries into errors."""
+    told = machine_events(spark, d, 8 * 3600 * 1000).filter("entered")
+    errors = table(spark, d, "events").filter("event_type = 'error'").select(F.col("event_id").alias("ident"))
+    return told.join(errors, "ident").select(F.col("ident").alias("event_id"), "user_id")
