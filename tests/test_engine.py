@@ -361,3 +361,21 @@ def test_pins_cut_the_lineage_of_a_loop_that_reads_itself(spark, sf):
     s.run()
     assert s.iterations[id(loop)] == 5
     assert w.get("frame")._jdf.queryExecution().logical().toString().count("Join") == 0
+
+
+def test_stages_of_a_config():
+    """A stage's overrides over the run's config, sections that later stages may not say, and names against the states expected."""
+    from tidestep.plans.ordering import set_namespace, unmet_labels
+    from tidestep.sources.run import first_stage_warnings, stage_config, validate_stages
+
+    config = Config.parse('[pump]\nrate = 1\nn = 5\n[[run]]\nname = "fill"\n[run.mesh]\nx = 1\n[[run]]\nname = "press"\n[run.pump]\nrate = 2\n[run.mesh]\nx = 1\n')
+    stages = stages_of(config)
+    assert [leaves(stage_config(config, s).table)["pump.rate"] for s in stages] == [1, 2]
+    assert first_stage_warnings(stages, {"mesh", "wire"}) == [(1, "mesh")]
+    assert validate_stages(stages, ["fill", "flow"]) == [(1, "flow", "press")]
+    assert validate_stages(stages, ["fill"]) == [(1, None, "press")]
+    set_namespace(Q, 100)
+    made = [System("late", lambda: None, Q.X), System("b", lambda: None, P.B), System("a", lambda: None, P.A), System("a2", lambda: None, P.A)]
+    assert [s.name for s in ordered(made)] == ["a", "a2", "b", "late"]
+    assert unmet_labels([System("s1", lambda: None, P.A, requires=("x",)), System("s2", lambda: None, P.B, requires=("x",)), System("has", lambda: None, P.A, labels=("x",))]) == [("s2", "x")]
+    set_namespace(Q, 0)

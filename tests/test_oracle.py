@@ -29,6 +29,12 @@ def test_matches_sql(spark, duck, sf, name):
     assert canonical(got) == canonical(want)
 
 
+@pytest.mark.parametrize("name", sorted(engine.DRIVER_CHECKS))
+def test_driver_matches_sql(spark, duck, sf, name):
+    query, sql = engine.DRIVER_CHECKS[name]
+    assert canonical(query(spark, sf).toPandas()) == canonical(duck.sql(sql).df())
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).limit(1).count() == 1
 

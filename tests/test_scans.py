@@ -233,3 +233,24 @@ def test_staged_queries_have_no_nested_loop(spark, sf):
 
     for name in ("run_stages", "in_stage", "stages_of_orders"):
         assert "NestedLoop" not in plan(engine.QUERIES[name](spark, sf))
+
+
+# --- topology, arrays of texts ---
+
+
+def test_levels_of_a_graph_and_a_cycle(spark):
+    from tidestep.operators.topology import Cycle, levels
+
+    nodes = spark.createDataFrame([(i,) for i in range(7)], "n int")
+    edges = spark.createDataFrame([(0, 1), (0, 1), (1, 2), (0, 2), (3, 2), (2, 4), (9, 5), (5, 9), (None, 6)], "before int, after int")
+    assert {r.n: r.level for r in levels(nodes, edges, "n").collect()} == {0: 0, 1: 1, 2: 2, 3: 0, 4: 3, 5: 0, 6: 0}
+    assert levels(nodes.limit(0), edges, "n").count() == 0
+    with pytest.raises(Cycle):
+        levels(nodes, spark.createDataFrame([(0, 1), (1, 2), (2, 1)], "before int, after int"), "n")
+
+
+def test_arrays_of_tables_in_texts(spark):
+    from tidestep.sources.config import parsed_arrays
+
+    texts = spark.createDataFrame([(1, "[[f]]\nx = 2\n[[f]]\ny = 's'\n"), (2, None), (3, "z = 1")], "k int, t string")
+    assert [tuple(r) for r in parsed_arrays(texts, "k", "t", "f", "x long, y string").orderBy("i").collect()] == [(1, 0, 2, None), (1, 1, None, "s")]

@@ -23,8 +23,10 @@ def timing_table(df: DataFrame, name: str, seconds: Column) -> DataFrame:
     return own.withColumn("pct", F.col("t") / F.sum("t").over(Window.partitionBy())).orderBy(F.desc("t"))
 
 
-def joined_snippets(df: DataFrame, order: str, text: str, name: str = "cfg") -> DataFrame:
-    return df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), "\n\n").alias(name))
+def joined_snippets(df: DataFrame, order: str, text: str, name: str = "cfg", by: list[str] | None = None) -> DataFrame:
+    """The snippets in order, an empty line between them; one text for each group."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), F.col(text).alias("t")))), lambda s: s["t"]), "\n\n").alias(name)
+    return df.groupBy(*(by or [])).agg(joined)
 
 
 class TermOut:

@@ -48,3 +48,19 @@ def with_defaults(defaults: DataFrame, said: DataFrame, key: str = "path", value
 
 def any_done(df: DataFrame, key: str, done) -> DataFrame:
     return df.groupBy(key).agg(F.bool_or(done).alias("any_done"))
+
+
+def below(paths: DataFrame, table: str, key: str = "path") -> DataFrame:
+    """The rows of the paths below a table, named from there."""
+    return paths.filter(F.col(key).startswith(f"{table}.")).withColumn(key, F.substring(key, len(table) + 2, 1 << 30))
+
+
+def later_mentions(stages: DataFrame, index: str, section: str, first_only: set[str]) -> DataFrame:
+    """Stages after the first that say something of a section that only the first one's values are read of."""
+    return stages.filter((F.col(index) > 0) & F.col(section).isin(*sorted(first_only)))
+
+
+def mismatched(expected: DataFrame, actual: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, expected, actual) where the names differ or one is lacking."""
+    e, a = (df.select(key, F.col(name).alias(kind)) for df, kind in ((expected, "expected"), (actual, "actual")))
+    return e.join(a, key, "full").filter(~F.col("expected").eqNullSafe(F.col("actual"))).select(key, "expected", "actual")

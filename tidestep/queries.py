@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from enum import Enum
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidestep.functions import format as fmt
@@ -13,19 +13,20 @@ from tidestep.functions import names, wire
 from tidestep.operators import observe, reduce, registry, states, steps
 from tidestep.operators.overlay import folded
 from tidestep.operators.scan import as_of, prefix_scan
+from tidestep.operators.topology import levels
 from tidestep.plans import conditions as when
 from tidestep.plans.app import App, ContractError, FunctionPlugin, Plugin, PluginGroup, StatesPlugin
 from tidestep.plans.coherence import Coherence
 from tidestep.plans.coupling import Mirror, Multi, OuterIterations
 from tidestep.plans.delta import DeltaLoop
-from tidestep.plans.ordering import OrderError, chain_namespaces, ordered, set_namespace, unmet_labels
+from tidestep.plans.ordering import OrderError, chain_namespaces, ordered
 from tidestep.plans.schedule import Group, NotConverged, OnMax, Phase, Scheduler, State, branch, loop_until, loop_while, sequence
 from tidestep.plans.states import StateMachine, check_stage_advance
 from tidestep.plans.system import System, system
 from tidestep.plans.world import World
-from tidestep.sources.config import Config, leaves
+from tidestep.sources.config import Config, parsed_arrays
 from tidestep.sources.dump import DumpConfig, DumpPlugin, write_frames
-from tidestep.sources.run import RunPlugin, first_stage_warnings, stage_config, stage_frame, stages_of, validate_stages
+from tidestep.sources.run import RunPlugin, stage_frame, stages_of
 from tidestep.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +44,18 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: What a driver does without any table, as rows and as SQL: kept for the tests, not registered.
+DRIVER_CHECKS: dict[str, tuple[Query, str]] = {}
+
+
+def driver_check(sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        DRIVER_CHECKS[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -121,58 +134,48 @@ def res_optional(spark, d):
     return w.get("out")
 
 
-@query("SELECT name FROM (VALUES ('a','x'),('b',NULL),('c','y')) t(name,label) WHERE label IS DISTINCT FROM 'x'")
+@query("SELECT doc_id AS name FROM documents WHERE source IS DISTINCT FROM 'src3'")
 def remove_by_label(spark, d):
-    return registry.without_label(rows(spark, "name string, label string", ("a", "x"), ("b", None), ("c", "y")), "x").select("name")
+    """Documents stand for systems, labelled by their source."""
+    return registry.without_label(table(spark, d, "documents").select(F.col("doc_id").alias("name"), F.col("source").alias("label")), "src3").select("name")
 
 
 # --- ordering -----------------------------------------------------------------------------------------------------
 
 
-class Solve(Enum):
-    INIT = 0
-    SOLVE = 1
-
-
-class Log(Enum):
-    IDLE = 0
-    DUMP = 1
-    IDLE2 = 2
-    PRINT = 3
-
-
-class DumpBand(Enum):
-    IDLE = 0
-    DUMP = 1
-
-
-@query("SELECT name, CAST(row_number() OVER (ORDER BY ns, idx, reg) AS BIGINT) AS pos FROM (VALUES ('solve',0,1,0),('dump',200,1,1),('init',0,0,2),('print',100,3,3)) t(name,ns,idx,reg)")
+@query("SELECT event_id, CAST(row_number() OVER (ORDER BY CASE event_type WHEN 'signup' THEN 0 WHEN 'click' THEN 100 WHEN 'view' THEN 101 WHEN 'purchase' THEN 200 ELSE 300 END, event_id) AS BIGINT) AS pos FROM events")
 def phase_sort(spark, d):
-    for phases, ns in ((Solve, 0), (Log, 100), (DumpBand, 200)):
-        set_namespace(phases, ns)
-    made = [System(n, lambda: None, p) for n, p in (("solve", Solve.SOLVE), ("dump", DumpBand.DUMP), ("init", Solve.INIT), ("print", Log.PRINT))]
-    return rows(spark, "name string, pos long", *((s.name, i + 1) for i, s in enumerate(ordered(made))))
+    """Events stand for systems whose types are phases in chained namespaces: sorted by phase, those of one phase as they came."""
+    namespaces = {"signup": 0, "click": 100, "view": 101, "purchase": 200}
+    phase = F.coalesce(*(F.when(F.col("event_type") == t, n) for t, n in namespaces.items()), F.lit(300))
+    events = table(spark, d, "events").select("event_id", phase.alias("phase"))
+    return steps.global_steps(events, "phase", "event_id").select("event_id", (F.col("step") + 1).alias("pos"))
 
 
-@query("SELECT * FROM (VALUES ('B',CAST(1 AS BIGINT)),('C',CAST(2 AS BIGINT)),('A',CAST(3 AS BIGINT))) t(name,pos)")
+@query("WITH RECURSIVE e AS (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS a, lag(event_id, 2) OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY event_id) AS b FROM events), l AS (SELECT event_id, 0 AS level FROM e WHERE a IS NULL AND b IS NULL UNION SELECT e.event_id, l.level + 1 FROM l JOIN e ON e.a = l.event_id OR e.b = l.event_id) SELECT event_id, CAST(max(level) AS BIGINT) AS level FROM l GROUP BY event_id")
 def topo_order(spark, d):
-    made = [System("A", lambda: None, Step.A, after=("C",)), System("B", lambda: None, Step.A), System("C", lambda: None, Step.A)]
-    return rows(spark, "name string, pos long", *((s.name, i + 1) for i, s in enumerate(ordered(made))))
+    """An event comes after the one before it of its user's day, and after the second one before it of its type's hour: levels of a topological order."""
+    day, hour = Window.partitionBy("user_id", F.to_date("ts")).orderBy("event_id"), Window.partitionBy("event_type", F.date_trunc("hour", "ts")).orderBy("event_id")
+    events = table(spark, d, "events").select("event_id", F.array(F.lag("event_id").over(day), F.lag("event_id", 2).over(hour)).alias("comes_after"))
+    edges = events.select(F.explode("comes_after").alias("before"), F.col("event_id").alias("after")).filter("before IS NOT NULL")
+    return levels(events.select("event_id"), edges, "event_id")
 
 
-@query("SELECT r.sys, r.lab FROM (VALUES ('s1','a','g'),('s2','b','g'),('s3','a','h')) r(sys,lab,grp) ANTI JOIN (VALUES ('a','g')) h(lab,grp) ON r.lab=h.lab AND r.grp=h.grp")
+@query("SELECT event_id, user_id FROM events r WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events h WHERE h.event_type = 'signup' AND h.user_id = r.user_id)")
 def requires_label(spark, d):
-    """Labels are looked for in the system's own phase: g is A, h is B."""
-    made = [System(n, lambda: None, p, requires=(lab,)) for n, lab, p in (("s1", "a", Step.A), ("s2", "b", Step.A), ("s3", "a", Step.B))]
-    return rows(spark, "sys string, lab string", *unmet_labels([*made, System("has", lambda: None, Step.A, labels=("a",))]))
+    """A purchase requires a system labelled signup in its own group, the user."""
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    return registry.unprovided(events.filter("event_type = 'purchase'"), events.filter("event_type = 'signup'").distinct(), "user_id").select("event_id", "user_id")
 
 
-@query("SELECT r.sys, r.res FROM (VALUES ('s1','A',false),('s2','B',false),('s3','C',true)) r(sys,res,opt) LEFT JOIN (VALUES ('A')) h(res) ON r.res=h.res WHERE h.res IS NULL AND NOT r.opt")
+@query("SELECT doc_id AS sys, doc_id AS res FROM documents WHERE lang <> 'en' AND doc_id NOT IN (SELECT doc_id FROM labels)")
 def missing_resources(spark, d):
-    return registry.missing(rows(spark, "sys string, res string, opt boolean", ("s1", "A", False), ("s2", "B", False), ("s3", "C", True)), rows(spark, "res string", ("A",)))
+    """Documents read their label; those in English can do without."""
+    reads = table(spark, d, "documents").select(F.col("doc_id").alias("sys"), F.col("doc_id").alias("res"), (F.col("lang") == "en").alias("opt"))
+    return registry.missing(reads, table(spark, d, "labels").select(F.col("doc_id").alias("res")))
 
 
-@query("SELECT * FROM (VALUES ('setup',CAST(0 AS BIGINT)),('namespace',CAST(1 AS BIGINT)),('cycle',CAST(2 AS BIGINT))) t(name,ns)")
+@driver_check("SELECT * FROM (VALUES ('setup',CAST(0 AS BIGINT)),('namespace',CAST(1 AS BIGINT)),('cycle',CAST(2 AS BIGINT))) t(name,ns)")
 def namespace_chain(spark, d):
     """Systems added before their enums are chained follow the chain; a cycle is refused."""
     classes = {n: Enum(n, {"ONLY": 0}) for n in ("cycle", "namespace", "setup")}
@@ -236,7 +239,7 @@ def first_stage_only(spark, d):
     return staged_events(spark, d).filter("i = 0").select("event_id")
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), true, true, true, true), (CAST(1 AS BIGINT), false, true, false, true), (CAST(2 AS BIGINT), true, false, true, false), (CAST(3 AS BIGINT), false, false, false, false)) t(step, every2, in_a, enters, first_stage)")
+@driver_check("SELECT * FROM (VALUES (CAST(0 AS BIGINT), true, true, true, true), (CAST(1 AS BIGINT), false, true, false, true), (CAST(2 AS BIGINT), true, false, true, false), (CAST(3 AS BIGINT), false, false, false, false)) t(step, every2, in_a, enters, first_stage)")
 def driver_conditions(spark, d):
     """The driver's conditions over a world's clock, state machine and stages: 'enters' fires at each change of state."""
     from tidestep.sources.run import Clock
@@ -399,7 +402,7 @@ def loop_rollback(spark, d):
 TRACE = "SELECT * FROM (VALUES {}) t(seq, phase, system)"
 
 
-@query(TRACE.format(", ".join(f"(CAST({i} AS BIGINT),'{p}','{s}')" for i, (p, s) in enumerate([("A", "body"), ("A", "body"), ("BACK", "back")] * 2))))
+@driver_check(TRACE.format(", ".join(f"(CAST({i} AS BIGINT),'{p}','{s}')" for i, (p, s) in enumerate([("A", "body"), ("A", "body"), ("BACK", "back")] * 2))))
 def retry_loop(spark, d):
     """Two tries of a loop of two rounds, each rolled back."""
     w = world_of(spark, d, frame=prices(spark, d))
@@ -426,7 +429,7 @@ def branch_tree(spark, d):
     return w.get("frame")
 
 
-@query(TRACE.format(", ".join(f"(CAST({i} AS BIGINT),'{p}','{s}')" for i, (p, s) in enumerate([("SETUP", "init"), ("A", "work"), ("A", "work"), ("A", "stop"), ("END", "with_app"), ("END", "plain")]))))
+@driver_check(TRACE.format(", ".join(f"(CAST({i} AS BIGINT),'{p}','{s}')" for i, (p, s) in enumerate([("SETUP", "init"), ("A", "work"), ("A", "work"), ("A", "stop"), ("END", "with_app"), ("END", "plain")]))))
 def lifecycle(spark, d):
     app, seen = App(spark), []
     app.on_cleanup(lambda: seen.append(("END", "plain"))).on_cleanup(lambda a: seen.append(("END", "with_app")), with_app=True)
@@ -452,7 +455,7 @@ def stage_advance(spark, d):
     return states.stage_of_entries(table(spark, d, "events").select("event_id", "user_id", "event_type", "ts"), "user_id", "event_type", "error", 3, "ts", "event_id").select("event_id", "stage")
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT),'fill',false),(CAST(1 AS BIGINT),'relax',false),(CAST(2 AS BIGINT),'flow',true),(CAST(3 AS BIGINT),'fill',true),(CAST(4 AS BIGINT),'fill',true)) t(i, state, advance)")
+@driver_check("SELECT * FROM (VALUES (CAST(0 AS BIGINT),'fill',false),(CAST(1 AS BIGINT),'relax',false),(CAST(2 AS BIGINT),'flow',true),(CAST(3 AS BIGINT),'fill',true),(CAST(4 AS BIGINT),'fill',true)) t(i, state, advance)")
 def stage_machine(spark, d):
     """A pending state is dropped when the stage changes; a state that the user changes asks for the next stage."""
     machine, app = StateMachine("fill"), App(spark)
@@ -511,19 +514,25 @@ def subapp_snapshot(spark, d):
 # --- plugins ------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT name, count(*) AS n FROM (VALUES ('A',true),('B',true),('A',true),('C',false),('C',false)) p(name,uniq) WHERE uniq GROUP BY name HAVING count(*)>1")
+@query("SELECT l_orderkey * 8 + l_linenumber AS name, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_orderkey * 8 + l_linenumber HAVING count(*) > 1")
 def plugin_duplicates(spark, d):
-    return registry.duplicates(rows(spark, "name string, uniq boolean", ("A", True), ("B", True), ("A", True), ("C", False), ("C", False)))
+    """Lines stand for plugins, named by order and number; those not returned may repeat."""
+    return registry.duplicates(table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("name"), (F.col("l_returnflag") != "N").alias("uniq")))
 
 
-@query("SELECT d.plugin, d.dep FROM (VALUES ('B','A',0),('C','A',2),('D','Z',3)) d(plugin,dep,pos) WHERE NOT EXISTS (SELECT 1 FROM (VALUES ('B',0),('A',1),('C',2),('D',3)) p(name,pos) WHERE p.name=d.dep AND p.pos<d.pos)")
+@query("SELECT event_id AS plugin, user_id || ':signup' AS dep FROM events d WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = d.user_id AND p.event_type = 'signup' AND p.event_id < d.event_id)")
 def ordered_dependencies(spark, d):
-    return registry.unordered_dependencies(rows(spark, "plugin string, dep string, pos int", ("B", "A", 0), ("C", "A", 2), ("D", "Z", 3)), rows(spark, "name string, pos int", ("B", 0), ("A", 1), ("C", 2), ("D", 3)).withColumnRenamed("pos", "own_pos").selectExpr("name", "own_pos AS pos"))
+    """A purchase depends on a signup of its user that stands before it."""
+    events = table(spark, d, "events")
+    deps = events.filter("event_type = 'purchase'").select(F.col("event_id").alias("plugin"), F.concat(F.col("user_id").cast("string"), F.lit(":signup")).alias("dep"), F.col("event_id").alias("pos"))
+    return registry.unordered_dependencies(deps, events.select(F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("name"), F.col("event_id").alias("pos")))
 
 
-@query("SELECT r.cap, r.plugin FROM (VALUES ('feature_a','B'),('feature_missing','C')) r(cap,plugin) ANTI JOIN (VALUES ('feature_a')) p(cap) ON r.cap=p.cap")
+@query("SELECT c_nationkey AS cap, c_custkey AS plugin FROM customer ANTI JOIN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0) s ON c_nationkey = s_nationkey")
 def capability_contracts(spark, d):
-    return registry.unprovided(rows(spark, "cap string, plugin string", ("feature_a", "B"), ("feature_missing", "C")), rows(spark, "cap string", ("feature_a",)), "cap")
+    """Customers require a solvent supplier of their nation."""
+    required = table(spark, d, "customer").select(F.col("c_nationkey").alias("cap"), F.col("c_custkey").alias("plugin"))
+    return registry.unprovided(required, table(spark, d, "supplier").filter("s_acctbal > 0").select(F.col("s_nationkey").alias("cap")), "cap")
 
 
 class Named(Plugin):
@@ -538,14 +547,14 @@ class Named(Plugin):
         app.put(f"built_{self.name}", True)
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT),'A'),(CAST(1 AS BIGINT),'B'),(CAST(2 AS BIGINT),'D')) t(i, name)")
+@driver_check("SELECT * FROM (VALUES (CAST(0 AS BIGINT),'A'),(CAST(1 AS BIGINT),'B'),(CAST(2 AS BIGINT),'D')) t(i, name)")
 def group_disable(spark, d):
     """Disabling acts on what is added later: B is there already, C isn't."""
     app = App(spark).add_plugins(PluginGroup([Named("A"), Named("B")]).disable("B").disable("C").add(Named("C")).add(Named("D")))
     return rows(spark, "i long, name string", *((i, p.name) for i, p in enumerate(app.plugins)))
 
 
-@query("SELECT * FROM (VALUES ('capability'),('dependency'),('duplicate')) t(refused)")
+@driver_check("SELECT * FROM (VALUES ('capability'),('dependency'),('duplicate')) t(refused)")
 def contract_errors(spark, d):
     """An app refuses a second unique plugin and a dependency that isn't there yet at once, a missing capability at its start."""
     refused = []
@@ -561,41 +570,56 @@ def contract_errors(spark, d):
     return rows(spark, "refused string", *refused)
 
 
-@query("SELECT string_agg(snip, chr(10)||chr(10) ORDER BY i) AS cfg FROM (VALUES (0,'[clock]'),(1,'[dump]')) t(i,snip)")
+@query("SELECT l_orderkey, string_agg('[part.' || l_partkey || ']' || chr(10) || 'flag = \"' || l_returnflag || '\"', chr(10) || chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey) AS cfg FROM lineitem GROUP BY l_orderkey")
 def generate_config(spark, d):
-    app = App(spark).add_plugins(Named("clock", default_config="[clock]"), Named("none"), Named("dump", default_config="[dump]"))
-    return observe.joined_snippets(rows(spark, "i int, snip string", *enumerate(app.snippets)), "i", "snip")
+    """A config of each order, of its lines' snippets."""
+    snip = F.concat(F.lit("[part."), F.col("l_partkey").cast("string"), F.lit(']\nflag = "'), "l_returnflag", F.lit('"'))
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("i"), snip.alias("snip"))
+    return observe.joined_snippets(lines, "i", "snip", by=["l_orderkey"])
 
 
 # --- configuration, stages, observation -----------------------------------------------------------------------------
 
 
-@query("SELECT d.path, coalesce(c.v,d.v) AS v FROM (VALUES ('knobs.steps','0'),('knobs.dt','0.0')) d(path,v) LEFT JOIN (VALUES ('knobs.steps','200')) c(path,v) ON d.path=c.path")
+@query("SELECT p_partkey AS path, coalesce(c.v, p_retailprice) AS v FROM part LEFT JOIN (SELECT l_partkey, max(l_extendedprice) AS v FROM lineitem WHERE l_discount > 0.08 GROUP BY l_partkey) c ON p_partkey = l_partkey")
 def section_defaults(spark, d):
-    said = Config.parse("[knobs]\nsteps = 200\n").frame(spark).withColumnRenamed("value", "v")
-    return registry.with_defaults(rows(spark, "path string, v string", ("knobs.steps", "0"), ("knobs.dt", "0.0")), said)
+    """Prices of parts: the default, or what lines with a high discount say."""
+    said = table(spark, d, "lineitem").filter("l_discount > 0.08").groupBy(F.col("l_partkey").alias("path")).agg(F.max("l_extendedprice").alias("v"))
+    return registry.with_defaults(table(spark, d, "part").select(F.col("p_partkey").alias("path"), F.col("p_retailprice").alias("v")), said)
 
 
-@query("SELECT event_id, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k FROM events")
+@query("SELECT user_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(json_extract_string(props,'$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY user_id")
 def parse_array(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    """Each user's events as an array of tables in one text, parsed by type: every element once, in its place."""
+    texts = table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "props"))), lambda x: F.concat(F.lit("[[event]]\nk = "), F.get_json_object(x["props"], "$.k"))), "\n").alias("text"))
+    parsed = parsed_arrays(texts, "user_id", "text", "event", "k long")
+    return parsed.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(1.5 AS DOUBLE)), (CAST(1 AS BIGINT), CAST(-2.0 AS DOUBLE))) t(i, gx)")
+@driver_check("SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(1.5 AS DOUBLE)), (CAST(1 AS BIGINT), CAST(-2.0 AS DOUBLE))) t(i, gx)")
 def config_array(spark, d):
     forces = Config.parse("[[force]]\ngx = 1.5\n[[force]]\ngx = -2.0\n").array("force")
     return rows(spark, "i long, gx double", *((i, f["gx"]) for i, f in enumerate(forces)))
 
 
-@query("SELECT coalesce(o.path,b.path) AS path, coalesce(o.v,b.v) AS v FROM (VALUES ('knobs.steps','100'),('knobs.dt','1e-3'),('other.z','5')) b(path,v) FULL OUTER JOIN (VALUES ('knobs.dt','5e-4'),('extra.q','7')) o(path,v) ON b.path=o.path")
+@query("""
+WITH b AS (SELECT 'part.' || p_partkey || '.size' AS path, CAST(p_size AS VARCHAR) AS v FROM part UNION ALL SELECT 'part.' || p_partkey || '.brand.name', p_brand FROM part),
+o AS (SELECT 'part.' || p_partkey || CASE p_partkey % 5 WHEN 0 THEN '.size' WHEN 1 THEN '' WHEN 2 THEN '.size.least' WHEN 3 THEN '.brand' ELSE '.brand.owner' END AS path, 'over' AS v FROM part)
+SELECT path, v FROM o UNION ALL SELECT path, v FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.path = b.path OR starts_with(b.path, o.path || '.') OR starts_with(o.path, b.path || '.'))""")
 def deep_merge(spark, d):
-    base, over = rows(spark, "path string, v string", ("knobs.steps", "100"), ("knobs.dt", "1e-3"), ("other.z", "5")), rows(spark, "path string, v string", ("knobs.dt", "5e-4"), ("extra.q", "7"))
-    return registry.overlaid(base, over)
+    """Two leaves of every part, overlaid by a third: on a leaf, in place of the whole part, below a leaf, in place of a table, beside a leaf."""
+    part = table(spark, d, "part")
+    path = lambda leaf: F.concat(F.lit("part."), F.col("p_partkey").cast("string"), leaf)
+    base = part.select(path(F.lit(".size")).alias("path"), F.col("p_size").cast("string").alias("v")).unionByName(part.select(path(F.lit(".brand.name")).alias("path"), F.col("p_brand").alias("v")))
+    leaf = F.element_at(F.array(*(F.lit(x) for x in (".size", "", ".size.least", ".brand", ".brand.owner"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return registry.overlaid(base, part.select(path(leaf).alias("path"), F.lit("over").alias("v")))
 
 
-@query("SELECT substring(path,3) AS path, v FROM (VALUES ('a.knobs.steps','100'),('b.knobs.steps','200'),('clock.start_step','0')) t(path,v) WHERE path LIKE 'a.%'")
+@query("SELECT substring(path, 6) AS path, v FROM (SELECT source || '.' || lang || '.' || doc_id AS path, n_chars AS v FROM documents) WHERE path LIKE 'src3.%'")
 def subapp_config(spark, d):
-    return Config.parse("[a.knobs]\nsteps = 100\n[b.knobs]\nsteps = 200\n[clock]\nstart_step = 0\n").for_subapp("a").frame(spark).withColumnRenamed("value", "v")
+    """The lengths of the documents by source, language and id; what stands below one source."""
+    paths = table(spark, d, "documents").select(F.concat_ws(".", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("v"))
+    return registry.below(paths, "src3")
 
 
 @query("SELECT event_id, CAST(row_number() OVER w - 1 AS BIGINT) AS step, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER (PARTITION BY user_id ORDER BY ts,event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS time FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts,event_id)")
@@ -615,7 +639,7 @@ def stage_skip(spark, d):
     return staged_events(spark, d, config).select("event_id", F.col("name").alias("stage"), "ghost")
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT),'a'),(CAST(1 AS BIGINT),'a'),(CAST(2 AS BIGINT),'b'),(CAST(3 AS BIGINT),'c')) t(step, stage)")
+@driver_check("SELECT * FROM (VALUES (CAST(0 AS BIGINT),'a'),(CAST(1 AS BIGINT),'a'),(CAST(2 AS BIGINT),'b'),(CAST(3 AS BIGINT),'c')) t(step, stage)")
 def stage_walk(spark, d):
     """An app led through its stages by the run plugin; the skipped one runs a ghost step."""
     config = Config.parse('[[run]]\nname = "a"\nsteps = 2\n[[run]]\nname = "b"\nskip = true\n[[run]]\nname = "c"\nsteps = 1\n')
@@ -626,26 +650,38 @@ def stage_walk(spark, d):
     return rows(spark, "step long, stage string", *seen)
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT),'knobs.dt','0.001'),(CAST(0 AS BIGINT),'knobs.n','5'),(CAST(1 AS BIGINT),'knobs.dt','0.01'),(CAST(1 AS BIGINT),'knobs.n','5')) t(i, path, v)")
+@query("""
+WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, max(l_returnflag) OVER (PARTITION BY l_orderkey, l_linenumber) AS flag FROM lineitem)
+SELECT l_orderkey * 8 + l_linenumber AS stage, 'price.total' AS path, '1' AS value FROM l WHERE flag <> 'A' UNION ALL SELECT l_orderkey * 8 + l_linenumber, 'price.flag', CASE WHEN flag = 'N' THEN '0' ELSE '"R"' END FROM l WHERE flag <> 'A'
+UNION ALL SELECT l_orderkey * 8 + l_linenumber, 'price', '"A"' FROM l WHERE flag = 'A'""")
 def stage_overrides(spark, d):
-    config = Config.parse('[knobs]\ndt = 0.001\nn = 5\n[[run]]\nname = "settle"\n[[run]]\nname = "flow"\n[run.knobs]\ndt = 0.01\n')
-    return rows(spark, "i long, path string, v string", *((i, p, str(v)) for i, s in enumerate(stages_of(config)) for p, v in leaves(stage_config(config, s).table).items()))
+    """Each line is a stage with the run's config under its own: R sets one field, A puts a value in place of the table."""
+    lines = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("stage")).agg(F.max("l_returnflag").alias("flag"))
+    own = F.when(F.col("flag") == "R", '{"price":{"flag":"R"}}').when(F.col("flag") == "A", '{"price":"A"}')
+    docs = lines.select("stage", F.posexplode(F.array(F.lit('{"price":{"total":1,"flag":0}}'), own)).alias("i", "doc"))
+    return folded(docs, "stage", ["i"], "doc")
 
 
-@query("SELECT s.i, s.sec FROM (VALUES (0,'lattice'),(1,'lattice'),(1,'solver'),(2,'comm')) s(i,sec) JOIN (VALUES ('lattice'),('comm')) f(sec) ON s.sec=f.sec WHERE s.i>0")
+@query("SELECT l_orderkey, l_linenumber - 1 AS i, l_returnflag AS sec FROM lineitem WHERE l_linenumber > 1 AND l_returnflag IN ('A', 'R')")
 def first_stage_warnings_(spark, d):
-    config = Config.parse('[[run]]\n[run.lattice]\nx = 1\n[[run]]\n[run.lattice]\nx = 1\n[run.solver]\nx = 1\n[[run]]\n[run.comm]\nx = 1\n')
-    return rows(spark, "i int, sec string", *first_stage_warnings(stages_of(config), {"lattice", "comm"}))
+    """Lines stand for an order's stages, return flags for sections; A and R are read at the first stage only."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("i"), F.col("l_returnflag").alias("sec"))
+    return registry.later_mentions(lines, "i", "sec", {"A", "R"})
 
 
 QUERIES["first_stage_warnings"] = QUERIES.pop("first_stage_warnings_")
 SQL["first_stage_warnings"] = SQL.pop("first_stage_warnings_")
 
 
-@query("SELECT coalesce(e.i,a.i) AS pos, e.name AS expected, a.name AS actual FROM (VALUES (0,'settle'),(1,'flow')) e(i,name) FULL OUTER JOIN (VALUES (0,'settle'),(1,'press'),(2,'flow')) a(i,name) ON e.i=a.i WHERE e.name IS DISTINCT FROM a.name")
+@query("""
+WITH e AS (SELECT o_orderkey AS pos, CASE o_orderstatus WHEN 'F' THEN 'F' WHEN 'O' THEN 'O' ELSE 'mixed' END AS name FROM orders),
+a AS (SELECT l_orderkey AS pos, CASE WHEN min(l_linestatus) = max(l_linestatus) THEN min(l_linestatus) ELSE 'mixed' END AS name FROM lineitem GROUP BY l_orderkey)
+SELECT coalesce(e.pos, a.pos) AS pos, e.name AS expected, a.name AS actual FROM e FULL OUTER JOIN a ON e.pos = a.pos WHERE e.name IS DISTINCT FROM a.name""")
 def validate_stages_(spark, d):
-    stages = stages_of(Config.parse("".join(f'[[run]]\nname = "{n}"\n' for n in ("settle", "press", "flow"))))
-    return rows(spark, "pos int, expected string, actual string", *validate_stages(stages, ["settle", "flow"]))
+    """By order: the status that it states against that of its lines."""
+    expected = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderstatus").isin("F", "O"), F.col("o_orderstatus")).otherwise("mixed").alias("name"))
+    own = F.when(F.min("l_linestatus") == F.max("l_linestatus"), F.min("l_linestatus")).otherwise("mixed")
+    return registry.mismatched(expected, table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("pos")).agg(own.alias("name")), "pos", "name")
 
 
 QUERIES["validate_stages"] = QUERIES.pop("validate_stages_")
@@ -695,22 +731,36 @@ def phase_islands(spark, d):
     return states.islands(table(spark, d, "events").select("event_id", "user_id", "event_type", "ts"), "user_id", "event_type", "event_id", "ts", "event_id")
 
 
-@query("SELECT n, regexp_extract(n,'([^:]+::)?[^:]+$') AS s FROM (VALUES ('a::b::c::d'),('d'),('c::d')) t(n)")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN replace(p_name, ' ', '::') ELSE p_brand || '::' || p_name END AS s FROM part")
 def short_name(spark, d):
-    return rows(spark, "n string", ("a::b::c::d",), ("d",), ("c::d",)).select("n", names.short_name(F.col("n")).alias("s"))
+    """The last two segments of paths made of type, brand and name."""
+    deep = F.when(F.col("p_partkey") % 2 == 0, F.concat_ws("::", "p_type", "p_brand", F.replace("p_name", F.lit(" "), F.lit("::")))).otherwise(F.concat_ws("::", "p_type", "p_brand", "p_name"))
+    return table(spark, d, "part").select("p_partkey", names.short_name(deep).alias("s"))
 
 
-@query("SELECT c, lower(regexp_extract(c,'^in_st(?:ate|age)[(](.*)[)]$',1)) AS stage FROM (VALUES ('in_state(Insert)'),('in_stage(relax)'),('first_stage_only()')) t(c)")
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lower(source) WHEN 1 THEN lang ELSE '' END AS stage FROM documents")
 def condition_stage(spark, d):
-    return rows(spark, "c string", ("in_state(Insert)",), ("in_stage(relax)",), ("first_stage_only()",)).select("c", names.condition_stage(F.col("c")).alias("stage"))
+    """Conditions made of each document's source and language."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("in_state("), F.upper("source"), F.lit(")"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("in_stage("), "lang", F.lit(")"))).otherwise(F.concat(F.lit("on_enter_stage("), "lang", F.lit(")")))
+    return table(spark, d, "documents").select("doc_id", names.condition_stage(text).alias("stage"))
 
 
-@query("SELECT l_returnflag, CAST(t AS DOUBLE) AS t, t/sum(t) OVER () AS pct FROM (SELECT l_returnflag, count(*) AS t FROM lineitem GROUP BY l_returnflag) q")
+@query("SELECT system, calls, share FROM (SELECT 'double' AS system, CAST(2 AS BIGINT) AS calls, true AS share UNION ALL SELECT 'add', 2, true) WHERE (SELECT count(*) FROM orders) > 0")
 def timing_table(spark, d):
-    return observe.timing_table(table(spark, d, "lineitem"), "l_returnflag", F.count("*").cast("double"))
+    """The timings of a run of two steps over orders: calls, and whether the shares of the systems make up the whole."""
+    w = world_of(spark, d, frame=prices(spark, d))
+    s = Scheduler(w).add(arithmetic("double", Step.A, lambda x: x * 2), arithmetic("add", Step.B, lambda x: x + 1))
+    s.prepare()
+    for _ in range(2):
+        s.run()
+    spent = rows(spark, "system string, calls long, seconds double", *((n, c, t) for _, n, c, t in s.timing_rows()))
+    shares = observe.timing_table(spent, "system", F.sum("seconds"))
+    whole = abs(shares.agg(F.sum("pct")).first()[0] - 1) < 1e-9
+    assert w.get("frame").count()
+    return spent.groupBy("system").agg(F.sum("calls").alias("calls")).withColumn("share", F.lit(whole))
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT),CAST(0 AS BIGINT),'A','a'),(CAST(0 AS BIGINT),CAST(1 AS BIGINT),'B','b'),(CAST(1 AS BIGINT),CAST(2 AS BIGINT),'A','a'),(CAST(1 AS BIGINT),CAST(3 AS BIGINT),'B','b')) t(step, seq, phase, system)")
+@driver_check("SELECT * FROM (VALUES (CAST(0 AS BIGINT),CAST(0 AS BIGINT),'A','a'),(CAST(0 AS BIGINT),CAST(1 AS BIGINT),'B','b'),(CAST(1 AS BIGINT),CAST(2 AS BIGINT),'A','a'),(CAST(1 AS BIGINT),CAST(3 AS BIGINT),'B','b')) t(step, seq, phase, system)")
 def exec_trace(spark, d):
     s = Scheduler(World(spark), keep_trace=True).add(System("b", lambda: None, Step.B), System("a", lambda: None, Step.A), System("off", lambda: None, Step.A).run_if(lambda w: False))
     s.prepare()
@@ -730,7 +780,7 @@ def dump_plugin(spark, d):
     return spark.read.parquet(folder).select("o_orderkey", "x", F.col("step").cast("long").alias("step"))
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT),'          step             x'),(CAST(1 AS BIGINT),'             0             —'),(CAST(2 AS BIGINT),'             2      2.500000'),(CAST(3 AS BIGINT),'             4    1.000000e7')) t(i, line)")
+@driver_check("SELECT * FROM (VALUES (CAST(0 AS BIGINT),'          step             x'),(CAST(1 AS BIGINT),'             0             —'),(CAST(2 AS BIGINT),'             2      2.500000'),(CAST(3 AS BIGINT),'             4    1.000000e7')) t(i, line)")
 def termout_driver(spark, d):
     """The driver's log: a header once, a dash for what was never set, the last value until another is set."""
     out = observe.TermOut(["step", "x"], every=2)
@@ -744,7 +794,7 @@ def termout_driver(spark, d):
 # --- coupling -----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT),'orders'),(CAST(1 AS BIGINT),'customers')) t(i, name)")
+@driver_check("SELECT * FROM (VALUES (CAST(0 AS BIGINT),'orders'),(CAST(1 AS BIGINT),'customers')) t(i, name)")
 def participants(spark, d):
     m = Multi().add_app("orders", App(spark)).add_app("customers", App(spark))
     return rows(spark, "i long, name string", *enumerate(m.participants()))
@@ -832,7 +882,7 @@ def coherence_syncs(spark, d):
     return states.host_syncs(kinds, "user_id", "kind", "ts", "event_id")
 
 
-@query("SELECT * FROM (VALUES ('frame', CAST(2 AS BIGINT), true)) t(name, syncs, host_dirty)")
+@driver_check("SELECT * FROM (VALUES ('frame', CAST(2 AS BIGINT), true)) t(name, syncs, host_dirty)")
 def coherence_registry(spark, d):
     """Reads of a name whose copy is ahead fetch it once; a write leaves the host ahead, until a producer takes the mark."""
     w = world_of(spark, d, frame=prices(spark, d))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import argparse
 import json
 import tomllib
+from collections.abc import Iterator
 from dataclasses import dataclass, field, fields, is_dataclass
 from pathlib import Path
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -107,3 +109,15 @@ def command_line(arguments: list[str], have: Config | None = None) -> tuple[Conf
     config = have or (Config.read(own.config) if own.config else Config())
     output = config.table.get("output", {}).get("dir") or (str(Path(own.config).parent) if own.config else ".")
     return config, Input(own.config, output, own.generate_config)
+
+
+def parsed_arrays(texts: DataFrame, key: str, text: str, name: str, schema: str) -> DataFrame:
+    """(key, i, fields): the elements of the array of tables `name` in each config text, in order from 0; a field that isn't said is null. Texts are parsed in the tasks; a malformed one is an error."""
+    fields = [f.split()[0] for f in schema.split(",")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [(k, i, *(element.get(f) for f in fields)) for k, t in zip(frame[key], frame[text], strict=True) for i, element in enumerate(Config.parse(t or "").array(name))]
+            yield pd.DataFrame(found, columns=[key, "i", *fields])
+
+    return texts.select(key, text).mapInPandas(run, f"{key} {dict(texts.dtypes)[key]}, i int, {schema}")
