@@ -7,9 +7,13 @@ and the density without a bound in a tree without links; counts under 1 in a div
 how much running text it holds: the node with the largest sum is the content, whatever its element. The least density on
 its path to the body is the threshold that a further region must reach to count as content too.
 
-The threshold alone would drop headings and short sections. So the content grows to the containers around it while what
-each adds is at most half links. Blocks there count unless they are more than half links, and so do headings and direct text of the
-content's ancestors. Inside the content nothing is dropped for its links, unless the content is the whole body.
+A paragraph's region is the box that it stands in. A further region reaches the threshold and holds running text of its own: a tenth of the greatest density
+sum, or as many characters as the content. Where the whole body is the densest, as on a page of a few lines, the box of its only title is taken if that holds a third of the characters.
+
+Density alone would drop headings, short sections and what stands between regions. So the content is what the lowest element around the regions holds;
+if they hold no <h1>, it grows to the nearest ancestor in which a heading stands before them. A block there counts unless it is more than half links;
+in the body, which holds much else, only from that heading to the last region. Within the content a box (no paragraph, list item or cell) that holds links
+is left out if its density is under THIN of what the content's children have on average: menus, adverts and readers' comments with links.
 
 What stands in elements of the standard for menus, headers, footers, sidebars, drawings, media, controls and scripts, in
 roles of these, or is hidden, is no part of the tree's text; a <header> in an <article>, <main> or <section> stays. Forms, and names (of a
@@ -67,6 +71,10 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 FURNITURE_WORDS = frozenset("banner menu nav navbar navigation breadcrumb breadcrumbs sidebar header footer masthead notice notices popup modal overlay signup login search social share sharing related recommended pagination pager toolbar widget widgets form forms".split())
 UNWANTED_WORDS = frozenset("ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe comment comments commentlist disqus respond reply replies".split())
 PLAIN_WORDS = frozenset("area bar block bottom box buttons container global google icons inner items left links list main outer page panel posts primary reader readers right secondary section site slot thread tools top unit user users wrap wrapper".split())
+#: Blocks that group others; the share of the usual density of the content's children below which one that holds links is no content; and the share of the
+#: greatest density sum that makes a further region.
+BOXES = BLOCK - HEADINGS - frozenset("p pre li dt dd td th tr tbody thead tfoot caption figcaption summary blockquote address html body".split())
+THIN, REGION = 0.01, 0.1
 #: What a character in a damped subtree weighs.
 DAMPED, UNWANTED = 0.05, 0.01
 
@@ -252,22 +260,30 @@ class Tree:
                 sums[self.parent[i]] += density[i]
         return density, sums
 
-    def _chosen(self) -> tuple[list[int], int, set[int]]:
-        """(regions of content in order, the container around the first of them, the damped subtrees that don't count)."""
+    def _chosen(self) -> tuple[list[int], int, int, set[int]]:
+        """(regions of content in order, the container around them, where in the flow it begins to count, the subtrees that don't count)."""
         density, sums = self.densities()
         n = len(self.tag)
         best = max(range(n), key=lambda i: (sums[i], density[i], -i))
         if not density[best]:
-            return [], 0, set()
+            return [], 0, 0, set()
+        while best and self.tag[best] not in BOXES and self.tag[best] not in ("html", "body"):  # a paragraph stands in its box
+            best = self.parent[best]
+        if self.tag[best] in ("html", "body"):
+            best = self._titled(best)
         around, threshold, at = {best}, density[best], best
         while at > 0:
             at = self.parent[at]
             around.add(at)
             threshold = min(threshold, density[at])
         a_tag = lambda i: self.chars[i] / max(self.tags[i], 1)  # noqa: E731; the density's logarithm grows with a node's size
+        usual = sums[best] / max(1, sum(density[i] > 0 and self.parent[i] == best for i in range(best + 1, self.last[best] + 1)))
         out, i = set(), 0
         while i < n:
-            if self.weight[i] < 1 and i not in around and a_tag(i) < a_tag(best):
+            named = self.weight[i] < 1 and a_tag(i) < a_tag(best)
+            # a box that holds links and next to no running text for its tags
+            thin = self.tag[i] in BOXES and self.link_chars[i] > 0 and density[i] < THIN * usual
+            if i not in around and (named or thin):
                 out.add(i)
                 i = self.last[i]
             i += 1
@@ -275,41 +291,60 @@ class Tree:
         while i < n:
             if self.noise[i] or i in out:
                 i = self.last[i]
-            elif i == best or i not in around and density[i] >= threshold and self.tag[i] in BLOCK:
+            elif i == best or i not in around and self.tag[i] in BLOCK and density[i] >= threshold and (sums[i] >= REGION * sums[best] or self.chars[i] >= self.chars[best]) and 2 * self.link_chars[i] <= self.chars[i]:
                 found.append(i)
                 i = self.last[i]
             i += 1
-        at, dropped = best, [0.0] * n
-        link_dropped = [0.0] * n
-        for i in out:
-            dropped[self.parent[i]] += self.chars[i]
-            link_dropped[self.parent[i]] += self.link_chars[i]
-        while at > 0:
-            up = self.parent[at]
-            if 2 * (self.link_chars[up] - self.link_chars[at] - link_dropped[up]) > self.chars[up] - self.chars[at] - dropped[up] + 1e-6:
+        at = found[0]
+        while at > 0 and not self.begin[at] <= self.begin[found[-1]] <= self.end[found[-1]] <= self.end[at]:
+            at = self.parent[at]
+        start, titled = self.begin[at], any(self.tag[i] == "h1" for r in found for i in range(r, self.last[r] + 1))
+        up = at
+        while up > 0 and not titled:
+            below, up = up, self.parent[up]
+            if self.tag[up] == "html":
                 break
-            at = up
-        return found, at, out
+            heads = [i for i in self._children(up, below) if self.tag[i] in HEADINGS and not self.noise[i] and i not in out]
+            if heads:
+                at, start, titled = up, self.begin[heads[-1]] if self.tag[up] == "body" else self.begin[up], True
+                for i in reversed(heads[:-1]):  # headings that stand right above it
+                    if self.tag[up] == "body" and not any(item and item[1].strip() for item in self.flow[self.end[i] : start]):
+                        start = self.begin[i]
+        return found, at, start, out
+
+    def _titled(self, best: int) -> int:
+        """Where the whole body is the densest, as on a page of a few lines: the box of its only title, if that holds a third of the characters and more than the title."""
+        titles = [i for i, t in enumerate(self.tag) if t == "h1" and not self.noise[i] and self.chars[i]]
+        if len(titles) != 1 or self.tag[box := self.parent[titles[0]]] not in BOXES:
+            return best
+        return box if 3 * self.chars[box] >= self.chars[best] and self.chars[box] > self.chars[titles[0]] else best
+
+    def _children(self, node: int, before: int) -> list[int]:
+        """The children of a node that stand before one of them."""
+        out, i = [], node + 1
+        while i < before:
+            out.append(i)
+            i = self.last[i] + 1
+        return out
 
     def content(self) -> list[int]:
         """The nodes whose subtrees are the page's content, in order."""
         return self._chosen()[0]
 
     def text(self) -> str:
-        """The blocks of the content's subtrees, and of what stands around them: blocks of the container, and headings and direct text of all ancestors."""
-        regions, container, out = self._chosen()
+        """The blocks of the content's subtrees, and those of the container that stand with them."""
+        regions, container, start, out = self._chosen()
         if not regions:
             return ""
-        above: set[int] = set()
-        for i in regions:
-            while (i := self.parent[i]) >= 0 and i not in above:
-                above.add(i)
         inside, skipped = bytearray(len(self.flow) + 1), bytearray(len(self.flow) + 1)
+        whole = any(self.tag[i] in ("html", "body") for i in regions)
         for i in regions:
             if self.tag[i] not in ("html", "body"):
                 inside[self.begin[i] : self.end[i]] = b"\1" * (self.end[i] - self.begin[i])
         for i in out:
             skipped[self.begin[i] : self.end[i]] = b"\1" * (self.end[i] - self.begin[i])
+        # an element of the page's own holds its content to its end; the body holds much else, so there it ends with the last region
+        end = self.end[container] if whole or self.tag[container] not in ("html", "body") else self.end[regions[-1]]
         blocks: list[str] = []
         held: list[int] = []
         for k, item in enumerate([*self.flow, None]):
@@ -318,18 +353,14 @@ class Tree:
                     held.append(k)
             elif held:
                 block = " ".join("".join(self.flow[j][1] for j in held).split())
-                if block and (any(inside[j] for j in held) or self._counts(held, above, self.begin[container] <= held[0] < self.end[container])):
+                if block and (any(inside[j] for j in held) or start <= held[0] < end and not self._links(held)):
                     blocks.append(block)
                 held = []
         return "\n".join(blocks)
 
-    def _counts(self, held: list[int], above: set[int], within: bool) -> bool:
-        """Whether a block outside the regions is content: at most half links, and in the container, or text or a heading of an ancestor."""
-        links = sum(len(self.flow[j][1].strip()) * (1 if self.linked[self.flow[j][0]] else -1) for j in held)
-        if links > 0:
-            return False
-        at = self.block[self.flow[held[0]][0]]
-        return within or at in above or self.tag[at] in HEADINGS and self.parent[at] in above
+    def _links(self, held: list[int]) -> bool:
+        """Whether a block is more than half links."""
+        return sum(len(self.flow[j][1].strip()) * (1 if self.linked[self.flow[j][0]] else -1) for j in held) > 0
 
 
 def composite_density(chars: float, tags: int, link_chars: float, link_tags: int, ratio: float) -> float:
