@@ -26,7 +26,9 @@ from tidestep.plans.system import System, system
 from tidestep.plans.world import World
 from tidestep.sources.config import Config, parsed_arrays
 from tidestep.sources.dump import DumpConfig, DumpPlugin, write_frames
+from tidestep.sources.frames import read_steps, write_steps
 from tidestep.sources.run import RunPlugin, stage_frame, stages_of
+from tidestep.sources.versions import Versions
 from tidestep.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -493,6 +495,23 @@ def snapshot_restore(spark, d):
     return w.get("frame")
 
 
+@query("""
+WITH v1 AS (SELECT o_orderkey, o_totalprice AS x FROM orders),
+v2 AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_totalprice / 2 ELSE o_totalprice END AS x FROM orders WHERE o_orderstatus <> 'P')
+SELECT 1 AS version, * FROM v1 UNION ALL SELECT 2, * FROM v2 UNION ALL SELECT 3, * FROM v1""")
+def versioned_orders(spark, d):
+    """A saved frame, an update with removed rows, and the first version restored: what each version holds, read from its files."""
+    import uuid
+
+    store = Versions(spark, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}")
+    orders = table(spark, d, "orders")
+    store.save("orders", orders.select("o_orderkey", F.col("o_totalprice").alias("x")), "o_orderkey")
+    store.update("orders", orders.filter("o_orderstatus = 'O'").select("o_orderkey", (F.col("o_totalprice") / 2).alias("x")), orders.filter("o_orderstatus = 'P'").select("o_orderkey"))
+    store.restore("orders", 1)
+    held = [store.load("orders", v).select(F.lit(v).alias("version"), "o_orderkey", "x") for v in store.versions("orders")]
+    return held[0].unionByName(held[1]).unionByName(held[2])
+
+
 @query("SELECT o_orderkey, o_totalprice/2 AS x FROM orders")
 def restore_noop(spark, d):
     w = world_of(spark, d, frame=prices(spark, d))
@@ -726,6 +745,18 @@ def dump_frames(spark, d):
     return spark.read.parquet(path).groupBy(F.col("step").cast("long").alias("step")).agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
 
 
+@query("SELECT l_linenumber AS step, l_returnflag, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM lineitem WHERE l_linenumber BETWEEN 2 AND 4 GROUP BY l_linenumber, l_returnflag")
+def committed_frames(spark, d):
+    """Lines written as frames of their number, all or nothing, and three steps read back."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/frames-{uuid.uuid4().hex}"
+    lines = table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("step"), "l_returnflag", "l_orderkey")
+    write_steps(lines, path)
+    own = read_steps(spark, path, "step long, l_returnflag string, l_orderkey long", 2, 4).groupBy("step", "l_returnflag")
+    return own.agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys")).select(F.col("step").cast("int").alias("step"), "l_returnflag", "n", "keys")
+
+
 @query("SELECT user_id, event_type, min(event_id) AS first_id, count(*) AS n FROM (SELECT *, sum(chg) OVER (PARTITION BY user_id ORDER BY ts,event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts,event_id)=event_type THEN 0 ELSE 1 END AS chg FROM events) a) b GROUP BY user_id, event_type, g")
 def phase_islands(spark, d):
     return states.islands(table(spark, d, "events").select("event_id", "user_id", "event_type", "ts"), "user_id", "event_type", "event_id", "ts", "event_id")
