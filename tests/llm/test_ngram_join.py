@@ -172,3 +172,33 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(path + star + [(7, 7), (5000, 4999)], "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(50)}, 5000: 4999, 4999: 4999}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_copies_without_an_id_are_read_once(spark, monkeypatch):
+    """3,000 equal texts without an id and six near copies: a tile reads one text of each class."""
+    base = [f"word{i}" for i in range(80)]
+    near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(10, 70, 10)]
+    frame = spark.createDataFrame([(None, " ".join(base))] * 3000 + [(i, t) for i, t in enumerate(near)], "doc_id long, text string").repartition(8)
+    read = []
+    plain = module.links
+
+    def counted(texts, classes, wanted, *more):
+        placed = wanted.join(classes.select("cid", "rep_row", "rep_hash"), "cid")
+        met = texts.join(placed, (texts["text_hash"] == placed["rep_hash"]) & (texts["row"] == placed["rep_row"]))
+        read.extend(r["count"] for r in met.groupBy("x", "y").count().collect())
+        return plain(texts, classes, wanted, *more)
+
+    monkeypatch.setattr(module, "links", counted)
+    got = ngram_join(frame, 4, 85, 100).collect()
+    assert len(got) == 3006 and {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+    assert max(read) < 20
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    from tidestep.llm import shingles
+
+    text = (" ".join(f"Wörd{i % 37}" for i in range(500)) + "\t" + "x" * 300 + "\n\n end").encode()
+    whole = shingles.word_hashes(text).tolist()
+    for piece in (1, 5, 64, 1000):
+        monkeypatch.setattr(shingles, "PIECE", piece)
+        assert shingles.word_hashes(text).tolist() == whole

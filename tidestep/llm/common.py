@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidestep.storage import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,6 +26,23 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def filed(docs: DataFrame) -> DataFrame:
+    """The rows as rows of files: as they are if they are read from files, else written to the shared folder and read again."""
+    try:
+        docs.select(row_of(docs)).schema  # noqa: B018
+        return docs
+    except AnalysisException:
+        at = f"{shared_dir(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
+        docs.write.parquet(at)
+        return docs.sparkSession.read.schema(docs.schema).parquet(at)
+
+
+def row_of(docs: DataFrame) -> Column:
+    """A hash of the file and place that a row stands at: the same at each reading, however the files are split."""
+    own = docs.metadataColumn("_metadata")
+    return F.xxhash64(own["file_path"], own["row_index"])
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

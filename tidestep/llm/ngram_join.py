@@ -32,6 +32,7 @@ empty table gives no row; other columns aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidestep.llm.common import sliced, texts_of
+from tidestep.llm.common import filed, row_of, sliced
 from tidestep.llm.components import components
 from tidestep.llm.shingles import mix, shingle_set
 from tidestep.storage import cut
@@ -69,15 +70,15 @@ def prefix_size(n: int, num: int, den: int) -> int:
 
 
 def profiles(docs: DataFrame, words: int) -> DataFrame:
-    """Rows (doc_id, text_hash, n, set_key, mins) of documents and (part, counts) of the shingle counts of each task."""
+    """Rows (doc_id, text_hash, row, n, set_key, mins) of documents and (part, counts) of the shingle counts of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-        names = ["doc_id", "text_hash", "n", "set_key", "mins", "part", "counts"]
+        names = ["doc_id", "text_hash", "row", "n", "set_key", "mins", "part", "counts"]
         none = lambda m, t: pa.nulls(m, t)
         for b in sliced(batches):
             sizes, keys, mins, held = [], [], [], []
-            for text in b.column(2):
+            for text in b.column(3):
                 s = shingle_set(text.as_buffer().to_pybytes(), words)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s))
@@ -86,11 +87,11 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
             if held:
                 counts += np.bincount((np.concatenate(held) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=1 << BUCKET_BITS)
             m = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(mins, pa.list_(pa.int64())), none(m, pa.int32()), none(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(mins, pa.list_(pa.int64())), none(m, pa.int32()), none(m, pa.binary())], names)
         parts = [x.tobytes() for x in np.split(counts, PARTS)]
-        yield pa.RecordBatch.from_arrays([none(PARTS, pa.int64()), none(PARTS, pa.int64()), none(PARTS, pa.int64()), none(PARTS, pa.binary()), none(PARTS, pa.list_(pa.int64())), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none(PARTS, pa.int64()), none(PARTS, pa.int64()), none(PARTS, pa.int64()), none(PARTS, pa.int64()), none(PARTS, pa.binary()), none(PARTS, pa.list_(pa.int64())), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, set_key binary, mins array<long>, part int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, row long, n long, set_key binary, mins array<long>, part int, counts binary")
 
 
 def summed_counts(profile: DataFrame) -> np.ndarray:
@@ -210,8 +211,8 @@ def tiles_of(pairs: DataFrame, leaders: DataFrame) -> DataFrame:
 
 def links(texts: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(a, b): the links within the tiles (x, y, second, cid), thinned to what connects. Each text is fetched by one join for all of its tiles."""
-    placed = wanted.join(classes.select("cid", "rep_id", "rep_hash"), "cid")
-    met = texts.join(placed, (texts["text_hash"] == placed["rep_hash"]) & texts["doc_id"].eqNullSafe(placed["rep_id"])).select("x", "y", "second", "cid", "text")
+    placed = wanted.join(classes.select("cid", "rep_row", "rep_hash"), "cid")
+    met = texts.join(placed, (texts["text_hash"] == placed["rep_hash"]) & (texts["row"] == placed["rep_row"])).select("x", "y", "second", "cid", "text")
     ordered = met.repartition("x", "y").sortWithinPartitions("x", "y", "second", "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +230,6 @@ def links(texts: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, n
                     if at:
                         yield tile()
                     at, cids, halves = (x, y), [], ([], [])
-                if halves[second] and cids[-1] == cid:  # a repeated row of one text
-                    continue
                 cids.append(cid)
                 halves[second].append(shingle_set(text.as_buffer().to_pybytes(), words))
         if at:
@@ -296,9 +295,19 @@ def columns_product(token: np.ndarray, own: Rows, num: int, den: int) -> Iterato
             yield found
 
 
-def blocks_between(spans: list[tuple[int, int, int | None]], num: int, den: int) -> list[tuple[int, int]]:
+def between(spans: list[tuple[int, int, int | None]], num: int, den: int) -> Iterator[tuple[int, int]]:
     """The pairs of a column's runs, (least size, greatest size, their component if it is one) in order of size, that may hold a link."""
-    return [(i, j) for i, (_, high, c) in enumerate(spans) for j, (low, _, d) in enumerate(spans[i:], i) if low * num <= high * den and not (c is not None and c == d)]
+    for i, (_, high, c) in enumerate(spans):
+        for j in range(i, len(spans)):
+            low, _, d = spans[j]
+            if low * num > high * den:
+                break
+            if c is None or c != d:
+                yield i, j
+
+
+def blocks_between(spans: list[tuple[int, int, int | None]], num: int, den: int) -> list[tuple[int, int]]:
+    return list(between(spans, num, den))
 
 
 def product_pairs(texts: DataFrame, classes: DataFrame, known: DataFrame, counts: np.ndarray, words: int, num: int, den: int) -> DataFrame:
@@ -312,11 +321,11 @@ def product_pairs(texts: DataFrame, classes: DataFrame, known: DataFrame, counts
                 s = shingle_set(text.as_buffer().to_pybytes(), words)
                 rare = s[np.lexsort((s, shared.value[s >> np.uint64(64 - BUCKET_BITS)]))] if len(s) else s
                 out.append(rare[: prefix_size(len(s), num, den)].view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "text_hash", "first"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], ["row", "text_hash", "first"])
 
-    made = texts.select("doc_id", "text_hash", "text").mapInArrow(prefixes, "doc_id long, text_hash long, first array<long>").filter("first is not null")
-    placed = classes.select("cid", "n", "rep_id", "rep_hash").join(known.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "rep_id", "rep_hash", F.coalesce("component", "cid").alias("comp"))
-    rows = made.join(placed, (made["text_hash"] == placed["rep_hash"]) & made["doc_id"].eqNullSafe(placed["rep_id"]))
+    made = texts.select("row", "text_hash", "text").mapInArrow(prefixes, "row long, text_hash long, first array<long>").filter("first is not null")
+    placed = classes.select("cid", "n", "rep_row", "rep_hash").join(known.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "rep_row", "rep_hash", F.coalesce("component", "cid").alias("comp"))
+    rows = made.join(placed, (made["text_hash"] == placed["rep_hash"]) & (made["row"] == placed["rep_row"]))
     incidence = rows.select("cid", "comp", F.col("n").alias("size"), F.posexplode("first").alias("pos", "token"))
     columns = incidence.select("token", "cid", "comp", F.col("size").cast("int").alias("size"), "pos").repartition("token").sortWithinPartitions("token", "size")
     names = ["kind", "a", "b", "c", "d", "e", "f", "n"]
@@ -346,9 +355,9 @@ def product_pairs(texts: DataFrame, classes: DataFrame, known: DataFrame, counts
                 if n:
                     yield run_out(tuple(c[:n] for c in own))
                 own = tuple(c[n:] for c in own)
-                ends = [(hot, run, x, y, 0, 0) for x, y in blocks_between(spans, num, den) for run in {x, y}]
-                for i in range(0, len(ends), 1 << 16):
-                    yield batch(2, tuple(zip(*ends[i : i + (1 << 16)], strict=True)))
+                pairs = between(spans, num, den)
+                while some := list(islice(pairs, 1 << 15)):
+                    yield batch(2, tuple(zip(*((hot, run, x, y, 0, 0) for x, y in some for run in {x, y}), strict=True)))
                 hot, spans = None, []
             for found in columns_product(own[0], own[1:], num, den) if len(own[0]) else ():
                 yield from (batch(0, x) for x in sums.add(found))
@@ -407,26 +416,28 @@ def product_pairs(texts: DataFrame, classes: DataFrame, known: DataFrame, counts
 
 
 def ngram_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id, kept) of every row.
+    """(doc_id, text_hash, row, n_shingles, component_id, kept) of every row.
 
-    component_id is the least doc_id of the component; kept marks the rows of the one document (doc_id, text) that stands for it.
+    component_id is the least doc_id of the component; kept marks the one row that stands for it. row is row_of() of the rows' file, so that docs that are read
+    from files can be joined to the result.
     """
-    texts = texts_of(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    profile = cut(profiles(texts.select("doc_id", "text_hash", "text"), words))
-    rows = profile.filter("part is null").select("doc_id", "text_hash", "n", "set_key", "mins")
+    docs = filed(docs)
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), row_of(docs).alias("row")).withColumn("text_hash", F.xxhash64("text"))
+    profile = cut(profiles(texts.select("doc_id", "text_hash", "row", "text"), words))
+    rows = profile.filter("part is null").select("doc_id", "text_hash", "row", "n", "set_key", "mins")
     filled = rows.filter("n > 0")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    grouped = filled.groupBy("set_key", "n", "mins").agg(F.min(order).alias("rep"))
-    classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), "set_key", "n", "mins", F.col("rep.id").alias("rep_id"), F.col("rep.hash").alias("rep_hash")))
+    order = lambda i, h, r: F.struct(F.col(i).isNull().alias("none"), F.col(i).alias("id"), F.col(h).alias("hash"), F.col(r).alias("row"))
+    grouped = filled.groupBy("set_key", "n", "mins").agg(F.min(order("doc_id", "text_hash", "row")).alias("rep"))
+    classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), "set_key", "n", "mins", F.col("rep.id").alias("rep_id"), F.col("rep.hash").alias("rep_hash"), F.col("rep.row").alias("rep_row")))
     counts = summed_counts(profile)
     leaders = leaders_of(classes)
     known = components(links(texts, classes, stars_of(leaders), words, num, den))
     across = cut(product_pairs(texts, classes, known, counts, words, num, den))
     linked = components(known.toDF("a", "b").unionByName(links(texts, classes, tiles_of(across, leaders), words, num, den)))
     placed = classes.join(linked.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    heads = placed.groupBy("component").agg(F.min(F.struct(F.col("rep_id").isNull().alias("none"), F.col("rep_id").alias("id"), F.col("rep_hash").alias("hash"))).alias("head"))
-    known = placed.join(heads, "component").select("set_key", F.col("head.id").alias("head_id"), F.col("head.hash").alias("head_hash"))
-    own = (F.col("doc_id").eqNullSafe(F.col("head_id"))) & (F.col("text_hash") == F.col("head_hash"))
+    heads = placed.groupBy("component").agg(F.min(order("rep_id", "rep_hash", "rep_row")).alias("head"))
+    known = placed.join(heads, "component").select("set_key", F.col("head.id").alias("head_id"), F.col("head.hash").alias("head_hash"), F.col("head.row").alias("head_row"))
+    own = (F.col("row") == F.col("head_row")) & (F.col("text_hash") == F.col("head_hash"))
     out = rows.join(known, "set_key", "left")
     alone = F.col("n") == 0
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("head_id")).alias("component_id"), (alone | own).alias("kept"))
+    return out.select("doc_id", "text_hash", "row", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("head_id")).alias("component_id"), (alone | F.coalesce(own, F.lit(False))).alias("kept"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 
+#: Bytes of a text that are hashed at once.
+PIECE = 1 << 20
+_GAP = re.compile(rb"[\x09-\x0d\x20]")
 _seeded = np.random.default_rng(20_011)
 #: A random number for every byte, A-Z as a-z.
 _BYTE = _seeded.integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -38,7 +42,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A hash of each word: runs of bytes other than white space, A-Z as a-z."""
+    """A hash of each word: runs of bytes other than white space, A-Z as a-z. Long texts go in pieces cut between words."""
+    if len(text) <= PIECE:
+        return _hashes(text)
+    found, at = [], 0
+    while at < len(text):
+        gap = _GAP.search(text, at + PIECE)
+        end = gap.start() if gap else len(text)
+        found.append(_hashes(text[at:end]))
+        at = end
+    return np.concatenate(found)
+
+
+def _hashes(text: bytes) -> np.ndarray:
     raw = np.frombuffer(b" " + text + b" ", dtype=np.uint8)
     space = _SPACE[raw]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
