@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidestep.llm.common import columns_of, fresh, table
+from tidestep.llm.common import columns_of, filed, fresh, row_of, table
 from tidestep.llm.decontaminate import without_items
 from tidestep.llm.language_id import fold, kept_by_language, train
 from tidestep.llm.ngram_join import ngram_join
@@ -35,15 +35,13 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents that share at least 0.8 of their five-word shingles, the one of the least doc_id stays.
 
-    The chosen rows are known by id and text; of exact repetitions of such a row one stays.
+    The chosen rows are known by their place in the files that docs are read from, so of exact repetitions one stays, and no key gathers them.
     """
-    keys = fresh(docs, "id", "null", "hash")
-    keyed = lambda df, text_hash: df.withColumns(dict(zip(keys, (F.coalesce(df["doc_id"], F.lit(0)), df["doc_id"].isNull(), text_hash), strict=True)))
-    marked = ngram_join(docs, words=5, num=80, den=100).filter("kept")
-    marked = keyed(marked, marked["text_hash"]).select(*keys).distinct()
-    own = keyed(docs, F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    # one shuffle by these keys serves the join and the removal of repetitions
-    return own.join(marked, keys, "left_semi").dropDuplicates(keys).select(*columns_of(docs.columns))
+    docs = filed(docs)
+    keys = fresh(docs, "at", "hash")
+    kept = ngram_join(docs, words=5, num=80, den=100).filter("kept").select(F.col("row").alias(keys[0]), F.col("text_hash").alias(keys[1]))
+    own = docs.withColumns({keys[0]: row_of(docs), keys[1]: F.xxhash64(F.coalesce(docs["text"], F.lit("")))})
+    return own.join(kept, keys, "left_semi").select(*columns_of(docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
