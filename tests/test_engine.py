@@ -379,3 +379,45 @@ def test_stages_of_a_config():
     assert [s.name for s in ordered(made)] == ["a", "a2", "b", "late"]
     assert unmet_labels([System("s1", lambda: None, P.A, requires=("x",)), System("s2", lambda: None, P.B, requires=("x",)), System("has", lambda: None, P.A, labels=("x",))]) == [("s2", "x")]
     set_namespace(Q, 0)
+
+
+def test_batches_on_the_wire():
+    """Whole batches as the values one by one, with nulls and slices of larger batches."""
+    import pyarrow as pa
+
+    kinds = {
+        "f32": (pa.float32(), [1.5, None, -2.0]), "f64": (pa.float64(), [1e300, None, 0.1]), "i32": (pa.int32(), [-1, None, 7]), "i64": (pa.int64(), [None, -(2**40), 3]),
+        "u32": (pa.int64(), [2**32 - 1, 0, None]), "u64": (pa.decimal128(20, 0), [2**64 - 1, None, 5]), "bool": (pa.bool_(), [True, None, False]), "f64x3": (pa.list_(pa.float64()), [[1.0, 2.0, 3.0], None, [0.0, 0.5, 9.0]]),
+        "vec_f64": (pa.list_(pa.float64()), [[], None, [1.0, 2.5]]), "string": (pa.string(), ["naïve", None, ""]),
+    }
+    for kind, (arrow, values) in kinds.items():
+        for given in (pa.array(values, arrow), pa.array([*values, *values], arrow).slice(2, 3), pa.array([], arrow)):
+            sent = wire.encode(kind, given)
+            assert sent.to_pylist() == [wire.pack(kind, v) for v in given.to_pylist()]
+            for raw in (sent, pa.concat_arrays([sent, sent]).slice(1, len(sent))):
+                assert wire.decode(kind, raw).to_pylist() == [wire.unpack(kind, b) for b in raw.to_pylist()]
+
+
+def test_a_schedule_is_organised_and_drawn_once_a_setup(tmp_path, caplog):
+    seen = []
+    s = Scheduler(World(), warnings_of=lambda phases: ["careful"], dot_path=str(tmp_path / "schedule.dot")).add(logged(seen, "a"))
+    with caplog.at_level("INFO"):
+        s.start(1)
+    assert seen == ["a"] and "digraph" in (tmp_path / "schedule.dot").read_text()
+    assert [r.message for r in caplog.records].count("careful") == 1
+
+
+def test_generated_configuration_is_printed(capsys):
+    class Named(Plugin):
+        is_unique = False
+
+        def __init__(self, name, text):
+            self.name, self.default_config = name, text
+
+        def build(self, app):
+            pass
+
+    app = App().add_plugins(Named("a", "[a]\nx = 1\n\n"), Named("b", "\n[b]"))
+    app.generate_config = True
+    app.start()
+    assert "[a]\nx = 1\n\n[b]\n" in capsys.readouterr().out

@@ -17,13 +17,14 @@ def all_reduce(df: DataFrame, rank: str, sums: dict[str, str], mins: dict[str, s
 
 
 def halo_exchange(values: DataFrame, rank: str, value: str, neighbours: dict[str, int]) -> DataFrame:
-    """(rank, one column for each neighbour, at its offset); null where there is none. One join by rank serves all neighbours."""
-    sent = [values.select((F.col(rank) - offset).alias("__to"), F.lit(name).alias("__name"), F.col(value).alias("__value")) for name, offset in neighbours.items()]
-    both = sent[0]
-    for s in sent[1:]:
-        both = both.unionByName(s)
-    received = both.groupBy("__to").pivot("__name", list(neighbours)).agg(F.first("__value"))
-    return values.select(rank).join(received, F.col(rank) == F.col("__to"), "left").select(rank, *neighbours)
+    """(rank, one column for each neighbour, at its offset); null where there is none. Values are read once: each goes to itself and to those that it is a neighbour of, and ranks meet in one aggregation."""
+    kind = dict(values.dtypes)[value]
+    to = lambda offset, name, v: F.struct((F.col(rank) - offset).cast("long").alias("to"), F.lit(name).alias("name"), v.alias("v"))
+    own = to(0, "", F.lit(None).cast(kind))
+    sent = values.select(F.inline(F.array(own, *(to(offset, name, F.col(value)) for name, offset in neighbours.items()))))
+    at = lambda name: F.max(F.when(F.col("name") == name, F.struct("v")))["v"].alias(name)
+    met = sent.groupBy("to").agg(F.bool_or(F.col("name") == "").alias("there"), *(at(name) for name in neighbours))
+    return met.filter("there").select(F.col("to").cast(dict(values.dtypes)[rank]).alias(rank), *neighbours)
 
 
 def exchanged(edges: DataFrame, payload: str, room: str, rank: str = "rank", slot: str = "slot", to: str = "to_rank", source: str = "from_rank") -> DataFrame:

@@ -150,7 +150,8 @@ class App:
 
     def start(self, most_steps: int | None = None) -> App:
         if self.generate_config:
-            self.printed = "\n\n".join(self.snippets)
+            self.printed = "\n\n".join(x.strip() for x in self.snippets)
+            print(f"# The defaults of all plugins\n\n{self.printed}\n")
             self.cleanup()
             return self
         self.validate_contracts()

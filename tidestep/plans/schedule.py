@@ -294,6 +294,10 @@ class Scheduler:
 
     def prepare(self) -> None:
         self.organise()
+        if self.dot_path:
+            with open(self.dot_path, "w") as f:
+                f.write(self.dot(self.stage_names))
+            LOG.info(self.printed())
         for s in self.setup:
             self._call(s)
         if self.control.state is State.SETUP:
@@ -301,11 +305,6 @@ class Scheduler:
 
     def start(self, most_steps: int | None = None) -> None:
         """Setup and steps until a system ends the run; a change of stage sets up again. The report of timings is logged at the end."""
-        if self.dot_path:
-            self.organise()
-            with open(self.dot_path, "w") as f:
-                f.write(self.dot(self.stage_names))
-            LOG.info(self.printed())
         while self.control.state is not State.END:
             if self.control.state is State.SETUP:
                 self.prepare()

@@ -26,9 +26,10 @@ class DumpConfig:
     path_template: str = "frame_{step:06}.bin"
 
 
-def write_frames(df: DataFrame, path: str, step: str = "step", mode: str = "error") -> None:
-    """One folder per step; rows are gathered by step first, so each step is a few files."""
-    df.repartition(step).write.mode(mode).partitionBy(step).parquet(path)
+def write_frames(df: DataFrame, path: str, step: str = "step", mode: str = "error", parts: int = 8) -> None:
+    """One folder per step; a step's rows are dealt in turns over so many tasks, so each step is a few files and none is one task's alone."""
+    dealt = df.repartition(F.col(step), F.pmod(F.monotonically_increasing_id(), F.lit(parts)))
+    dealt.write.mode(mode).partitionBy(step).parquet(path)
 
 
 def due(df: DataFrame, config: DumpConfig, step: str = "step") -> DataFrame | None:

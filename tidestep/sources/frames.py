@@ -164,7 +164,7 @@ def write_steps(df: DataFrame, path: str, mode: str = "append", parts: int = 8)
     from pyspark.sql import functions as F
 
     df.sparkSession.dataSource.register(StepFrames)
-    dealt = df.repartition(F.col(STEP), F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+    dealt = df.repartition(F.col(STEP), F.pmod(F.monotonically_increasing_id(), F.lit(parts)))
     dealt.write.format("step_frames").mode(mode).option("path", path).save()
 
 
