@@ -138,6 +138,15 @@ def test_delta_loop_at_its_limit(spark, most):
     assert halved(OnMax.ACCEPT).run(frame.limit(0)).count() == 0
 
 
+def test_a_recursive_plan_is_the_same_loop(spark):
+    from tidestep.plans.delta import recursive
+
+    frame = spark.range(1, 300).select("id", F.col("id").alias("x"), F.lit("s").alias("odd name"))
+    for most in (4, 20):
+        loop = DeltaLoop(lambda f: f.withColumn("x", F.floor(F.col("x") / 2)), F.col("x") < 1, most)
+        assert sorted(map(tuple, recursive(frame, {"x": "floor(x / 2)"}, "x < 1", most).collect())) == sorted(map(tuple, loop.run(frame).collect()))
+
+
 class Step(Enum):
     A = 0
 

@@ -62,3 +62,20 @@ class DeltaLoop:
             raise ValueError("a rollback needs a key")
         left = result.filter("not converged").select(*key, "iterations", "converged")
         return result.filter("converged").unionByName(df.join(left, key).select(*result.columns))
+
+
+def recursive(df: DataFrame, step: dict[str, str], done: str, most: int) -> DataFrame:
+    """The same loop as one plan, a recursive common table: `step` gives columns as SQL of the row before, `done` is asked of the row after it.
+
+    Rows with `iterations` and `converged`; open rows at the limit come out as they are then. Spark runs a job a round and keeps all rounds' rows, so this suits
+    frames whose rounds are small; its limit on the rows of all rounds is lifted for the session.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    quoted = {c: f"`{c.replace('`', '``')}`" for c in df.columns}
+    made = ", ".join(f"CAST({step.get(c, q)} AS {t}) AS {q}" for (c, t), q in zip(df.dtypes, quoted.values(), strict=True))
+    text = f"""WITH RECURSIVE loop MAX RECURSION LEVEL {most + 1} AS (
+      SELECT {made}, 1 AS iterations FROM {{src}}
+      UNION ALL SELECT {made}, iterations + 1 FROM loop WHERE NOT coalesce({done}, false) AND iterations < {most})
+    SELECT *, coalesce({done}, false) AS converged FROM loop WHERE coalesce({done}, false) OR iterations = {most}"""
+    return spark.sql(text, src=df)

@@ -18,7 +18,7 @@ from tidestep.plans import conditions as when
 from tidestep.plans.app import App, ContractError, FunctionPlugin, Plugin, PluginGroup, StatesPlugin
 from tidestep.plans.coherence import Coherence
 from tidestep.plans.coupling import Mirror, Multi, OuterIterations
-from tidestep.plans.delta import DeltaLoop
+from tidestep.plans.delta import DeltaLoop, recursive
 from tidestep.plans.ordering import OrderError, chain_namespaces, ordered
 from tidestep.plans.schedule import Group, NotConverged, OnMax, Phase, Scheduler, State, branch, loop_until, loop_while, sequence
 from tidestep.plans.states import StateMachine, check_stage_advance
@@ -353,6 +353,12 @@ def delta_halving(spark, d):
     return loop.run(prices(spark, d)).select("o_orderkey", "x", F.col("iterations").alias("iters"), "converged")
 
 
+@query(OWN_LOOP.format(most=20) + " SELECT o_orderkey, x, n AS iters, x < 1000 AS converged FROM it WHERE x < 1000 OR n = 20")
+def recursive_halving(spark, d):
+    """The same loop as one recursive plan."""
+    return recursive(prices(spark, d), {"x": "x / 2"}, "x < 1000", 20).select("o_orderkey", "x", F.col("iterations").alias("iters"), "converged")
+
+
 @query(OWN_LOOP.format(most=6) + " SELECT i.o_orderkey, CASE WHEN x < 1000 THEN x ELSE o_totalprice END AS x, n AS iters, x < 1000 AS converged FROM it i JOIN orders o ON o.o_orderkey = i.o_orderkey WHERE x < 1000 OR n = 6")
 def delta_rollback(spark, d):
     """Orders that six rounds don't bring below 1000 come out as they went in."""
