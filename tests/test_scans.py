@@ -174,7 +174,7 @@ TREES = st.recursive(st.integers(0, 9), lambda inner: st.dictionaries(NAMES, inn
 DOCS = st.lists(st.dictionaries(NAMES, TREES, min_size=1, max_size=3), min_size=1, max_size=5)
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(st.lists(DOCS, min_size=1, max_size=4))
 def test_folding_is_merging_one_after_another(spark, owners):
     rows = [(k, n, json.dumps(doc)) for k, docs in enumerate(owners) for n, doc in enumerate(docs)]
