@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def unprovided(required: DataFrame, provided: DataFrame, on: str) -> DataFrame:
+def unprovided(required: DataFrame, provided: DataFrame, on: str | list[str]) -> DataFrame:
     return required.join(provided.select(on), on, "left_anti")
 
 

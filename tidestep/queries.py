@@ -163,11 +163,11 @@ def topo_order(spark, d):
     return levels(events.select("event_id"), edges, "event_id")
 
 
-@query("SELECT event_id, user_id FROM events r WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events h WHERE h.event_type = 'signup' AND h.user_id = r.user_id)")
+@query("SELECT event_id, user_id FROM events r WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events h WHERE h.event_type = 'signup' AND h.user_id = r.user_id AND CAST(h.ts AS DATE) = CAST(r.ts AS DATE))")
 def requires_label(spark, d):
-    """A purchase requires a system labelled signup in its own group, the user."""
-    events = table(spark, d, "events").select("event_id", "user_id", "event_type")
-    return registry.unprovided(events.filter("event_type = 'purchase'"), events.filter("event_type = 'signup'").distinct(), "user_id").select("event_id", "user_id")
+    """A purchase requires a system labelled signup in its own group, the user's day."""
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"))
+    return registry.unprovided(events.filter("event_type = 'purchase'"), events.filter("event_type = 'signup'"), ["user_id", "day"]).select("event_id", "user_id")
 
 
 @query("SELECT doc_id AS sys, doc_id AS res FROM documents WHERE lang <> 'en' AND doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -553,11 +553,11 @@ def ordered_dependencies(spark, d):
     return registry.unordered_dependencies(deps, events.select(F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("name"), F.col("event_id").alias("pos")))
 
 
-@query("SELECT c_nationkey AS cap, c_custkey AS plugin FROM customer ANTI JOIN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0) s ON c_nationkey = s_nationkey")
+@query("SELECT c_nationkey AS cap, c_custkey AS plugin FROM customer ANTI JOIN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000) s ON c_nationkey = s_nationkey")
 def capability_contracts(spark, d):
-    """Customers require a solvent supplier of their nation."""
+    """Customers require a rich supplier of their nation."""
     required = table(spark, d, "customer").select(F.col("c_nationkey").alias("cap"), F.col("c_custkey").alias("plugin"))
-    return registry.unprovided(required, table(spark, d, "supplier").filter("s_acctbal > 0").select(F.col("s_nationkey").alias("cap")), "cap")
+    return registry.unprovided(required, table(spark, d, "supplier").filter("s_acctbal > 8000").select(F.col("s_nationkey").alias("cap")), "cap")
 
 
 class Named(Plugin):
