@@ -200,6 +200,13 @@ def test_tombstones_and_texts_that_say_nothing(spark):
         folded(spark.createDataFrame(deep, "k int, n int, doc string"), "k", ["n"], "doc")
 
 
+def test_numbers_keep_their_fraction(spark):
+    rows = [(1, 1, '{"a": 2.0, "b": {"c": 10.50, "d": -0.0, "e": 0.0, "h": 1.00000000000000000001}, "f": [3.0, "x 1.0", "\\\\" , {"y": 4.10}], "g": "7.0"}'), (2, 1, '{"a": 2.5}'), (2, 2, '{"a": 120}'), (3, 1, '{"it\'s [0]": 1234567890123456}')]
+    got = {(r.k, r.path): r.value for r in folded(spark.createDataFrame(rows, "k int, n int, doc string"), "k", ["n"], "doc").collect()}
+    own = {"a": "2.0", "b.c": "10.5", "b.d": "-0.0", "b.e": "0.0", "b.h": "1.00000000000000000001", "f": '[3.0,"x 1.0","\\\\",{"y":4.1}]', "g": '"7.0"'}
+    assert got == {(1, p): v for p, v in own.items()} | {(2, "a"): "120", (3, "it's [0]"): "1234567890123456"}
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.dictionaries(NAMES, TREES, max_size=3), st.dictionaries(NAMES, TREES, max_size=3))
 def test_overlaid_paths_are_the_merged_tree(spark, base, over):

@@ -3,6 +3,8 @@
 Deep merging one document over another replaces a value by a value, a table by a value, and a value by a table, and merges tables. A fold of any
 number of documents needs no walk through them: a leaf stays unless a later document of its key writes the same path, a table that it
 stands in (as a value), or something below it. A JSON null is a tombstone: it removes what is at or below its path, and says nothing itself.
+
+A VARIANT holds 2.0 as 2 and -0.0 as 0; a number that was written with a fraction keeps one here, also in arrays, which are read from the text for it.
 """
 
 from __future__ import annotations
@@ -12,9 +14,9 @@ from pyspark.sql import functions as F
 
 
 def _entered(tables: DataFrame) -> DataFrame:
-    """(owner, at, path, v): the members of each table."""
-    inside = tables.lateralJoin(tables.sparkSession.tvf.variant_explode(F.col("v").outer()))
-    return inside.select("owner", "at", F.concat("path", F.array("key")).alias("path"), F.col("value").alias("v"))
+    """(owner, at, path, v, text): the members of each table."""
+    inside = tables.withColumn("texts", F.when(F.col("text").rlike(r"\[|-0"), F.from_json("text", "map<string, string>"))).lateralJoin(tables.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    return inside.select("owner", "at", F.concat("path", F.array("key")).alias("path"), F.col("value").alias("v"), F.try_element_at("texts", F.col("key")).alias("text"))
 
 
 def leaves_of(docs: DataFrame, key: str, order: list[str], doc: str, deepest: int = 32) -> DataFrame:
@@ -23,7 +25,16 @@ def leaves_of(docs: DataFrame, key: str, order: list[str], doc: str, deepest: in
     Texts that aren't JSON, or no table, say nothing, nor do rows without a key; tables nested deeper than `deepest` raise ValueError.
     """
     table = F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False))
-    level = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("owner"), F.struct(*order).alias("at"), F.array().cast("array<string>").alias("path"), F.try_parse_json(F.col(doc)).alias("v")).filter(table)
+    level = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("owner"), F.struct(*order).alias("at"), F.array().cast("array<string>").alias("path"), F.try_parse_json(F.col(doc)).alias("v"), F.col(doc).alias("text")).filter(table)
+    kind = F.schema_of_variant("v")
+    plain = F.to_json("v")
+    bare = F.regexp_replace("text", r'("(?:[^"\\]++|\\.)*+")|\s+', "$1")
+    written = (
+        F.when(kind.startswith("ARRAY"), F.coalesce(bare, plain))
+        .when(kind.startswith("DECIMAL") & (plain == "0"), F.coalesce("text", F.lit("0.0")))
+        .when(kind.startswith("DECIMAL") & ~F.contains(plain, F.lit(".")), F.concat(plain, F.lit(".0")))
+        .otherwise(plain)
+    )
     every: DataFrame | None = None
     for _ in range(deepest + 1):
         members = _entered(level)
@@ -31,7 +42,7 @@ def leaves_of(docs: DataFrame, key: str, order: list[str], doc: str, deepest: in
         every = own if every is None else every.unionByName(own)
         level = members.filter(table)
         if level.isEmpty():
-            return every.select(F.col("owner").alias(key), "at", "path", F.when(~F.is_variant_null("v"), F.to_json("v")).alias("value"))
+            return every.select(F.col("owner").alias(key), "at", "path", F.when(~F.is_variant_null("v"), written).alias("value"))
     raise ValueError(f"tables are nested deeper than {deepest}")
 
 
