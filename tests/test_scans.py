@@ -270,3 +270,11 @@ def test_arrays_of_tables_in_texts(spark):
 
     texts = spark.createDataFrame([(1, "[[f]]\nx = 2\n[[f]]\ny = 's'\n"), (2, None), (3, "z = 1")], "k int, t string")
     assert [tuple(r) for r in parsed_arrays(texts, "k", "t", "f", "x long, y string").orderBy("i").collect()] == [(1, 0, 2, None), (1, 1, None, "s")]
+
+
+def test_timing_table_weighs_every_line(spark, sf):
+    from tidestep import queries as engine
+
+    told = engine.QUERIES["timing_table"](spark, sf).collect()
+    assert sum(r.t for r in told) == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert abs(sum(r.pct for r in told) - 1) < 1e-9
