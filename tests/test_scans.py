@@ -278,3 +278,24 @@ def test_timing_table_weighs_every_line(spark, sf):
     told = engine.QUERIES["timing_table"](spark, sf).collect()
     assert sum(r.t for r in told) == spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert abs(sum(r.pct for r in told) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("bits", [2, 17])
+def test_levels_of_a_long_path_are_few_rounds(spark, bits):
+    """Two thousand levels within one block are one round; in small blocks a random graph has the same levels."""
+    from tidestep.operators.topology import levels
+
+    n = 2000 if bits == 17 else 30
+    draw = random.Random(bits)
+    edges = {(i, i + 1) for i in range(n - 1)} if bits == 17 else {tuple(sorted(draw.sample(range(n), 2))) for _ in range(60)}
+    want = [0] * n
+    for a, b in sorted(edges):
+        want[b] = max(want[b], want[a] + 1)
+    spark.sparkContext.setJobGroup(f"levels{bits}", "")
+    nodes = spark.range(n).withColumn("near", (F.col("id") / 1000).cast("int") * 0)
+    got = {r.id: r.level for r in levels(nodes, spark.createDataFrame(sorted(edges), "before long, after long"), "id", near="near", block_bits=bits).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"levels{bits}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == dict(enumerate(want))
+    assert bits != 17 or jobs < 200
+    assert {r.n: r.level for r in levels(spark.createDataFrame([(None,), (1,), (2,)], "n int"), spark.createDataFrame([(1, 2), (None, 1)], "before int, after int"), "n").collect()} == {None: 0, 1: 0, 2: 1}
