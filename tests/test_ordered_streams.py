@@ -66,6 +66,17 @@ def test_idle_machines_leave_the_state_store(spark, events):
     assert held[60_000] < held[None]
 
 
+def test_many_keys_share_rows_of_state(spark):
+    from tidestep.streaming.ordered import files_of_batch
+
+    many = spark.range(3000).selectExpr("id AS event_id", "id % 1500 AS user_id", "'error' AS event_type", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id AS int), 0) AS ts")
+    stream, late = arrivals(many, 1)
+    told, rows = _with_progress(spark, machine_rows(stream, late, "init", ["signup"], "error", 3))
+    assert told.count() == 3000 and told.filter("entered").count() == 1500
+    assert 0 < rows < 1500
+    assert files_of_batch(10, 5) == 1 and files_of_batch(6_000_000, 5) == 5
+
+
 def _with_progress(spark, query):
     """(result, rows of state at the end)."""
     import tempfile
