@@ -153,6 +153,57 @@ def test_many_near_copies_make_few_rows(spark, monkeypatch):
     assert tiles.count() < n and pairs.count() < n
 
 
+def test_near_misses_make_few_rows(spark, monkeypatch):
+    """Near copies of one template of which no two link, though each pair shares first shingles: their pairs aren't written."""
+    rng, n = np.random.default_rng(4), 1_500
+    template = [f"w{i}" for i in range(160)]
+    texts = []
+    for i in range(n):
+        now = list(template)
+        for k in rng.choice(np.arange(1, 31), 4, replace=False) * 5:
+            now[k] = f"x{i}n{k}"
+        texts.append(" ".join(now))
+    made, plain = [], module.cut
+
+    def counted(df):
+        out = plain(df)
+        if out.columns[0] == "kind":
+            made.append(out.filter("kind = 0").count())
+        return out
+
+    monkeypatch.setattr(module, "cut", counted)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in ngram_join(frame, 4, 85, 100).collect()}
+    own = [np.unique(shingle_set(t.encode(), 4)) for t in texts[:60]]
+    assert all(100 * (x := len(np.intersect1d(u, v))) < 85 * (len(u) + len(v) - x) for u, v in combinations(own, 2))
+    assert got == {i: i for i in range(n)}
+    assert sum(made) < n
+
+
+def test_the_rest_of_a_group_meets_all_of_it(spark):
+    """Ten classes that no head linked meet every class of their group; without any there is no tile."""
+    leaders = spark.createDataFrame([(7, i, 0) for i in range(1000)] + [(2000, 2000 + i, 0) for i in range(20)], "lead long, cid long, place int")
+    known = spark.createDataFrame([(i, 0) for i in range(990)], "node long, component long")
+    rows = module.rest_of(leaders, known).collect()
+    tiles = {}
+    for r in rows:
+        tiles.setdefault((r.x, r.y), (set(), set()))[r.second].add(r.cid)
+    assert {(a, b) for x, y in tiles.values() for a in x for b in y} == {(a, b) for a in range(1000) for b in range(990, 1000)}
+    assert max(len(x) + len(y) for x, y in tiles.values()) < 3 * module.STAR and len(rows) < 1200
+    assert module.rest_of(leaders, spark.createDataFrame([(i, 0) for i in range(1000)], known.schema)).count() == 0
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(6)
+    own = [np.unique(rng.integers(0, 3000, int(m)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for m in rng.integers(1, 2500, 40)]
+    marks = module.marks_array([*(module.marks_of(s) for s in own), None])
+    x, y = np.triu_indices(41, 1)
+    for i, j, least in zip(x, y, module.unlike(marks, x, y), strict=True):
+        assert least <= (len(np.setxor1d(own[i], own[j])) if j < 40 else 0)
+    few = module.marks_array([module.marks_of(own[0]), module.marks_of(np.unique(np.r_[own[0], np.uint64(1), np.uint64(2)]))])
+    assert module.unlike(few, np.array([0]), np.array([1])).tolist() == [2]
+
+
 def test_bounds():
     for a in range(1, 40):
         for b in range(1, 40):

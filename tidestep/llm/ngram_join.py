@@ -9,10 +9,12 @@ document's class and component, which lose no link between different texts:
 2. A group of near copies is thinned first: a class belongs to the groups of at most LEADS leaders (the most central
    of the classes that share several of a few min-hashes with it). A group of at most STAR classes is multiplied with itself, a larger one
    with HEADS of its rows, so a group of m classes makes about HEADS * m products and not m*m. Classes that link are one component from here on.
+   The u classes of a large group that stay outside its largest component are multiplied once more, with about HEADS * m / u of its rows.
 3. The product makes the result whole between components. Of each class only the first shingles by the global order are kept,
    so many that a linked pair must share one. The incidence is dealt in blocks by shingle; a block multiplies each column
-   with itself, between classes of different components. It discards pairs by the sizes of their sets and by the positions of
-   the shared shingle. A column of more than COLUMN classes is streamed out in runs of sizes, and each pair of runs whose sizes may
+   with itself, between classes of different components. It discards pairs by the sizes of their sets, by the positions of
+   the shared shingle, and, between classes of large groups, by MARKS parities of their sets: as many as differ, so many shingles at least
+   are in one set only. A column of more than COLUMN classes is streamed out in runs of sizes, and each pair of runs whose sizes may
    link is a block of its own. The overlap counts of a pair from all blocks are added up, and the pair is discarded if they
    and what may follow stay below the overlap that the sizes ask for.
 4. What is left is decided by the product of whole rows, in tiles of at most 2 * TILE classes whose overlap counts add up over
@@ -20,8 +22,8 @@ document's class and component, which lose no link between different texts:
    pairs it is in, discards pairs below the overlap that their sizes ask for, and gives at most an edge for each class.
 5. Components are found by star contraction.
 
-What grows faster than the input is the number of pairs of different components that share a first shingle and that sizes and positions
-don't discard, i.e. of near misses: k of them in one group come to k*k/2 rows of numbers in step 3 and k*k/TILE texts in step 4.
+What grows faster than the input is the number of pairs of different components that share a first shingle and that sizes, positions and parities
+don't discard, i.e. of the closest near misses: k of them in one group come to k*k/2 rows of numbers in step 3 and k*k/TILE texts in step 4.
 
 Defined cases: a text that is null, empty or of white space has no shingle and links with nothing, not even with copies
 of itself; a very long text is one set, held by one task at a time; repeated rows are linked copies; a null doc_id is passed over when the least doc_id of a
@@ -54,6 +56,8 @@ SALTS = 8
 LEADS, HEADS, STAR = 2, 64, 128
 #: The classes in one block of a column, the side of a tile, the shingles that a tile multiplies at once, and the members of a column that is done pair by pair.
 COLUMN, TILE, COLUMNS, FEW = 1024, 128, 1 << 13, 8
+#: The parities that stand for a set of a large group, and the pairs for which they are compared at once.
+MARKS, COMPARED = 1024, 1 << 14
 #: The pairs whose overlap counts a task adds up before it hands them on.
 MOST_SUMS = 1 << 19
 _MIN_SEEDS = np.random.default_rng(77).integers(1, 1 << 63, MINS, dtype=np.uint64) | np.uint64(1)
@@ -125,7 +129,7 @@ def leaders_of(classes: DataFrame) -> DataFrame:
     return cut(ranked.select("cid", F.posexplode("best").alias("place", "best")).select((-F.col("best.lead")).alias("lead"), "cid", "place"))
 
 
-Rows = tuple[np.ndarray, ...]  # class, component, size of its set, position of the token in its order
+Rows = tuple[np.ndarray, ...]  # class, component, size of its set, position of the token in its order; if at hand, the parities of the set (none: zeros)
 
 
 class Forest:
@@ -196,6 +200,27 @@ def stars_of(leaders: DataFrame) -> DataFrame:
     return members.unionByName(heads).select(F.col("lead").alias("x"), F.when(F.col("parts") > 1, F.xxhash64("lead", "part")).otherwise(F.col("lead")).alias("y"), "second", "cid")
 
 
+def crowds_of(leaders: DataFrame) -> DataFrame:
+    """(lead, m): the groups of more than STAR classes."""
+    return leaders.groupBy("lead").agg(F.count("*").alias("m")).filter(F.col("m") > STAR)
+
+
+def rest_of(leaders: DataFrame, known: DataFrame) -> DataFrame:
+    """(x, y, second, cid): of each large group the u classes outside its largest component, in tiles with about HEADS * m / u of its m classes, all if u is at most HEADS."""
+    of = known.withColumnRenamed("node", "cid")
+    placed = leaders.join(crowds_of(leaders), "lead").join(of, "cid", "left").select("lead", "cid", F.coalesce("component", "cid").alias("component"))
+    sizes = placed.groupBy("lead", "component").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("lead").agg(F.max(F.struct("k", "component")).alias("main"), F.sum("k").alias("m"))
+    parts = lambda n: F.ceil(n / STAR).cast("int")
+    left = main.select("lead", F.col("main.component").alias("main"), (F.col("m") - F.col("main.k")).alias("u"), "m").filter("u > 0").withColumns({"left_parts": parts(F.col("u")), "head_parts": parts(F.col("m") * F.least(F.lit(1), HEADS / F.col("u")))})
+    own = placed.join(left, "lead")
+    part = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = own.filter("component <> main").select("lead", part("left_parts").alias("i"), every("head_parts").alias("j"), F.lit(True).alias("second"), "cid")
+    heads = own.filter(F.pmod(F.xxhash64("cid", F.lit(2)), F.col("u")) < HEADS).select("lead", every("left_parts").alias("i"), part("head_parts").alias("j"), F.lit(False).alias("second"), "cid")
+    return outside.unionByName(heads).select(F.col("lead").alias("x"), F.xxhash64("lead", "i", "j").alias("y"), "second", "cid")
+
+
 def tiles_of(pairs: DataFrame, leaders: DataFrame) -> DataFrame:
     """(x, y, second, cid): the classes of the pairs in tiles. A block holds about TILE classes of one group (of those that agree most with one leader), and a tile the classes of two blocks that some pair asks for."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
@@ -270,12 +295,38 @@ class Sums:
         self.found, self.n = [], 0
 
 
+def marks_of(s: np.ndarray) -> bytes:
+    """Of how many shingles of a set fall to each of MARKS numbers, whether it is odd."""
+    return np.packbits(np.bincount((s & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1).tobytes()
+
+
+def marks_array(marks: list[bytes | None]) -> np.ndarray:
+    out = np.zeros((len(marks), MARKS // 64), dtype=np.uint64)
+    given = [i for i, x in enumerate(marks) if x is not None]
+    out[given] = np.frombuffer(b"".join(marks[i] for i in given), dtype=np.uint64).reshape(-1, MARKS // 64)
+    return out
+
+
+def unlike(marks: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least size of the difference of the sets of rows x and y: a shingle changes one parity. 0 where parities aren't at hand."""
+    given = marks.any(axis=1)
+    out = np.zeros(len(x), dtype=np.int64)
+    both = np.flatnonzero(given[x] & given[y])
+    for at in range(0, len(both), COMPARED):
+        some = both[at : at + COMPARED]
+        out[some] = np.bitwise_count(marks[x[some]] ^ marks[y[some]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def met_rows(own: Rows, x: np.ndarray, y: np.ndarray, num: int, den: int) -> Rows | None:
     """(a, b, size and position of either, 1) of the pairs of rows x and y that may link."""
-    cid, comp, size, pos = own
+    cid, comp, size, pos, *marks = own
     most = np.minimum(size[x] - pos[x], size[y] - pos[y])
     ok = (comp[x] != comp[y]) & (most >= least_overlap(size[x], size[y], num, den))
     x, y = x[ok], y[ok]
+    if marks:
+        ok = (size[x] + size[y] - unlike(marks[0], x, y)) // 2 >= least_overlap(size[x], size[y], num, den)
+        x, y = x[ok], y[ok]
     if not len(x):
         return None
     x, y = np.where(cid[x] > cid[y], y, x), np.where(cid[x] > cid[y], x, y)
@@ -310,30 +361,35 @@ def blocks_between(spans: list[tuple[int, int, int | None]], num: int, den: int)
     return list(between(spans, num, den))
 
 
-def product_pairs(texts: DataFrame, classes: DataFrame, known: DataFrame, counts: np.ndarray, words: int, num: int, den: int) -> DataFrame:
+def product_pairs(texts: DataFrame, classes: DataFrame, known: DataFrame, leaders: DataFrame, counts: np.ndarray, words: int, num: int, den: int) -> DataFrame:
     """(a, b): the pairs of classes of different components (known: node, component) that the product can't discard."""
     shared = texts.sparkSession.sparkContext.broadcast(counts)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            out = []
+            out, marks = [], []
             for text in b.column(2):
                 s = shingle_set(text.as_buffer().to_pybytes(), words)
                 rare = s[np.lexsort((s, shared.value[s >> np.uint64(64 - BUCKET_BITS)]))] if len(s) else s
                 out.append(rare[: prefix_size(len(s), num, den)].view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], ["row", "text_hash", "first"])
+                marks.append(marks_of(s))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["row", "text_hash", "first", "marks"])
 
-    made = texts.select("row", "text_hash", "text").mapInArrow(prefixes, "row long, text_hash long, first array<long>").filter("first is not null")
-    placed = classes.select("cid", "n", "rep_row", "rep_hash").join(known.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "rep_row", "rep_hash", F.coalesce("component", "cid").alias("comp"))
+    made = texts.select("row", "text_hash", "text").mapInArrow(prefixes, "row long, text_hash long, first array<long>, marks binary").filter("first is not null")
+    crowded = leaders.join(crowds_of(leaders), "lead").select("cid", F.lit(True).alias("crowded")).distinct()
+    own = known.withColumnRenamed("node", "cid")
+    placed = classes.select("cid", "n", "rep_row", "rep_hash").join(own, "cid", "left").join(crowded, "cid", "left").select("cid", "n", "rep_row", "rep_hash", F.coalesce("component", "cid").alias("comp"), "crowded")
     rows = made.join(placed, (made["text_hash"] == placed["rep_hash"]) & (made["row"] == placed["rep_row"]))
-    incidence = rows.select("cid", "comp", F.col("n").alias("size"), F.posexplode("first").alias("pos", "token"))
-    columns = incidence.select("token", "cid", "comp", F.col("size").cast("int").alias("size"), "pos").repartition("token").sortWithinPartitions("token", "size")
-    names = ["kind", "a", "b", "c", "d", "e", "f", "n"]
+    incidence = rows.select("cid", "comp", F.col("n").alias("size"), F.when(F.col("crowded"), F.col("marks")).alias("marks"), F.posexplode("first").alias("pos", "token"))
+    columns = incidence.select("token", "cid", "comp", F.col("size").cast("int").alias("size"), "pos", "marks").repartition("token").sortWithinPartitions("token", "size")
+    names = ["kind", "a", "b", "c", "d", "e", "f", "n", "marks"]
 
-    def batch(kind: int, columns: tuple) -> pa.RecordBatch:
-        if len(columns) < len(names) - 1:
-            columns = (*columns, np.zeros(len(columns[0])))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, dtype=np.int32)), *(pa.array(np.asarray(c, dtype=np.int64)) for c in columns)], names)
+    def batch(kind: int, columns: tuple, marks: np.ndarray | None = None) -> pa.RecordBatch:
+        m = len(columns[0])
+        if len(columns) < len(names) - 2:
+            columns = (*columns, np.zeros(m))
+        own = pa.nulls(m, pa.binary()) if marks is None else pa.array([x.tobytes() if x.any() else None for x in marks], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, dtype=np.int32)), *(pa.array(np.asarray(c, dtype=np.int64)) for c in columns), own], names)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs (kind 0); of columns of more than COLUMN rows the rows by run (kind 1) and the blocks that each run is in (kind 2)."""
@@ -342,10 +398,10 @@ def product_pairs(texts: DataFrame, classes: DataFrame, known: DataFrame, counts
         sums = Sums()
 
         def run_out(run: Rows) -> pa.RecordBatch:
-            token, cid, comp, size, pos = run
+            token, cid, comp, size, pos, marks = run
             place = len(spans)
             spans.append((int(size[0]), int(size[-1]), int(comp[0]) if (comp == comp[0]).all() else None))
-            return batch(1, (token, cid, comp, size, pos, np.full(len(cid), place)))
+            return batch(1, (token, cid, comp, size, pos, np.full(len(cid), place)), marks)
 
         def settled(own: Rows) -> Iterator[pa.RecordBatch]:
             """Rows of whole columns, of which the first may be the rest of the hot one."""
@@ -363,7 +419,7 @@ def product_pairs(texts: DataFrame, classes: DataFrame, known: DataFrame, counts
                 yield from (batch(0, x) for x in sums.add(found))
 
         for b in sliced(batches):
-            own = tuple(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns)
+            own = (*(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns[:5]), marks_array(b.column(5).to_pylist()))
             if held is not None:
                 own = tuple(np.concatenate(x) for x in zip(held, own, strict=True))
             if not len(own[0]):
@@ -386,10 +442,11 @@ def product_pairs(texts: DataFrame, classes: DataFrame, known: DataFrame, counts
         sums = Sums()
 
         def block() -> Iterator[pa.RecordBatch]:
-            *own, second = (np.array(c, dtype=np.int64) for c in zip(*held, strict=True))
+            *rows, marks = zip(*held, strict=True)
+            *own, second = (np.array(c, dtype=np.int64) for c in rows)
             x, y = np.flatnonzero(second == 0), np.flatnonzero(second)
             pairs = (x[i] for i in np.triu_indices(len(x), 1)) if at[1] == at[2] else (np.repeat(x, len(y)), np.tile(y, len(x)))
-            if found := met_rows(tuple(own), *pairs, num, den):
+            if found := met_rows((*own, marks_array(marks)), *pairs, num, den):
                 yield from (batch(0, x) for x in sums.add(found))
 
         for b in sliced(batches):
@@ -403,13 +460,13 @@ def product_pairs(texts: DataFrame, classes: DataFrame, known: DataFrame, counts
             yield from block()
         yield from (batch(0, x) for x in sums.rest())
 
-    schema = "kind int, a long, b long, c long, d long, e long, f long, n long"
+    schema = "kind int, a long, b long, c long, d long, e long, f long, n long, marks binary"
     first = cut(columns.mapInArrow(multiply, schema))
-    runs = first.filter("kind = 1").toDF("kind", "token", "cid", "comp", "size", "pos", "run", "n").drop("kind", "n")
-    ends = first.filter("kind = 2").toDF("kind", "token", "run", "x", "y", "e", "f", "n").select("token", "run", "x", "y")
-    blocks = runs.join(ends, ["token", "run"]).select("token", "x", "y", "cid", "comp", "size", "pos", F.when(F.col("run") != F.col("x"), 1).otherwise(0).cast("long").alias("second"))
+    runs = first.filter("kind = 1").toDF("kind", "token", "cid", "comp", "size", "pos", "run", "n", "marks").drop("kind", "n")
+    ends = first.filter("kind = 2").toDF("kind", "token", "run", "x", "y", "e", "f", "n", "marks").select("token", "run", "x", "y")
+    blocks = runs.join(ends, ["token", "run"]).select("token", "x", "y", "cid", "comp", "size", "pos", F.when(F.col("run") != F.col("x"), 1).otherwise(0).cast("long").alias("second"), "marks")
     second = blocks.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(multiply_blocks, schema)
-    met = first.filter("kind = 0").unionByName(second).toDF("kind", "a", "b", "size_a", "size_b", "pos_a", "pos_b", "n")
+    met = first.filter("kind = 0").unionByName(second).drop("marks").toDF("kind", "a", "b", "size_a", "size_b", "pos_a", "pos_b", "n")
     total = met.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("shared"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
     most = F.col("shared") + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) - 1
     return total.filter(most * (num + den) >= (F.col("size_a") + F.col("size_b")) * num).select("a", "b")
@@ -432,7 +489,10 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, i
     counts = summed_counts(profile)
     leaders = leaders_of(classes)
     known = components(links(texts, classes, stars_of(leaders), words, num, den))
-    across = cut(product_pairs(texts, classes, known, counts, words, num, den))
+    rest = cut(rest_of(leaders, known))
+    if not rest.isEmpty():
+        known = components(known.toDF("a", "b").unionByName(links(texts, classes, rest, words, num, den)))
+    across = cut(product_pairs(texts, classes, known, leaders, counts, words, num, den))
     linked = components(known.toDF("a", "b").unionByName(links(texts, classes, tiles_of(across, leaders), words, num, den)))
     placed = classes.join(linked.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     heads = placed.groupBy("component").agg(F.min(order("rep_id", "rep_hash", "rep_row")).alias("head"))
