@@ -254,3 +254,23 @@ def test_long_texts_are_hashed_in_pieces(monkeypatch):
     for piece in (1, 5, 64, 1000):
         monkeypatch.setattr(shingles, "PIECE", piece)
         assert shingles.word_hashes(text).tolist() == whole
+
+
+def test_texts_that_no_tile_asks_for_are_not_shuffled(spark):
+    """300 long texts, of which four are near copies: all shuffles together hold less than the texts."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join("".join(map(chr, w)) for w in rng.integers(97, 123, (600, 24))) for _ in range(296)]
+    texts += [t + " and one more" for t in texts[:4]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    jvm = spark.sparkContext._jvm
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: list(jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)))
+    frame = module.filed(frame)
+    before = max((s.stageId() for s in stages()), default=-1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables too large to be broadcast
+    try:
+        got = {r.doc_id: r.component_id for r in ngram_join(frame, 4, 85, 100).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: i % 296 for i in range(300)}
+    assert 0 < sum(s.shuffleWriteBytes() for s in stages() if s.stageId() > before) < sum(map(len, texts))

@@ -18,8 +18,8 @@ document's class and component, which lose no link between different texts:
    link is a block of its own. The overlap counts of a pair from all blocks are added up, and the pair is discarded if they
    and what may follow stay below the overlap that the sizes ask for.
 4. What is left is decided by the product of whole rows, in tiles of at most 2 * TILE classes whose overlap counts add up over
-   blocks of shingles: few-membered columns pair by pair, the others as a matrix. A tile reads a text once however many
-   pairs it is in, discards pairs below the overlap that their sizes ask for, and gives at most an edge for each class.
+   blocks of shingles: few-membered columns pair by pair, the others as a matrix. Texts that no tile asks for are left out by a broadcast
+   table of fixed size before they are shuffled. A tile reads a text once however many pairs it is in, discards pairs below the overlap that their sizes ask for, and gives at most an edge for each class.
 5. Components are found by star contraction.
 
 What grows faster than the input is the number of pairs of different components that share a first shingle and that sizes, positions and parities
@@ -48,6 +48,8 @@ from tidestep.llm.shingles import mix, shingle_set
 from tidestep.storage import cut
 
 BUCKET_BITS, PARTS = 18, 16
+#: The bits of the table by which texts that no tile asks for are left out before a shuffle.
+SIEVE_BITS = 25
 #: Min-hashes, and how many of them must agree with a leader's.
 MINS, AGREE = 8, 3
 #: Parts in which the classes of one min-hash value are dealt, as one value may be that of very many.
@@ -234,10 +236,41 @@ def tiles_of(pairs: DataFrame, leaders: DataFrame) -> DataFrame:
     return both.select(x.alias("x"), y.alias("y"), ends).select("x", "y", "end.second", "end.cid").distinct()
 
 
+def sieve_of(bits: DataFrame) -> np.ndarray:
+    """A table of 2**SIEVE_BITS bits, of which those of the rows (bit long) are set; of fixed size."""
+    span = (1 << SIEVE_BITS) // PARTS
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            part, at = np.divmod(b.column(0).to_numpy(), span)
+            for p in np.unique(part).tolist():
+                held.setdefault(p, np.zeros(span, dtype=bool))[at[part == p]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in held.values()], pa.binary())], ["part", "bits"])
+
+    total = np.zeros((PARTS, span // 8), dtype=np.uint8)
+    for part, own in bits.distinct().repartition(PARTS, (F.col("bit") / span).cast("int")).mapInArrow(fill, "part int, bits binary").collect():
+        total[part] = np.frombuffer(own, dtype=np.uint8)
+    return total.ravel()
+
+
+def sieved(texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """The texts that are those of placed's classes, and a few others: what is left out is never shuffled."""
+    bit = lambda h, r: F.pmod(F.xxhash64(h, r), F.lit(1 << SIEVE_BITS))
+    shared = texts.sparkSession.sparkContext.broadcast(sieve_of(placed.select(bit("rep_hash", "rep_row").alias("bit"))))
+
+    def held(bits: pa.Array) -> pa.Array:
+        at = bits.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return texts.filter(F.arrow_udf(held, "boolean")(bit("text_hash", "row")))
+
+
 def links(texts: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(a, b): the links within the tiles (x, y, second, cid), thinned to what connects. Each text is fetched by one join for all of its tiles."""
-    placed = wanted.join(classes.select("cid", "rep_row", "rep_hash"), "cid")
-    met = texts.join(placed, (texts["text_hash"] == placed["rep_hash"]) & (texts["row"] == placed["rep_row"])).select("x", "y", "second", "cid", "text")
+    placed = cut(wanted.join(classes.select("cid", "rep_row", "rep_hash"), "cid"))
+    asked = sieved(texts.select("text_hash", "row", "text"), placed)
+    met = asked.join(placed, (asked["text_hash"] == placed["rep_hash"]) & (asked["row"] == placed["rep_row"])).select("x", "y", "second", "cid", "text")
     ordered = met.repartition("x", "y").sortWithinPartitions("x", "y", "second", "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
