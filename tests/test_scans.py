@@ -299,3 +299,15 @@ def test_levels_of_a_long_path_are_few_rounds(spark, bits):
     assert got == dict(enumerate(want))
     assert bits != 17 or jobs < 200
     assert {r.n: r.level for r in levels(spark.createDataFrame([(None,), (1,), (2,)], "n int"), spark.createDataFrame([(1, 2), (None, 1)], "before int, after int"), "n").collect()} == {None: 0, 1: 0, 2: 1}
+
+
+def test_stages_are_dealt_by_their_number(spark, sf, monkeypatch):
+    """stage_overrides: a task takes so many lines, though a few bytes are shuffled for each; the rows stay."""
+    from tidestep import queries as module
+
+    run = module.QUERIES["stage_overrides"]
+    want = sorted(map(tuple, run(spark, sf).collect()))
+    monkeypatch.setattr(module, "STAGES_A_TASK", 1000, raising=False)
+    got = run(spark, sf)
+    assert sorted(map(tuple, got.collect())) == want
+    assert got.rdd.getNumPartitions() == spark.read.parquet(f"{sf}/lineitem.parquet").count() // 1000 + 1 > 5
