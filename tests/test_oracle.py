@@ -42,3 +42,17 @@ def test_entry_runs(spark):
 def test_scans_are_pruned(spark, sf):
     plan = engine.QUERIES["in_state"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,purchase)" in plan and "props" not in plan
+
+
+def test_stages_of_odd_lines_match_sql(spark, tmp_path):
+    """stage_overrides: lines without a key or a flag, of other flags, numbered past 7, and held more than once."""
+    lines = [
+        (1, 1, "N"), (1, 1, "R"), (1, 1, "A"), (1, 2, "A"), (1, 3, "A"), (1, 3, "N"), (2, 3, None), (2, 4, "A"), (2, 4, None), (None, 1, "N"), (None, 1, "N"), (None, 2, "A"), (3, None, "R"), (None, None, None),
+        (1, 9, "N"), (2, 1, "A"), (2, 9, "N"), (3, 1, "N"), (4, 1, "X"), (4, 2, ""), (4, 3, "B"), (-1, 1, "R"),
+    ]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got, want = engine.QUERIES["stage_overrides"](spark, str(tmp_path)).select("stage", "path", "value").collect(), c.execute(engine.SQL["stage_overrides"]).fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert len(want) > 20 and any(stage is None for stage, _, _ in want)

@@ -311,3 +311,24 @@ def test_stages_are_dealt_by_their_number(spark, sf, monkeypatch):
     got = run(spark, sf)
     assert sorted(map(tuple, got.collect())) == want
     assert got.rdd.getNumPartitions() == spark.read.parquet(f"{sf}/lineitem.parquet").count() // 1000 + 1 > 5
+
+
+def test_stages_of_equal_documents_are_folded_once(spark, sf, monkeypatch):
+    """stage_overrides: the run's config and three documents of stages, however many the lines."""
+    from tidestep import queries as module
+    from tidestep.operators import overlay
+
+    seen, leaves_of = [], overlay.leaves_of
+    monkeypatch.setattr(overlay, "leaves_of", lambda docs, *more: seen.append(docs.count()) or leaves_of(docs, *more))
+    assert module.QUERIES["stage_overrides"](spark, sf).count() > 5000
+    assert seen and max(seen) <= 6
+
+
+def test_each_document_under_a_base_is_folded_like_its_rows(spark):
+    from tidestep.operators.overlay import under_each
+
+    base, docs = '{"a": {"b": 1, "c": [1.0]}, "d": "s"}', ['{"a": 2}', '{"a": 2}', '{ "a": 2}', '{"a": {"b": null}}', '{"d": {"e": 3.0}, "a": {"x": {}}}', "{}", "not json", "", None]
+    each = folded(spark.createDataFrame([row for k, doc in enumerate(docs) for row in ((k, 0, base), (k, 1, doc))], "k int, n int, doc string"), "k", ["n"], "doc")
+    rows = spark.createDataFrame(list(enumerate(docs)), "k int, doc string")
+    got = rows.join(under_each(base, rows, "doc"), "doc").select("k", "path", "value")
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in each.collect() if docs[r.k] is not None)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidestep.storage import cut
+
 
 def _entered(tables: DataFrame) -> DataFrame:
     """(owner, at, path, v, text): the members of each table."""
@@ -46,22 +48,24 @@ def leaves_of(docs: DataFrame, key: str, order: list[str], doc: str, deepest: in
     raise ValueError(f"tables are nested deeper than {deepest}")
 
 
-def folded(docs: DataFrame, key: str, order: list[str], doc: str, parts: int | None = None) -> DataFrame:
+def folded(docs: DataFrame, key: str, order: list[str], doc: str) -> DataFrame:
     """(key, path, value): each key's documents laid over one another in order; path is dotted, value JSON text.
 
     Only the last write to a path counts for anything, so a key's rows shrink to one a path before they are shuffled. Of writes of equal order the greatest value counts.
-
-    parts: of keys that each have few leaves, so many tasks take the leaves, however few bytes they are shuffled in; else their bytes decide, and a large key is split.
     """
-    dealt = lambda df, *by: df.repartition(parts, *by) if parts else df
     write = F.struct("at", F.col("value").isNotNull().alias("said"), "value")
     last = leaves_of(docs, key, order, doc).groupBy(F.col(key).alias("owner"), "path").agg(F.max(write).alias("last")).select("owner", "path", "last.at", "last.said", "last.value")
     tables = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.slice("path", 1, i))
     nested = last.filter(F.size("path") > 1).select("owner", "path", "at", "said", F.explode(tables).alias("table"))
     # what was written at a table that the leaf stands in, and below the leaf
-    values = dealt(last.select("owner", F.col("path").alias("table"), F.col("at").alias("at_over")), "owner", "table")
-    over = dealt(dealt(nested, "owner", "table").join(values, ["owner", "table"]).select("owner", "path", "at_over"), "owner", "path").groupBy("owner", "path").agg(F.max("at_over").alias("at_over"))
-    under = dealt(nested.filter("said").select("owner", F.col("table").alias("path"), "at"), "owner", "path").groupBy("owner", "path").agg(F.max("at").alias("at_under"))
-    met = dealt(last.filter("said"), "owner", "path").join(over, ["owner", "path"], "left").join(under, ["owner", "path"], "left")
+    over = nested.join(last.select("owner", F.col("path").alias("table"), F.col("at").alias("at_over")), ["owner", "table"]).groupBy("owner", "path").agg(F.max("at_over").alias("at_over"))
+    under = nested.filter("said").groupBy("owner", F.col("table").alias("path")).agg(F.max("at").alias("at_under"))
+    met = last.filter("said").join(over, ["owner", "path"], "left").join(under, ["owner", "path"], "left")
     stays = F.coalesce(F.col("at_over") <= F.col("at"), F.lit(True)) & F.coalesce(F.col("at_under") <= F.col("at"), F.lit(True))
     return met.filter(stays).select(F.col("owner").alias(key), F.array_join("path", ".").alias("path"), "value")
+
+
+def under_each(base: str, docs: DataFrame, doc: str) -> DataFrame:
+    """(doc, path, value): each document of a column laid over the base. Equal documents come to equal leaves, so each is folded once, however many rows hold it; null ones say nothing and are left out."""
+    own = cut(docs.select(doc).filter(F.col(doc).isNotNull()).distinct())
+    return folded(own.select(doc, F.posexplode(F.array(F.lit(base), doc)).alias("i", "layer")), doc, ["i"], "layer")
