@@ -332,3 +332,23 @@ def test_each_document_under_a_base_is_folded_like_its_rows(spark):
     rows = spark.createDataFrame(list(enumerate(docs)), "k int, doc string")
     got = rows.join(under_each(base, rows, "doc"), "doc").select("k", "path", "value")
     assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in each.collect() if docs[r.k] is not None)
+
+
+def test_documents_are_read_once(spark):
+    """Their leaves are kept, however deep the tables and however often the leaves are used; deeper ones than four are read once more for each doubling."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(k, n, json.dumps({"a": {"b": {"c": n}, f"d{n}": k}, "e": k})) for k in range(20) for n in range(5)]
+    docs = lambda rows: spark.createDataFrame(rows, "k int, n int, doc string").mapInArrow(counted, "k int, n int, doc string")
+    got = {(r.k, r.path): r.value for r in folded(docs(rows), "k", ["n"], "doc").collect()}
+    assert got == {(k, p): v for k in range(20) for p, v in [("a.b.c", "4"), ("e", str(k))] + [(f"a.d{n}", str(k)) for n in range(5)]}
+    assert read.value == len(rows)
+    nested = lambda depth: '{"a":' * depth + "1" + "}" * depth
+    deep = [(1, 1, nested(9)), (2, 1, nested(3)), (2, 2, '{"b":{}}')]
+    assert sorted(map(tuple, folded(docs(deep), "k", ["n"], "doc").collect())) == [(k, ".".join("a" * depth), "1") for k, depth in ((1, 9), (2, 3))]
+    assert read.value == len(rows) + 3 * len(deep)

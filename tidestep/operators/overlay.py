@@ -9,25 +9,33 @@ A VARIANT holds 2.0 as 2 and -0.0 as 0; a number that was written with a fractio
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidestep.storage import cut
+from tidestep.storage import cut, observed
 
 
-def _entered(tables: DataFrame) -> DataFrame:
-    """(owner, at, path, v, text): the members of each table."""
-    inside = tables.withColumn("texts", F.when(F.col("text").rlike(r"\[|-0"), F.from_json("text", "map<string, string>"))).lateralJoin(tables.sparkSession.tvf.variant_explode(F.col("v").outer()))
-    return inside.select("owner", "at", F.concat("path", F.array("key")).alias("path"), F.col("value").alias("v"), F.try_element_at("texts", F.col("key")).alias("text"))
+def _is_table(v: Column) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
 
 
-def leaves_of(docs: DataFrame, key: str, order: list[str], doc: str, deepest: int = 32) -> DataFrame:
-    """(key, at, path, value): the leaves of JSON texts; path is a list of names, value JSON text, null for a tombstone. Arrays are leaves, empty tables say nothing.
+def _entered(rows: DataFrame) -> DataFrame:
+    """(owner, at, path, v, text): the members of each table, and the other rows as they are; empty tables are left out."""
+    texts = F.when(F.col("open") & F.col("text").rlike(r"\[|-0"), F.from_json("text", "map<string, string>"))
+    met = rows.withColumn("open", _is_table(F.col("v"))).withColumn("texts", texts)
+    inside = met.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.when(F.col("open").outer(), F.col("v").outer()))).filter(~F.col("open") | F.col("key").isNotNull())
+    inner = lambda member, own: F.when(F.col("open"), member).otherwise(F.col(own)).alias(own)
+    return inside.select("owner", "at", inner(F.concat("path", F.array("key")), "path"), inner(F.col("value"), "v"), inner(F.try_element_at("texts", F.col("key")), "text"))
 
-    Texts that aren't JSON, or no table, say nothing, nor do rows without a key; tables nested deeper than `deepest` raise ValueError.
+
+def leaves_of(docs: DataFrame, key: str, order: list[str], doc: str, levels: int) -> DataFrame:
+    """(key, at, path, value, deeper): the leaves of JSON texts; path is a list of names, value JSON text, null for a tombstone. Arrays are leaves, empty tables say nothing.
+
+    Texts that aren't JSON, or no table, say nothing, nor do rows without a key. Tables are entered `levels` deep in one pass; one that lies deeper is a row marked deeper.
     """
-    table = F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False))
-    level = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("owner"), F.struct(*order).alias("at"), F.array().cast("array<string>").alias("path"), F.try_parse_json(F.col(doc)).alias("v"), F.col(doc).alias("text")).filter(table)
+    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("owner"), F.struct(*order).alias("at"), F.array().cast("array<string>").alias("path"), F.try_parse_json(F.col(doc)).alias("v"), F.col(doc).alias("text")).filter(_is_table(F.col("v")))
+    for _ in range(levels):
+        rows = _entered(rows)
     kind = F.schema_of_variant("v")
     plain = F.to_json("v")
     bare = F.regexp_replace("text", r'("(?:[^"\\]++|\\.)*+")|\s+', "$1")
@@ -37,15 +45,23 @@ def leaves_of(docs: DataFrame, key: str, order: list[str], doc: str, deepest: in
         .when(kind.startswith("DECIMAL") & ~F.contains(plain, F.lit(".")), F.concat(plain, F.lit(".0")))
         .otherwise(plain)
     )
-    every: DataFrame | None = None
-    for _ in range(deepest + 1):
-        members = _entered(level)
-        own = members.filter(~table)
-        every = own if every is None else every.unionByName(own)
-        level = members.filter(table)
-        if level.isEmpty():
-            return every.select(F.col("owner").alias(key), "at", "path", F.when(~F.is_variant_null("v"), written).alias("value"))
-    raise ValueError(f"tables are nested deeper than {deepest}")
+    return rows.select(F.col("owner").alias(key), "at", "path", F.when(~F.is_variant_null("v"), written).alias("value"), _is_table(F.col("v")).alias("deeper"))
+
+
+def _last_writes(docs: DataFrame, key: str, order: list[str], doc: str, deepest: int = 32) -> DataFrame:
+    """(owner, path, at, said, value): the last write to each path of a key, kept, so that the documents are read once; tables nested deeper than `deepest` raise ValueError.
+
+    Tables are entered four levels deep, or twice as deep as before while some lie deeper.
+    """
+    write, levels = F.struct("at", F.col("value").isNotNull().alias("said"), "value"), 4
+    while True:
+        met = leaves_of(docs, key, order, doc, levels).groupBy(F.col(key).alias("owner"), "path").agg(F.max(write).alias("last"), F.bool_or("deeper").alias("deeper"))
+        last, seen = observed(met.select("owner", "path", "last.at", "last.said", "last.value", "deeper"), deeper=F.bool_or("deeper"))
+        if not seen["deeper"]:
+            return last.drop("deeper")
+        if levels > deepest:
+            raise ValueError(f"tables are nested deeper than {deepest}")
+        levels = min(2 * levels, deepest + 1)
 
 
 def folded(docs: DataFrame, key: str, order: list[str], doc: str) -> DataFrame:
@@ -53,8 +69,7 @@ def folded(docs: DataFrame, key: str, order: list[str], doc: str) -> DataFrame:
 
     Only the last write to a path counts for anything, so a key's rows shrink to one a path before they are shuffled. Of writes of equal order the greatest value counts.
     """
-    write = F.struct("at", F.col("value").isNotNull().alias("said"), "value")
-    last = leaves_of(docs, key, order, doc).groupBy(F.col(key).alias("owner"), "path").agg(F.max(write).alias("last")).select("owner", "path", "last.at", "last.said", "last.value")
+    last = _last_writes(docs, key, order, doc)
     tables = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.slice("path", 1, i))
     nested = last.filter(F.size("path") > 1).select("owner", "path", "at", "said", F.explode(tables).alias("table"))
     # what was written at a table that the leaf stands in, and below the leaf
